@@ -161,3 +161,23 @@ def union(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     new = np.concatenate([[True], starts[1:] > ends[:-1]])
     k = np.flatnonzero(new)
     return starts[k], ends[np.concatenate([k[1:] - 1, [len(ends) - 1]])]
+
+
+def kept_bytes(data: np.ndarray, offsets: np.ndarray, keep: np.ndarray, kind: pa.DataType | None = None) -> pa.Array:
+    """Texts from the bytes that are kept."""
+    at = np.concatenate([[0], np.cumsum(keep)])[offsets]
+    out = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data[keep]))])
+    return out.cast(pa.binary()).cast(kind or pa.string())
+
+
+def joined(data: np.ndarray, offsets: np.ndarray, start: np.ndarray, end: np.ndarray, at: np.ndarray, keep: np.ndarray) -> pa.Array:
+    """Each document's kept words, joined by one space."""
+    k = np.flatnonzero(keep)
+    doc = np.searchsorted(at, k, "right")
+    more = np.concatenate([doc[1:] == doc[:-1], [False]]) if len(k) else np.zeros(0, bool)
+    data = data.copy()
+    data[end[k[more]]] = 0x20
+    step = np.zeros(len(data) + 1, np.int8)
+    step[start[k]] += 1
+    np.add.at(step, end[k] + more, -1)
+    return kept_bytes(data, offsets, np.cumsum(step[:-1]).astype(bool))

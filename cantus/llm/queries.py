@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,7 +18,23 @@ def op3_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), threshold=0.85)
 
 
+def op4_lpf_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix import drop_repeated_bytes
+
+    out = drop_repeated_bytes(table(spark, sf_dir, "documents"), length=200)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op10_superkmer_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .superkmer import drop_repeated_windows
+
+    out = drop_repeated_windows(table(spark, sf_dir, "documents"), window=20)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_words").cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_minmax_near_dedup": op3_minmax_near_dedup,
+    "op4_lpf_substring_dedup": op4_lpf_substring_dedup,
+    "op10_superkmer_substring_dedup": op10_superkmer_substring_dedup,
 }
 ORACLE: dict[str, str] = {}
