@@ -20,6 +20,8 @@ from ._store import Store, small
 PERMUTATIONS = 126
 #: The chance that a pair at the threshold shares no band.
 MISS = 5e-6
+#: Bounds of a block in the last round.
+BLOCK_ROWS, BLOCK_BYTES = 256, 8 << 20
 
 
 def banding(threshold: float, values: int = 2 * PERMUTATIONS, miss: float = MISS) -> tuple[int, int]:
@@ -47,6 +49,25 @@ def _shingle_sets(batch: pa.RecordBatch, size: int) -> Iterator[tuple[int, np.nd
             yield i + d, x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
 
 
+def _block_links(t: pa.Table, percent: int) -> pa.Table:
+    """Links between the components that two blocks of a bucket hold, by products of their incidence matrices."""
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t["hashes"].combine_chunks()] if t.num_rows else []
+    size = np.array([len(x) for x in sets])
+    shingle, column, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row, shared = np.repeat(np.arange(len(sets)), size), n > 1
+    row, column = row[shared[column]], (np.cumsum(shared) - 1)[column[shared[column]]]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for c in range(0, int(shared.sum()), 1 << 14):
+        some = (column >= c) & (column < c + (1 << 14))
+        m = np.zeros((len(sets), 1 << 14), np.float32)
+        m[row[some], column[some] - c] = 1
+        both += m @ m.T
+    ids, component = t["id"].to_numpy(), t["component"].to_numpy()
+    link = 100 * both >= percent * (size[:, None] + size[None, :] - both)
+    x, y = np.nonzero(np.triu(link & (component[:, None] != component[None, :]), 1))
+    return pa.table({"a": np.minimum(ids[x], ids[y]), "b": np.maximum(ids[x], ids[y])})
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: its id, n_shingles, component_id (the smallest id reachable by links) and kept (it is that id).
 
@@ -138,19 +159,18 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, i
         pairs = store.save(pairs.join(tested.hint("merge"), ["a", "b"], "left_anti"))
         found = store.save(test(pairs)) if pairs.count() else None
         if found is None or not found.take(1):
-            if found is not None:
-                tested = tested.unionByName(pairs)
             break
         tested, links = store.save(tested.unionByName(pairs)), store.save(links.unionByName(found))
 
     if members.take(1):
-        most = members.groupBy("bucket", "component").count().groupBy("bucket").agg(F.max(F.struct("count", "component")).alias("most"))
-        few = members.join(most.hint("merge"), "bucket").where("component <> most.component").select("bucket", F.col("rep").alias("p"), F.col("component").alias("c"))
-        rest = few.join(members.hint("merge"), "bucket").where("component <> c").select(F.least("p", "rep").alias("a"), F.greatest("p", "rep").alias("b")).distinct()
-        rest = store.save(rest.join(tested.hint("merge"), ["a", "b"], "left_anti"))
-        found = store.save(test(rest))
-        if found.take(1):
-            label = components(store, links.unionByName(found))
+        sized = members.select("bucket", F.col("rep").alias("id"), "component").join(hashes.hint("merge"), "id")
+        parts = sized.groupBy("bucket").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum(F.length("hashes")) / BLOCK_BYTES)).cast("int").alias("parts"))
+        dealt = sized.join(parts.hint("merge"), "bucket").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+        dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+        dealt = dealt.select("bucket", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "id", "component", "hashes")
+        rest = store.save(dealt.groupBy("bucket", "i", "j").applyInArrow(lambda t: _block_links(t, percent), "a long, b long"))
+        if rest.take(1):
+            label = components(store, links.unionByName(rest))
     return _result(signed, classes, label)
 
 

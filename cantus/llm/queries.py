@@ -25,6 +25,14 @@ def op4_lpf_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ordinal import fit, grades_from_labels, severity
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit(docs, grades_from_labels(table(spark, sf_dir, "labels")))
+    return severity(docs, model).select("doc_id", "severity", "p_toxic", "toxic")
+
+
 def op10_superkmer_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .superkmer import drop_repeated_windows
 
@@ -35,6 +43,7 @@ def op10_superkmer_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFram
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_minmax_near_dedup": op3_minmax_near_dedup,
     "op4_lpf_substring_dedup": op4_lpf_substring_dedup,
+    "op7_ordinal_toxicity": op7_ordinal_toxicity,
     "op10_superkmer_substring_dedup": op10_superkmer_substring_dedup,
 }
 ORACLE: dict[str, str] = {}
