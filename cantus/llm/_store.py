@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The largest side that is broadcast, in bytes (estimated from its rows); larger sides are shuffled.
-BROADCAST_BYTES = 24 << 20
+BROADCAST_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
