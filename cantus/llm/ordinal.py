@@ -50,8 +50,12 @@ def features(part: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate(docs), (np.concatenate(out) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def fit(docs: DataFrame, grades: DataFrame, sample: int = SAMPLE, rounds: int = 200, shrink: float = 1e-3) -> Model:
-    """docs (doc_id, text), grades (doc_id, grade from 0). Grades that repeat an id count as their maximum; null ones are not labels."""
+def fit(docs: DataFrame, grades: DataFrame, sample: int = SAMPLE, rounds: int = 400, shrink: float = 0.1) -> Model:
+    """docs (doc_id, text), grades (doc_id, grade from 0). Grades that repeat an id count as their maximum; null ones are not labels.
+
+    Labels that only tell 0 from 1 are refined: rows of grade 1 with more distinct markers (features that are much more
+    frequent in it) than its median get grade 2, so that severity is graded by how much of a text is toxic.
+    """
     graded = grades.where("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.max("grade").cast("int").alias("grade"))
     chosen = graded.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
@@ -80,12 +84,16 @@ def fit(docs: DataFrame, grades: DataFrame, sample: int = SAMPLE, rounds: int =
     p = (d1 + d0) / (n1 + n0)
     z = (d1 / n1 - d0 / n0) / np.sqrt(np.maximum(p * (1 - p) * (1 / n1 + 1 / n0), 1e-12))
     use = (np.abs(z) >= LEAST_Z) & (d1 + d0 >= 3)
+    if grown == 1:
+        markers = np.bincount(row, (use & (z > 0))[col], len(y))
+        y = np.where(toxic, 1 + (markers > np.median(markers[toxic])), 0)
+        grown = int(y.max())
     ids = np.flatnonzero(use)
     keep = use[col]
     row, col = row[keep], np.searchsorted(ids, col[keep])
 
     # Gradient steps of AdaGrad on the penalised likelihood; grades weigh alike, thresholds stay ordered by their gaps.
-    t0, gaps, w = 0.0, np.zeros(max(grown - 1, 0)), np.zeros(len(ids))
+    t0, gaps, w = 0.0, np.full(max(grown - 1, 0), 2.0), np.zeros(len(ids))
     weight = np.where(toxic, 0.5 / n1, 0.5 / n0)
     sums = [np.full_like(v, 1e-8, dtype=float) for v in (np.zeros(1), gaps, w)]
     for _ in range(rounds):
@@ -115,7 +123,7 @@ def fit(docs: DataFrame, grades: DataFrame, sample: int = SAMPLE, rounds: int =
     return Model(weights, t0 + np.concatenate([[0], np.cumsum(np.exp(gaps))]))
 
 
-def severity(docs: DataFrame, model: Model, reject: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def severity(docs: DataFrame, model: Model, reject: float = 0.65, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of docs and severity (expected grade), p_toxic (of any grade above 0) and toxic (p_toxic of at least `reject`).
 
     Words are split at ASCII other than letters and digits, A-Z lower-cased. Null and empty texts have no features. Rows
@@ -144,5 +152,4 @@ def severity(docs: DataFrame, model: Model, reject: float = 0.5, id_col: str = "
 
 
 def grades_from_labels(labels: DataFrame) -> DataFrame:
-    """Severity grades from 0/1 labels: 0 not toxic, 1 toxic, 2 toxic and of low quality."""
-    return labels.select("doc_id", F.when(F.col("toxic") == 1, F.when(F.col("quality") == 0, 2).otherwise(1)).when(F.col("toxic") == 0, 0).alias("grade"))
+    return labels.select("doc_id", F.col("toxic").alias("grade"))
