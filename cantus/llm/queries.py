@@ -25,6 +25,20 @@ def op4_lpf_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import collapse
+
+    return collapse(table(spark, sf_dir, "conversations"))
+
+
+def op6_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=2048)
+
+
 def op7_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ordinal import fit, grades_from_labels, severity
 
@@ -33,6 +47,27 @@ def op7_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return severity(docs, model).select("doc_id", "severity", "p_toxic", "toxic")
 
 
+def op8_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tiling import contamination
+
+    out = contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "item_id", F.round("coverage", 6).alias("coverage"), "n_tiles", "contaminated")
+
+
+#: (action, host and beginning of the path)
+RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+#: The share of bad pages that a host may have.
+TOLERANCE = 0.3
+
+
+def op9_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hosts import judge
+
+    labels = table(spark, sf_dir, "labels")
+    bad = F.when((F.col("toxic") == 1) | (F.col("quality") == 0), 1).when((F.col("toxic") == 0) & (F.col("quality") == 1), 0)
+    return judge(table(spark, sf_dir, "pages"), labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad")), RULES, TOLERANCE)
+
+
 def op10_superkmer_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .superkmer import drop_repeated_windows
 
@@ -43,7 +78,11 @@ def op10_superkmer_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFram
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_minmax_near_dedup": op3_minmax_near_dedup,
     "op4_lpf_substring_dedup": op4_lpf_substring_dedup,
+    "op5_snapshot_collapse": op5_snapshot_collapse,
+    "op6_swap_packing": op6_swap_packing,
     "op7_ordinal_toxicity": op7_ordinal_toxicity,
+    "op8_string_tiling": op8_string_tiling,
+    "op9_host_reputation": op9_host_reputation,
     "op10_superkmer_substring_dedup": op10_superkmer_substring_dedup,
 }
 ORACLE: dict[str, str] = {}
