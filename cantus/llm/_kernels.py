@@ -127,13 +127,14 @@ def segments(unit: np.ndarray, at: np.ndarray, window: int, gram: int, kind: str
     `gram` units with the least hash, the leftmost of equal ones.
 
     unit: a hash for each unit; at: where documents begin. Returns for each run its document, the first window's start
-    (in the document), the number of windows, the minimiser's hash, and a hash of the run's units and the minimiser's place.
+    (in the document), the number of windows, the minimiser's place after that start, the minimiser's hash, and a hash
+    of the run's units and that place.
     """
     none = np.zeros(0, np.int64)
     p = prefix(unit, kind)
     n = len(unit)
     if n < window:
-        return none, none, none, none.astype(U), none.astype(U)
+        return none, none, none, none, none.astype(U), none.astype(U)
     g = n - gram + 1
     i = np.arange(g)
     anchor = ranges(p, i, i + gram, kind)
@@ -149,7 +150,7 @@ def segments(unit: np.ndarray, at: np.ndarray, window: int, gram: int, kind: str
     e = np.flatnonzero(after)  # last window
     m = least[s]
     whole = ranges(p, s, e + window, kind) ^ mix((m - s).astype(U) + U(77))
-    return doc[s], s - at[doc[s]], e - s + 1, anchor[m], whole
+    return doc[s], s - at[doc[s]], e - s + 1, m - s, anchor[m], whole
 
 
 def union(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

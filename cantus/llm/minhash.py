@@ -132,7 +132,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, i
     classes = store.save(classes)
     buckets = classes.select("rep", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.min("rep").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    shared = store.save(buckets.join(shared.hint("merge"), "bucket"))
+    shared = store.save(buckets.join(store.save(shared).hint("merge"), "bucket"))  # written first, so that a large bucket can be split
 
     ids = store.save(shared.select(F.col("rep").alias("doc_id")).distinct())
     n_ids = ids.count()

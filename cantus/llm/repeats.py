@@ -15,9 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _kernels as K
-from ._store import Store, small
+from ._store import Store
 
-#: Buckets with more runs than this are split by the windows' own hashes.
+#: Buckets with more runs than this are split further.
 HOT = 3000
 #: Bytes of packed runs that a bucket kernel gets at once (a bucket stays whole).
 BUCKET = 1 << 18
@@ -26,6 +26,11 @@ BUCKET = 1 << 18
 Kernel = Callable[[list[bytes], np.ndarray, np.ndarray], list[np.ndarray]]
 
 
+def place(start: np.ndarray, at: np.ndarray | int, n: np.ndarray | int) -> np.ndarray:
+    """A run in one number: its first window's start, its minimiser's place after that, and its number of windows. Order is by start."""
+    return (start << 24) | (at << 12) | n
+
+
 def units(part: np.ndarray, off: np.ndarray, unit: str) -> tuple[np.ndarray, np.ndarray, np.ndarray | None, np.ndarray | None]:
     """Hashes of the units of a chunk of texts, where documents begin, and words' starts and ends."""
     if unit == "byte":
@@ -55,8 +60,8 @@ def repeated_spans(store: Store, docs: DataFrame, unit: str, window: int, gram:
             ids = batch.column("doc_id").to_numpy()
             for i, j in K.chunks(offsets):
                 h, at, _, _ = units(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], unit)
-                doc, start, n, anchor, whole = K.segments(h, at, window, gram, unit)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[i:j][doc], (start << 16) | n, anchor.view(np.int64), whole.view(np.int64))], names=["doc_id", "place", "anchor", "run"])
+                doc, start, n, m, anchor, whole = K.segments(h, at, window, gram, unit)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[i:j][doc], place(start, m, n), anchor.view(np.int64), whole.view(np.int64))], names=["doc_id", "place", "anchor", "run"])
 
     def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -70,7 +75,7 @@ def repeated_spans(store: Store, docs: DataFrame, unit: str, window: int, gram:
                 _, at, first, last = units(part, off, unit)
                 for d in range(i, j):
                     for w in wanted[d]:
-                        start, n = w["place"] >> 16, w["place"] & 0xFFFF
+                        start, n = w["place"] >> 24, w["place"] & 0xFFF
                         s = int(at[d - i]) + start
                         if s + n + window - 1 > at[d - i + 1]:  # another row with this id
                             continue
@@ -100,7 +105,7 @@ def repeated_spans(store: Store, docs: DataFrame, unit: str, window: int, gram:
     def settle(t: pa.Table) -> Iterator[pa.RecordBatch]:
         if not t.num_rows:
             return
-        a, place = t["anchor"].to_numpy(), t["place"].to_numpy()
+        a, at = t["anchor"].to_numpy(), t["place"].to_numpy()
         begins = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
         cuts, texts = [0], t["packed"].to_pylist()
         total = 0
@@ -111,23 +116,52 @@ def repeated_spans(store: Store, docs: DataFrame, unit: str, window: int, gram:
         cuts.append(t.num_rows)
         for x, y in zip(cuts, cuts[1:]):
             own = begins[(begins >= x) & (begins < y)] - x
-            hits = kernel(texts[x:y], np.concatenate([own, [y - x]]), place[x:y] & 0xFFFF)
+            hits = kernel(texts[x:y], np.concatenate([own, [y - x]]), at[x:y] & 0xFFF)
             n = np.array([len(h) for h in hits])
             row = np.repeat(np.arange(x, y), n)
-            at = np.concatenate([*hits, np.zeros(0, np.int64)]).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(t["doc_id"].to_numpy()[row]), pa.array((((place[row] >> 16) + at) << 16) | 1)], names=["doc_id", "place"])
+            k = np.concatenate([*hits, np.zeros(0, np.int64)]).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(t["doc_id"].to_numpy()[row]), pa.array(place((at[row] >> 24) + k, 0, 1))], names=["doc_id", "place"])
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, ids = batch.column("place").to_numpy(), batch.column("doc_id").to_numpy()
+            data, offsets = K.buffers(batch.column("packed"))
+            for i, j in K.chunks(offsets):
+                part, off = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+                h, begin, first, last = units(part, off, unit)
+                start, m, n = at[i:j] >> 24, (at[i:j] >> 12) & 0xFFF, at[i:j] & 0xFFF
+                row = np.repeat(np.arange(j - i), n)
+                k = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                b = (k - m[row]) // width  # equal windows stand in the same block
+                new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (b[1:] != b[:-1])])) if len(row) else np.zeros(0, np.int64)
+                size = np.diff(np.concatenate([new, [len(row)]]))
+                row, k, b = row[new], k[new], b[new]
+                s = begin[row] + k
+                core = begin[row] + m[row] + b * width + width - 1  # units of every window of the block
+                p = K.prefix(h, "word")
+                q = K.prefix(K.mix(h ^ np.uint64(0x5DEECE66D)), "other")
+                near = (m[row] - k).astype(np.uint64)
+                c = [K.mix(K.ranges(v, core, core + window - width + 1, kind) ^ K.mix(b.astype(np.uint64))) for v, kind in ((p, "word"), (q, "other"))]
+                f = [K.ranges(v, s, s + size + window - 1, kind) ^ K.mix(near + np.uint64(3)) for v, kind in ((p, "word"), (q, "other"))]
+                e = s + size + window - 1
+                x, y = (s, e) if unit == "byte" else (first[s], last[e - 1])
+                raw = part.tobytes()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[i:j][row]), pa.array(place(start[row] + k, 0, size)), *(pa.array(v.view(np.int64)) for v in (*c, *f)), pa.array([raw[u:v] for u, v in zip(x, y)], pa.binary())],
+                    names=["doc_id", "place", "c0", "c1", "f0", "f1", "packed"],
+                )
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            place, ids = batch.column("place").to_numpy(), batch.column("doc_id").to_numpy()
+            at, ids = batch.column("place").to_numpy(), batch.column("doc_id").to_numpy()
             data, offsets = K.buffers(batch.column("packed"))
             for i, j in K.chunks(offsets):
-                h, at, _, _ = units(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], unit)
-                n = place[i:j] & 0xFFFF
+                h, begin, _, _ = units(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], unit)
+                n = at[i:j] & 0xFFF
                 row = np.repeat(np.arange(j - i), n)
                 k = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-                w = window_hashes(h, at[row] + k, window)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i:j][row]), pa.array((((place[i:j][row] >> 16) + k) << 16) | 1), pa.array(w[:, 0].view(np.int64)), pa.array(w[:, 1].view(np.int64))], names=["doc_id", "place", "w0", "w1"])
+                w = window_hashes(h, begin[row] + k, window)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i:j][row]), pa.array(place((at[i:j][row] >> 24) + k, 0, 1)), pa.array(w[:, 0].view(np.int64)), pa.array(w[:, 1].view(np.int64))], names=["doc_id", "place", "w0", "w1"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,35 +170,39 @@ def repeated_spans(store: Store, docs: DataFrame, unit: str, window: int, gram:
             out = []
             for i in range(batch.num_rows):
                 p = v[o[i] : o[i + 1]]
-                s, e = K.union(p >> 16, (p >> 16) + (p & 0xFFFF) + window - 1)
+                s, e = K.union(p >> 24, (p >> 24) + (p & 0xFFF) + window - 1)
                 out.append(np.stack([s, e], 1).astype(np.int64).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], names=["doc_id", "spans"])
 
+    def copies(rows: DataFrame, *key: str) -> DataFrame:
+        """(doc_id, place) of rows whose key repeats; of each the first stays out with keep_first. Counts are written before
+        rows are joined to them, so that a key with very many rows can be split."""
+        counts = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "place")).alias("first")).where("n > 1").drop("n")
+        out = rows.select("doc_id", "place", *key).join(store.save(counts).hint("merge"), list(key))
+        return (out.where("first.doc_id <> doc_id or first.place <> place") if keep_first else out).select("doc_id", "place")
+
+    width = max(4, window // 12)
     found = docs.mapInArrow(runs, "doc_id long, place long, anchor long, run long")
     often = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("run").alias("lo"), F.max("run").alias("hi")).where("n > 1")
-    often = often.select("anchor", (F.col("lo") != F.col("hi")).alias("mixed"), (F.col("n") > HOT).alias("hot"))
+    often = store.save(often.select("anchor", (F.col("lo") != F.col("hi")).alias("mixed"), (F.col("n") > HOT).alias("hot")))
     again = store.save(found.join(often.hint("merge"), "anchor"))
-
-    copies = again.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "place")).alias("first")).where("n > 1").select("run", "first")
-    whole = again.select("doc_id", "place", "run").join(copies.hint("merge"), "run")
-    if keep_first:
-        whole = whole.where("first.doc_id <> doc_id or first.place <> place")
-    whole = whole.select("doc_id", "place")
+    store.drop(often)
+    whole = copies(again, "run")
 
     differ = again.where("mixed").groupBy("anchor", "run").agg(F.min(F.struct("doc_id", "place")).alias("p"), F.first("hot").alias("hot"))
-    wanted = differ.select("p.doc_id", F.struct("p.place", "anchor", "hot").alias("w")).groupBy("doc_id").agg(F.collect_list("w").alias("wanted"))
-    wanted = store.save(wanted)
-    n_docs, n_runs = wanted.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("wanted")), F.lit(0))).first()
-    sliced = docs.join(small(wanted, n_docs + n_runs, 40), "doc_id").mapInArrow(slices, "anchor long, hot boolean, doc_id long, place long, packed binary")
-    sliced = store.save(sliced)
+    wanted = store.save(differ.select("p.doc_id", F.struct("p.place", "anchor", "hot").alias("w")).groupBy("doc_id").agg(F.collect_list("w").alias("wanted")))
+    sliced = store.save(docs.join(wanted.hint("merge"), "doc_id").mapInArrow(slices, "anchor long, hot boolean, doc_id long, place long, packed binary"))
     parts = int(sliced.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cold = sliced.where("not hot").repartition(parts, "anchor").sortWithinPartitions("anchor", "doc_id", "place").mapInArrow(buckets, "doc_id long, place long")
-    by_hash = sliced.where("hot").mapInArrow(explode, "doc_id long, place long, w0 long, w1 long")
-    twice = by_hash.groupBy("w0", "w1").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "place")).alias("first")).where("n > 1").drop("n")
-    hot = by_hash.join(twice.hint("merge"), ["w0", "w1"])
-    if keep_first:
-        hot = hot.where("first.doc_id <> doc_id or first.place <> place")
-    marks = whole.unionByName(cold).unionByName(hot.select("doc_id", "place"))
+    marks = whole.unionByName(cold)
+    # A hot bucket is split into blocks of windows by the units that all windows of a block share; what of it is still mixed, into windows.
+    hot = sliced.where("hot").mapInArrow(blocks, "doc_id long, place long, c0 long, c1 long, f0 long, f1 long, packed binary")
+    cores = hot.groupBy("c0", "c1").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("f0", "f1")).alias("lo"), F.max(F.struct("f0", "f1")).alias("hi")).where("n > 1")
+    cores = store.save(cores.select("c0", "c1", (F.col("lo") != F.col("hi")).alias("mixed")))
+    if cores.take(1):
+        hot = store.save(hot.join(cores.hint("merge"), ["c0", "c1"]))
+        reps = hot.where("mixed").groupBy("c0", "c1", "f0", "f1").agg(F.min(F.struct("doc_id", "place", "packed")).alias("p")).select("p.*")
+        marks = marks.unionByName(copies(hot, "f0", "f1")).unionByName(copies(reps.mapInArrow(explode, "doc_id long, place long, w0 long, w1 long"), "w0", "w1"))
     spans = store.save(marks.groupBy("doc_id").agg(F.collect_list("place").alias("places")).mapInArrow(merge, "doc_id long, spans binary"))
     store.drop(again)
     store.drop(sliced)
@@ -174,5 +212,4 @@ def repeated_spans(store: Store, docs: DataFrame, unit: str, window: int, gram:
 
 def attach(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """docs with their spans (null where there are none)."""
-    n, size = spans.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("spans")), F.lit(0))).first()
-    return docs.join(small(spans, n, 48 + size // max(n, 1)), "doc_id", "left")
+    return docs.join(spans.hint("merge"), "doc_id", "left")

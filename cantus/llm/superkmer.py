@@ -6,7 +6,7 @@ sorting the windows counts them exactly.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +37,8 @@ def sorted_windows(window: int):
     return kernel
 
 
-def drop_repeated_windows(docs: DataFrame, window: int = 20, gram: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_words, n_removed, text (the removed words cut out, the rest of the text as it was)
+def drop_repeated_windows(docs: DataFrame, window: int = 20, gram: int = 6, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
+    """One row per document: doc_id, the columns named in `carry`, n_words, n_removed, text (the removed words cut out, the rest of the text as it was)
     and kept_words (the kept words joined by one space).
 
     Words are runs other than ASCII space, unchanged. A word is removed if a window of `window` words that covers it also
@@ -49,8 +49,8 @@ def drop_repeated_windows(docs: DataFrame, window: int = 20, gram: int = 6, id_c
     place: neither is earlier than the other. Other columns are ignored; an empty table gives an empty result.
     """
     store = Store(docs.sparkSession)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    spans = repeated_spans(store, docs, "word", window, gram, True, sorted_windows(window))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *carry).where("doc_id is not null")
+    spans = repeated_spans(store, docs.select("doc_id", "text"), "word", window, gram, True, sorted_windows(window))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -74,6 +74,10 @@ def drop_repeated_windows(docs: DataFrame, window: int = 20, gram: int = 6, id_c
                 removed = n - np.diff(np.concatenate([[0], np.cumsum(keep)])[at])
                 texts = K.kept_bytes(part, off, byte)
                 texts = pa.array([None if null else t for null, t in zip(column.slice(i, j - i).is_null().to_pylist(), texts.to_pylist())], pa.string())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(removed.astype(np.int64)), texts, K.joined(part, off, start, end, at, keep)], names=["doc_id", "n_words", "n_removed", "text", "kept_words"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").slice(i, j - i), *(batch.column(c).slice(i, j - i) for c in carry), pa.array(n.astype(np.int64)), pa.array(removed.astype(np.int64)), texts, K.joined(part, off, start, end, at, keep)],
+                    names=["doc_id", *carry, "n_words", "n_removed", "text", "kept_words"],
+                )
 
-    return attach(docs, spans).mapInArrow(cut, "doc_id long, n_words long, n_removed long, text string, kept_words string")
+    carried = "".join(f"`{c}` {k}, " for c, k in docs.select(*carry).dtypes)
+    return attach(docs, spans).mapInArrow(cut, f"doc_id long, {carried}n_words long, n_removed long, text string, kept_words string")
