@@ -12,6 +12,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .descent import embedding_links
+
+    return embedding_links(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 def op3_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import near_duplicates
 
@@ -76,6 +82,7 @@ def op10_superkmer_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_nn_descent": op1_nn_descent,
     "op3_minmax_near_dedup": op3_minmax_near_dedup,
     "op4_lpf_substring_dedup": op4_lpf_substring_dedup,
     "op5_snapshot_collapse": op5_snapshot_collapse,
