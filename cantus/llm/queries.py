@@ -18,6 +18,12 @@ def op1_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_links(table(spark, sf_dir, "embeddings"), threshold=0.95)
 
 
+def op2_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pitman_yor import score
+
+    return score(table(spark, sf_dir, "documents"))
+
+
 def op3_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import near_duplicates
 
@@ -83,6 +89,7 @@ def op10_superkmer_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFram
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nn_descent": op1_nn_descent,
+    "op2_pitman_yor": op2_pitman_yor,
     "op3_minmax_near_dedup": op3_minmax_near_dedup,
     "op4_lpf_substring_dedup": op4_lpf_substring_dedup,
     "op5_snapshot_collapse": op5_snapshot_collapse,
