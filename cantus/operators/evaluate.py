@@ -76,10 +76,10 @@ def first_patterns(est: DataFrame, n: int = 5) -> DataFrame:
 
 def forms(patterns: DataFrame) -> DataFrame:
     """(piece_id, pattern, form): each pattern's first occurrence, moved so that it begins at the origin, as text."""
-    from .geometry import POINT, shape
+    from .geometry import point, shape
 
     first = patterns.groupBy("piece_id", "pattern").agg(F.min("occ").alias("occ"))
-    points = patterns.join(first, ["piece_id", "pattern", "occ"]).groupBy("piece_id", "pattern").agg(F.sort_array(F.collect_list(POINT)).alias("points"))
+    points = patterns.join(first, ["piece_id", "pattern", "occ"]).groupBy("piece_id", "pattern").agg(F.sort_array(F.collect_list(point())).alias("points"))
     return points.select("piece_id", "pattern", F.array_join(F.transform(shape(F.col("points")), lambda p: F.concat_ws(":", p["onset"], p["pitch"])), " ").alias("form"))
 
 

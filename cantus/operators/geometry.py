@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-POINT = F.struct("onset", "pitch")
+
+def point() -> Column:
+    return F.struct("onset", "pitch")
 
 
 def after(p: str, q: str) -> Column:
@@ -28,14 +30,14 @@ def differences(notes: DataFrame) -> DataFrame:
 
 def mtps(notes: DataFrame) -> DataFrame:
     """(piece_id, d_onset, d_pitch, pattern, size): the points of each difference vector, in order."""
-    return differences(notes).groupBy("piece_id", "d_onset", "d_pitch").agg(F.sort_array(F.collect_list(POINT)).alias("pattern")).withColumn("size", F.size("pattern"))
+    return differences(notes).groupBy("piece_id", "d_onset", "d_pitch").agg(F.sort_array(F.collect_list(point())).alias("pattern")).withColumn("size", F.size("pattern"))
 
 
 def all_mtps(notes: DataFrame) -> DataFrame:
     """As mtps, over all vectors between points: the zero vector and the negative ones too."""
     a, b = notes.alias("a"), notes.alias("b")
     pairs = a.join(b, "piece_id").select("piece_id", (F.col("b.onset") - F.col("a.onset")).alias("d_onset"), (F.col("b.pitch") - F.col("a.pitch")).alias("d_pitch"), "a.onset", "a.pitch")
-    return pairs.groupBy("piece_id", "d_onset", "d_pitch").agg(F.sort_array(F.collect_list(POINT)).alias("pattern")).withColumn("size", F.size("pattern"))
+    return pairs.groupBy("piece_id", "d_onset", "d_pitch").agg(F.sort_array(F.collect_list(point())).alias("pattern")).withColumn("size", F.size("pattern"))
 
 
 def indexed(notes: DataFrame) -> DataFrame:
@@ -67,7 +69,7 @@ def translatable(notes: DataFrame, vectors: DataFrame) -> DataFrame:
 def siar(notes: DataFrame, r: int = 3) -> DataFrame:
     """MTPs of the restricted vectors, with freq to order them by."""
     v = restricted_vectors(notes, r)
-    out = translatable(notes, v).groupBy("piece_id", "d_onset", "d_pitch").agg(F.sort_array(F.collect_list(POINT)).alias("pattern"))
+    out = translatable(notes, v).groupBy("piece_id", "d_onset", "d_pitch").agg(F.sort_array(F.collect_list(point())).alias("pattern"))
     return out.join(v, ["piece_id", "d_onset", "d_pitch"]).withColumn("size", F.size("pattern"))
 
 
@@ -108,7 +110,7 @@ def translators(tecs: DataFrame, notes: DataFrame, pairs: DataFrame | None = Non
 def siatec(notes: DataFrame) -> DataFrame:
     """TECs: (piece_id, d_onset, d_pitch, pattern, size, translators, n_translators), one for each shape of an MTP."""
     pairs = differences(notes)
-    found = pairs.groupBy("piece_id", "d_onset", "d_pitch").agg(F.sort_array(F.collect_list(POINT)).alias("pattern")).withColumn("size", F.size("pattern"))
+    found = pairs.groupBy("piece_id", "d_onset", "d_pitch").agg(F.sort_array(F.collect_list(point())).alias("pattern")).withColumn("size", F.size("pattern"))
     return with_translators(patterns(found), notes, pairs)
 
 
@@ -158,7 +160,7 @@ def siatechf(notes: DataFrame, least_cr: float) -> DataFrame:
     """The same TECs; patterns that can't reach the ratio go before the division. A first step that occurs b times bounds
     the translators by b."""
     pairs = differences(notes)
-    found = pairs.groupBy("piece_id", "d_onset", "d_pitch").agg(F.sort_array(F.collect_list(POINT)).alias("pattern")).withColumn("size", F.size("pattern"))
+    found = pairs.groupBy("piece_id", "d_onset", "d_pitch").agg(F.sort_array(F.collect_list(point())).alias("pattern")).withColumn("size", F.size("pattern"))
     shapes = patterns(found)
     p0, p1 = F.element_at("pattern", 1), F.get(F.col("pattern"), F.lit(1))
     steps = found.select("piece_id", F.col("d_onset").alias("s_onset"), F.col("d_pitch").alias("s_pitch"), F.col("size").alias("b"))
@@ -200,12 +202,13 @@ def salience(tecs: DataFrame, notes: DataFrame) -> DataFrame:
     return out.withColumn("salience", scaled("cr") * scaled("max_compactness"))
 
 
-#: The order of TECs from best to worst: what they compress, how compact and large they are; the vector breaks ties.
-QUALITY = [F.desc("cr"), F.desc("compactness"), F.desc("coverage"), F.desc("size"), F.asc("width"), F.asc("volume"), F.asc("d_onset"), F.asc("d_pitch")]
+def quality() -> list[Column]:
+    """The order of TECs from best to worst: what they compress, how compact and large they are; the vector breaks ties."""
+    return [F.desc("cr"), F.desc("compactness"), F.desc("coverage"), F.desc("size"), F.asc("width"), F.asc("volume"), F.asc("d_onset"), F.asc("d_pitch")]
 
 
 def ranked(tecs: DataFrame) -> DataFrame:
-    return tecs.withColumn("rank", F.row_number().over(Window.partitionBy("piece_id").orderBy(*QUALITY)))
+    return tecs.withColumn("rank", F.row_number().over(Window.partitionBy("piece_id").orderBy(*quality())))
 
 
 def cardinality(p: DataFrame, q: DataFrame, translate: bool = False) -> DataFrame:

@@ -83,7 +83,7 @@ def tec_salience(spark: SparkSession, d: str) -> DataFrame:
 
 def covered_sets(spark: SparkSession, d: str) -> DataFrame:
     """How many TECs of a piece cover the same set of points: equal coverage is how classes are compared."""
-    cover = g.covered(g.siatec(notes_view(spark, d))).groupBy("piece_id", "d_onset", "d_pitch").agg(text(F.sort_array(F.collect_list(g.POINT))).alias("points"))
+    cover = g.covered(g.siatec(notes_view(spark, d))).groupBy("piece_id", "d_onset", "d_pitch").agg(text(F.sort_array(F.collect_list(g.point()))).alias("points"))
     return cover.groupBy("piece_id", "points").agg(F.count(F.lit(1)).alias("n_tecs"))
 
 
