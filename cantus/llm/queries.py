@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import oracles
+from .hosts import TWO_LABEL_SUFFIXES
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -99,4 +102,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_host_reputation": op9_host_reputation,
     "op10_superkmer_substring_dedup": op10_superkmer_substring_dedup,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op3_minmax_near_dedup": oracles.MINHASH,
+    "op5_snapshot_collapse": oracles.COLLAPSE,
+    "op9_host_reputation": oracles.hosts(RULES, TOLERANCE, TWO_LABEL_SUFFIXES),
+    "op10_superkmer_substring_dedup": oracles.SUPERKMER,
+}
