@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are worked on at once (a longer document makes a chunk of its own).
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 U = np.uint64
 
 

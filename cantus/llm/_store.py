@@ -11,6 +11,14 @@ from pyspark.sql import functions as F
 #: The largest side that is broadcast, in bytes (estimated from its rows); larger sides are shuffled.
 BROADCAST_BYTES = 2 << 20
 
+#: Bytes of one Arrow batch between Spark and Python, which bounds what a task holds of long texts at once.
+BATCH_BYTES = 8 << 20
+
+
+def lean(spark: SparkSession) -> None:
+    """Bounds Arrow batches for what runs next in this session."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
 
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session; where it is unset (tests), a folder of our own."""
@@ -27,6 +35,7 @@ class Store:
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{shared_dir(spark)}/cantus-{uuid.uuid4().hex}"
         self.n = 0
+        lean(spark)
 
     def save(self, df: DataFrame) -> DataFrame:
         self.n += 1

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _kernels as K
+from ._store import lean
 
 #: Labelled rows that the model is fitted on at most: those whose ids hash lowest.
 SAMPLE = 8000
@@ -56,6 +57,7 @@ def fit(docs: DataFrame, grades: DataFrame, sample: int = SAMPLE, rounds: int =
     Labels that only tell 0 from 1 are refined: rows of grade 1 with more distinct markers (features that are much more
     frequent in it) than its median get grade 2, so that severity is graded by how much of a text is toxic.
     """
+    lean(docs.sparkSession)
     graded = grades.where("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.max("grade").cast("int").alias("grade"))
     chosen = graded.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
@@ -130,6 +132,7 @@ def severity(docs: DataFrame, model: Model, reject: float = 0.65, id_col: str =
     with a null id and rows that repeat an id are scored like others. Where docs has columns of these names, the new
     ones take their place; an empty table gives an empty result.
     """
+    lean(docs.sparkSession)
     docs = docs.drop("severity", "p_toxic", "toxic")
     names = docs.columns
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.thresholds))

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._store import lean
+
 #: Pieces of a block on average. More give a tighter packing, fewer a smaller task.
 BLOCK = 16_000
 _ENCODINGS: dict[str, tuple] = {}
@@ -153,6 +155,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, block: int = BLO
     gives an empty result. Blocks hold about `block` pieces by hash, however many there are, so each but a block's last bin is
     full or nearly so.
     """
+    lean(docs.sparkSession)
     n = docs.count()
     blocks = max(1, round(n / block))
     cut = pieces(docs, tokenizer, capacity, id_col, text_col).withColumn("block", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(blocks)))

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _kernels as K
+from ._store import lean
 
 #: Words of the shortest tile, and the share of an item's words that makes a document contaminated.
 LEAST, COVERAGE = 5, 0.6
@@ -67,6 +68,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, cov
     items of their own. Rows with null ids and rows that repeat an id are judged like others. Columns of docs with the new
     names are replaced; an empty table gives an empty result.
     """
+    lean(docs.sparkSession)
     docs = docs.drop("item_id", "coverage", "n_tiles", "contaminated")
     names = docs.columns
     kinds = ", ".join(f"`{c}` {k}" for c, k in docs.dtypes) + ", item_id long, coverage double, n_tiles long, contaminated boolean"
