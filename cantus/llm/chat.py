@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._store import Store
+
 #: Bits of the parts that a turn's hash is summed in; sums of up to 2**31 turns fit in a long.
 PART = 32
 
@@ -26,7 +28,8 @@ def numbered(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     parts = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     light = keyed.select("conv_id", "turn", "digest").repartitionByRange(parts, "conv_id", "turn", "digest").withColumn("range", F.spark_partition_id())
     within = Window.partitionBy("range", "conv_id").orderBy("turn", "digest")
-    light = light.withColumn("rank", F.row_number().over(within))
+    # Written once: what reads it below must see the same ranges, which another shuffle could draw elsewhere.
+    light = Store(turns.sparkSession).save(light.withColumn("rank", F.row_number().over(within)))
     counts = light.groupBy("conv_id", "range").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("conv_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("conv_id", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("skip"))
