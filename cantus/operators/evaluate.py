@@ -97,3 +97,20 @@ def confusion(rows: DataFrame, gold: Column, guess: Column) -> DataFrame:
     counts = rows.agg(*(F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0)).alias(n) for n, c in (("tp", t & g), ("fp", ~t & g), ("fn", t & ~g), ("tn", ~t & ~g))))
     p, r = F.col("tp") / F.greatest(F.col("tp") + F.col("fp"), F.lit(1)), F.col("tp") / F.greatest(F.col("tp") + F.col("fn"), F.lit(1))
     return counts.select("*", ((F.col("tp") + F.col("tn")) / F.greatest(F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn"), F.lit(1))).alias("accuracy"), p.alias("precision"), r.alias("recall"), f1(p, r).alias("f1"))
+
+
+def melody_accuracy(notes: DataFrame, melody: DataFrame, by: list[str], wide: Column, narrow: Column) -> DataFrame:
+    """Four counts for each of two readings of which notes are melody (with and without bridge): found or not (by a semi-join on `by`) against labelled or not."""
+    rows = notes.join(melody.select(*by).distinct().withColumn("found", F.lit(True)), by, "left").withColumn("found", F.coalesce("found", F.lit(False)))
+    out = []
+    for name, gold in (("wide", wide), ("narrow", narrow)):
+        for label, c in (("tp", gold & F.col("found")), ("fp", ~gold & F.col("found")), ("fn", gold & ~F.col("found")), ("tn", ~gold & ~F.col("found"))):
+            out.append(F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0)).alias(f"{name}_{label}"))
+    return rows.agg(*out)
+
+
+def welch(rows: DataFrame, group: Column, value: Column) -> DataFrame:
+    """Welch's statistic of two samples (group true and false), and its degrees of freedom."""
+    s = rows.agg(*(f(F.when(group if k else ~group, value)).alias(f"{n}{k}") for k in (1, 0) for n, f in (("m", F.avg), ("v", F.var_samp), ("n", F.count))))
+    a, b = F.col("v1") / F.col("n1"), F.col("v0") / F.col("n0")
+    return s.select(((F.col("m1") - F.col("m0")) / F.sqrt(a + b)).alias("t"), ((a + b) ** 2 / (a * a / (F.col("n1") - 1) + b * b / (F.col("n0") - 1))).alias("freedom"))

@@ -83,3 +83,27 @@ def without_collisions(beats: DataFrame, voice: DataFrame, before: int = 1, afte
     """beats (piece_id, beat) around which, from `before` earlier to `after` later, no voice has a note: an anti-join on exploded neighbours."""
     near = voice.select("piece_id", F.explode(F.sequence(F.col("beat") - after, F.col("beat") + before)).alias("beat")).distinct()
     return beats.join(near, ["piece_id", "beat"], "left_anti")
+
+
+def notes_per_beat(notes: DataFrame, beats: DataFrame, rescue: float = 0.1, least: float = 0.2) -> DataFrame:
+    """notes (piece_id, start, end, pitch) with the beat (piece_id, beat, at) they begin in. A note that begins within `rescue` before the
+    next beat and is longer than `least` belongs to that beat; notes before the first beat and after the last beat's start go."""
+    w = Window.partitionBy("piece_id").orderBy("at")
+    steps = beats.select("piece_id", "at", "beat", F.lead("at").over(w).alias("next"), F.lead("beat").over(w).alias("next_beat"))
+    found = as_of(notes.withColumnRenamed("start", "time"), steps, "piece_id", "time", "at", ["at", "beat", "next", "next_beat"]).where("next is not null")
+    late = (F.col("next") - F.col("time") <= rescue) & (F.col("end") - F.col("time") > least)
+    return found.select("piece_id", F.col("time").alias("start"), "end", "pitch", F.when(late, F.col("next_beat")).otherwise(F.col("beat")).alias("beat"))
+
+
+def beat_ticks(notes: DataFrame, per_beat: int = 480, grid: int = 120) -> DataFrame:
+    """notes (piece_id, beat, start, end in beats from it) with start_tick and end_tick on the grid (half to even); empty ones go."""
+    tick = lambda c: (F.col("beat") * per_beat + F.bround(F.col(c) * per_beat / grid, 0) * grid).cast("long")
+    return notes.withColumn("start_tick", tick("start")).withColumn("end_tick", tick("end")).where("end_tick > start_tick")
+
+
+def merged_tracks(*tracks: DataFrame) -> DataFrame:
+    """Notes of all tracks in order of time, higher ones first: place is their number in the piece."""
+    out = tracks[0]
+    for t in tracks[1:]:
+        out = out.unionByName(t)
+    return out.withColumn("place", F.row_number().over(Window.partitionBy("piece_id").orderBy("start", F.desc("pitch"), "end")))

@@ -95,3 +95,10 @@ def shifted(notes: DataFrame, semitones: int) -> DataFrame:
 def class_means(notes: DataFrame) -> DataFrame:
     """Number and mean pitch of labelled and unlabelled notes."""
     return notes.groupBy((F.col("type") != "").alias("labelled")).agg(F.count(F.lit(1)).alias("n"), F.avg("pitch").alias("mean_pitch"))
+
+
+def decode(words: DataFrame, bar_length: int = 16) -> DataFrame:
+    """Token ids (piece_id, w, t_bar, t_position, t_pitch, t_duration) back to notes: (piece_id, w, onset in 16ths, pitch, duration in steps of the duration bins). A bar token 0 begins a bar."""
+    w = Window.partitionBy("piece_id").orderBy("w").rowsBetween(Window.unboundedPreceding, 0)
+    bar = F.sum(F.when(F.col("t_bar") == 0, 1).otherwise(0)).over(w) - 1
+    return words.select("piece_id", "w", (bar * bar_length + F.col("t_position")).alias("onset"), (F.col("t_pitch") + LOWEST).alias("pitch"), (F.col("t_duration") + 1).alias("duration"))
