@@ -125,7 +125,7 @@ def fit(docs: DataFrame, grades: DataFrame, sample: int = SAMPLE, rounds: int =
     return Model(weights, t0 + np.concatenate([[0], np.cumsum(np.exp(gaps))]))
 
 
-def severity(docs: DataFrame, model: Model, reject: float = 0.65, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def severity(docs: DataFrame, model: Model, reject: float = 0.55, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of docs and severity (expected grade), p_toxic (of any grade above 0) and toxic (p_toxic of at least `reject`).
 
     Words are split at ASCII other than letters and digits, A-Z lower-cased. Null and empty texts have no features. Rows
