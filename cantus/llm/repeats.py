@@ -181,13 +181,15 @@ def repeated_spans(store: Store, docs: DataFrame, unit: str, window: int, gram:
         out = rows.select("doc_id", "place", *key).join(store.save(counts).hint("merge"), list(key))
         return (out.where("first.doc_id <> doc_id or first.place <> place") if keep_first else out).select("doc_id", "place")
 
+    if window > 2000:
+        raise ValueError("windows of at most 2000 units")  # place() has 12 bits for each part
     width = max(4, window // 12)
     found = docs.mapInArrow(runs, "doc_id long, place long, anchor long, run long")
     often = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("run").alias("lo"), F.max("run").alias("hi")).where("n > 1")
     often = store.save(often.select("anchor", (F.col("lo") != F.col("hi")).alias("mixed"), (F.col("n") > HOT).alias("hot")))
     again = store.save(found.join(often.hint("merge"), "anchor"))
     store.drop(often)
-    whole = copies(again, "run")
+    whole = copies(again, "anchor", "run")  # 128 bits together
 
     differ = again.where("mixed").groupBy("anchor", "run").agg(F.min(F.struct("doc_id", "place")).alias("p"), F.first("hot").alias("hot"))
     wanted = store.save(differ.select("p.doc_id", F.struct("p.place", "anchor", "hot").alias("w")).groupBy("doc_id").agg(F.collect_list("w").alias("wanted")))
