@@ -23,7 +23,7 @@ def suffix_array(x: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]
     n, have, levels = len(x), 1, []
     key = x
     while True:
-        o = np.argsort(key, kind="stable")
+        o = np.argsort(key)  # ties share a rank, so their order is free
         rank = np.empty(n, np.int64)
         rank[o] = np.cumsum(np.concatenate([[0], key[o][1:] != key[o][:-1]]))
         levels.append((have, rank))
