@@ -34,6 +34,8 @@ PART_BYTES, PACK_BYTES = 16 << 20, 8 << 20
 #: Sweeps, and how many of the first are left out of the average.
 SWEEPS, BURN_IN = 4, 1
 STRENGTH = 1.0
+#: Parts of 1 in which sums of logarithms travel.
+BASE_UNIT, SCORE_UNIT = float(1 << 30), float(1 << 20)
 END, BEGIN = U(0x0E0D_0E0D_0E0D_0E0D), U(0xB0B0_B0B0_B0B0_B0B1)
 
 
@@ -50,6 +52,16 @@ def unpack(b: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).reshape(-1).view(f"<u{width}").astype(np.int64 if width < 8 else U)
 
 
+def pack_ids(x: np.ndarray) -> bytes:
+    """Sorted 64-bit ids: the first, and the steps between them."""
+    return x[:1].astype(np.int64).tobytes() + pack(np.diff(x).view(U))
+
+
+def unpack_ids(b: bytes) -> np.ndarray:
+    rest = unpack(b[8:]).view(np.int64)
+    return np.frombuffer(b[:8], np.int64)[0] + np.concatenate([np.zeros(1, np.int64), np.cumsum(rest)])
+
+
 def steps(x: np.ndarray, new: np.ndarray) -> np.ndarray:
     """Differences of rising numbers, which start again at each new."""
     d = x.copy()
@@ -234,9 +246,12 @@ def score(docs: DataFrame, held_out: int = 10, sweeps: int = SWEEPS, burn_in: in
             w = np.concatenate([x[0] for x in held])
             slot = np.concatenate([x[1] for x in held])
             ids = np.concatenate([x[3] for x in held])
-            train = np.concatenate([x[4] for x in held])
+            order = np.argsort(ids, kind="stable")
+            rank = np.empty(len(ids), np.int64)
+            rank[order] = np.arange(len(ids))
             shift = np.cumsum([0, *(len(x[3]) for x in held)])
-            doc = np.concatenate([x[2] + s for x, s in zip(held, shift)])
+            doc = rank[np.concatenate([x[2] + s for x, s in zip(held, shift)])]
+            ids, train = ids[order], np.concatenate([x[4] for x in held])[order]
             place = K.mix(w ^ U(0x77))
             if len(heavy):
                 often = heavy[np.minimum(np.searchsorted(heavy, w), len(heavy) - 1)] == w
@@ -254,7 +269,7 @@ def score(docs: DataFrame, held_out: int = 10, sweeps: int = SWEEPS, burn_in: in
                 new = np.concatenate([[True], wi_[1:] != wi_[:-1]])
                 d = x & ((1 << bits) - 1)
                 use, d = np.unique(d, return_inverse=True)
-                rows.append((int(p), unique[wi_[new]].tobytes(), pack(np.diff(np.concatenate([np.flatnonzero(new), [len(x)]]))), pack(steps((x >> bits) & (SLOTS - 1), new)), pack(d), ids[use].tobytes(), np.packbits(train[use]).tobytes()))
+                rows.append((int(p), unique[wi_[new]].tobytes(), pack(np.diff(np.concatenate([np.flatnonzero(new), [len(x)]]))), pack(steps((x >> bits) & (SLOTS - 1), new)), pack(d), pack_ids(ids[use]), np.packbits(train[use]).tobytes()))
             c = list(zip(*rows))
             yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int32()), *(pa.array(v, pa.binary()) for v in c[1:])], names=["r", "w", "n", "slots", "doc", "ids", "train"])
 
@@ -279,7 +294,7 @@ def score(docs: DataFrame, held_out: int = 10, sweeps: int = SWEEPS, burn_in: in
                 n = [unpack(x["n"]) for x in rows]
                 sizes = [int(x.sum()) for x in n]
                 words, wi = np.unique(np.concatenate([np.frombuffer(x["w"], U) for x in rows]), return_inverse=True)
-                ids = [np.frombuffer(x["ids"], np.int64) for x in rows]
+                ids = [unpack_ids(x["ids"]) for x in rows]
                 docs_, di = np.unique(np.concatenate(ids), return_inverse=True)
                 train = np.zeros(len(docs_), bool)
                 train[di] = np.concatenate([np.unpackbits(np.frombuffer(x["train"], np.uint8))[: len(d)] for x, d in zip(rows, ids)]).astype(bool)
@@ -300,7 +315,7 @@ def score(docs: DataFrame, held_out: int = 10, sweeps: int = SWEEPS, burn_in: in
                 count = np.add.reduceat(train[doc].astype(np.int64), at)
                 word, slot = pair[at] >> BITS, pair[at] & (SLOTS - 1)
                 contexts = np.bincount(word, minlength=len(words))
-                out.append((rows[0]["r"], pack(words), pack(contexts), pack(steps(slot, starts(contexts))), pack(count), pack(occ), pack(doc), docs_.tobytes()))
+                out.append((rows[0]["r"], pack(words), pack(contexts), pack(steps(slot, starts(contexts))), pack(count), pack(occ), pack(doc), pack_ids(docs_)))
             c = list(zip(*out))
             return pa.RecordBatch.from_arrays([pa.array(c[0], pa.int32()), *(pa.array(v, pa.binary()) for v in c[1:])], names=["r", "w", "contexts", "slots", "counts", "occ", "doc", "ids"])
 
@@ -369,32 +384,32 @@ def score(docs: DataFrame, held_out: int = 10, sweeps: int = SWEEPS, burn_in: in
                         prob += mine / (STRENGTH + s.customers[p.slot])
                 prob /= sweeps - burn_in if sweeps > burn_in else sweeps + 1
                 n = p.n if not len(s.heavy) else np.where(p.is_heavy, s.heavy_count[p.at], p.n)
-                occ, doc, ids = unpack(row["occ"]), unpack(row["doc"]), np.frombuffer(row["ids"], np.int64)
+                occ, doc, ids = unpack(row["occ"]), unpack(row["doc"]), unpack_ids(row["ids"])
                 pair = np.repeat(np.arange(len(occ)), occ)
                 word = p.word[pair]
-                sums = [np.bincount(doc, minlength=len(ids)), np.bincount(doc, (n > 0)[word], len(ids)), np.bincount(doc, np.log10(n + 0.1)[word], len(ids)), np.bincount(doc, np.log10(prob)[pair], len(ids))]
+                # Sums of a document's tokens here, as whole numbers that take few bytes: log10(c + 0.1) is at least -1, log10 of a probability at most 0.
+                n_tokens, n_known = np.bincount(doc, minlength=len(ids)), np.bincount(doc[(n > 0)[word]], minlength=len(ids))
+                base = np.rint((np.bincount(doc, np.log10(n + 0.1)[word], len(ids)) + n_tokens) * BASE_UNIT).astype(np.int64)
+                mine = np.rint(np.bincount(doc, -np.log10(prob)[pair], len(ids)) * SCORE_UNIT).astype(np.int64)
                 bucket = (K.mix(ids.view(U)) >> U(33)) % U(parts)
                 o = np.argsort(bucket, kind="stable")
                 cut = np.searchsorted(bucket[o], np.arange(parts + 1, dtype=U))
-                use = np.flatnonzero(cut[1:] > cut[:-1])
-                rows = [(int(b), *(v[o[cut[b] : cut[b + 1]]] for v in (ids, *sums))) for b in use]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([zip_(r[c]) for r in rows], pa.binary()) for c in range(1, 6))], names=["bucket", "ids", "tokens", "known", "base", "score"])
-
-    def zip_(x: np.ndarray) -> bytes:
-        return zstandard.ZstdCompressor(level=1).compress(x.astype(np.int32).tobytes() if x.dtype == np.int64 and len(x) and abs(x).max() < 1 << 31 else x.tobytes())
-
-    def unzip(b: bytes, kind: str, n: int) -> np.ndarray:
-        raw = zstandard.ZstdDecompressor().decompress(b)
-        return np.frombuffer(raw, kind if len(raw) == 8 * n else np.int32)
+                rows = [(int(b), pack_ids(ids[x]), *(pack(v[x]) for v in (n_tokens, n_known, base, mine))) for b in np.flatnonzero(cut[1:] > cut[:-1]) for x in [o[cut[b] : cut[b + 1]]]]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[c] for r in rows], pa.binary()) for c in range(1, 6))], names=["bucket", "ids", "tokens", "known", "base", "score"])
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def each(t: pa.Table, begins: np.ndarray) -> pa.RecordBatch:
-            rows = t.to_pylist()
-            sizes = [len(zstandard.ZstdDecompressor().decompress(r["score"])) // 8 for r in rows]
-            columns = [np.concatenate([unzip(r[c], kind, m) for r, m in zip(rows, sizes)]) for c, kind in (("ids", "<i8"), ("tokens", "<i8"), ("known", "<f8"), ("base", "<f8"), ("score", "<f8"))]
-            ids, at = np.unique(columns[0].astype(np.int64), return_inverse=True)
-            sums = [np.bincount(at, c, len(ids)) for c in columns[1:]]
-            return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(sums[0].astype(np.int64)), pa.array(sums[1].astype(np.int64)), pa.array(sums[2] - sums[0] * np.log10(state.total + 0.1 * (state.words + 1))), pa.array(sums[3])], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+            out = []
+            for a, b in zip(begins, begins[1:]):
+                rows = t.slice(a, b - a).to_pylist()
+                ids, at = np.unique(np.concatenate([unpack_ids(r["ids"]) for r in rows]), return_inverse=True)
+                sums = [np.zeros(len(ids), np.int64) for _ in range(4)]
+                for v, c in zip(sums, ("tokens", "known", "base", "score")):
+                    np.add.at(v, at, np.concatenate([unpack(r[c]).astype(np.int64) for r in rows]))
+                out.append((ids, *sums))
+            ids, n_tokens, n_known, base, mine = (np.concatenate(c) for c in zip(*out))
+            base = base / BASE_UNIT - n_tokens - n_tokens * np.log10(state.total + 0.1 * (state.words + 1))
+            return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n_tokens), pa.array(n_known), pa.array(base), pa.array(-mine / SCORE_UNIT)], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
         yield from grouped(batches, ["bucket"], each, 1)
 
