@@ -66,15 +66,14 @@ def reputation(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
     hosts = hosts.select("host", domain(F.col("host")).alias("domain"), suffix(F.col("host")).alias("suffix"), "n", "n_bad")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("dn"), F.sum("n_bad").alias("db"))
     suffixes = domains.groupBy("suffix").agg(F.sum("dn").alias("sn"), F.sum("db").alias("sb"))
-    top = suffixes.agg((F.sum("sb") / F.sum("sn")).alias("rate"), strength(suffixes, "sn", "sb").alias("ks"))
-    level_d = domains.agg(strength(domains, "dn", "db").alias("kd"))
-    level_h = hosts.agg(strength(hosts, "n", "n_bad").alias("kh"))
-    priors = top.crossJoin(level_d).crossJoin(level_h)  # one row
-    suffixes = suffixes.crossJoin(F.broadcast(priors)).select("suffix", "kd", "kh", ((F.col("sb") + F.col("ks") * F.col("rate")) / (F.col("sn") + F.col("ks"))).alias("s_rate"))
-    domains = domains.join(suffixes, "suffix").select("domain", "kh", ((F.col("db") + F.col("kd") * F.col("s_rate")) / (F.col("dn") + F.col("kd"))).alias("d_rate"))
+    rate = suffixes.agg(F.sum("sb") / F.sum("sn")).scalar()
+    ks, kd, kh = (level.agg(strength(level, n, bad)).scalar() for level, n, bad in ((suffixes, "sn", "sb"), (domains, "dn", "db"), (hosts, "n", "n_bad")))
+    suffixes = suffixes.select("suffix", ((F.col("sb") + ks * rate) / (F.col("sn") + ks)).alias("s_rate"))
+    domains = domains.join(suffixes, "suffix").select("domain", ((F.col("db") + kd * F.col("s_rate")) / (F.col("dn") + kd)).alias("d_rate"))
+    hosts = hosts.join(domains, "domain").withColumn("kh", kh)
     a, b = F.col("n_bad") + F.col("kh") * F.col("d_rate"), F.col("n") - F.col("n_bad") + F.col("kh") * (1 - F.col("d_rate"))
     mean = a / (a + b)
-    out = hosts.join(domains, "domain").select("host", "n", "n_bad", mean.alias("bad_rate"), (mean - z * F.sqrt(mean * (1 - mean) / (a + b + 1))).alias("bad_bound"))
+    out = hosts.select("host", "n", "n_bad", mean.alias("bad_rate"), (mean - z * F.sqrt(mean * (1 - mean) / (a + b + 1))).alias("bad_bound"))
     return out
 
 
