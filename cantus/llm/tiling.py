@@ -18,7 +18,7 @@ from . import _kernels as K
 from ._store import lean
 
 #: Words of the shortest tile, and the share of an item's words that makes a document contaminated.
-LEAST, COVERAGE = 5, 0.6
+LEAST, COVERAGE = 5, 0.5
 #: Bytes of benchmark text that go to every task at once; a larger benchmark is worked through in such blocks.
 BLOCK_BYTES = 16 << 20
 

@@ -168,7 +168,7 @@ def test_string_tiling(spark, block, monkeypatch):
     for k, t, _ in docs:
         shares = {i: brute_tiles(t.lower().split(), x.split(), 5) / len(x.split()) for i, x in items if len(x.split()) >= 5}
         best = max(shares.values())
-        assert got[k].coverage == pytest.approx(best) and got[k].contaminated == (best >= 0.6)
+        assert got[k].coverage == pytest.approx(best) and got[k].contaminated == (best >= tiling.COVERAGE)
         if best:
             assert got[k].item_id == min(i for i, s in shares.items() if s == best)
     assert not got[60].contaminated and not got[61].contaminated
