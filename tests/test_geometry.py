@@ -114,3 +114,35 @@ def test_trawl_cuts_where_points_grow_sparse(spark):
 def test_empty_set(spark):
     n = points(spark)
     assert g.siatec(n).count() == 0 and g.measured(g.siatec(n), n).count() == 0
+
+
+def brute_tecs(s):
+    """One pattern per shape (of the smallest vector) with translators, coverage and the keys that rank it."""
+    s = sorted(s)
+    by_shape = {}
+    for v, p in sorted(brute_mtps(s).items()):
+        by_shape.setdefault(tuple((a - p[0][0], b - p[0][1]) for a, b in p), (v, p))
+    for v, p in by_shape.values():
+        t = [(x - p[0][0], y - p[0][1]) for x, y in s if all((a + x - p[0][0], b + y - p[0][1]) in s for a, b in p)]
+        cover = {(a + c, b + d) for a, b in p for c, d in t}
+        xs, ys = [a for a, _ in p], [b for _, b in p]
+        width, height = max(xs) - min(xs), max(ys) - min(ys)
+        box = sum(min(xs) <= x <= max(xs) and min(ys) <= y <= max(ys) for x, y in s)
+        key = (-len(cover) / (len(p) + len(t) - 1), -len(p) / box, -len(cover), -len(p), width, width * height, *v)
+        yield key, v, len(p), len(t), cover
+
+
+def test_compress_takes_what_a_greedy_scan_takes(spark):
+    r = random.Random(9)
+    sets = [sorted({(r.randrange(12), r.randrange(5)) for _ in range(22)}) for _ in range(3)]
+    for strict in (False, True):
+        want = set()
+        for k, s in enumerate(sets):
+            have, step = set(), 0
+            for _, v, n, t, cover_ in sorted(brute_tecs(s)):
+                if len(cover_ - have) > n + t - (0 if strict else 1):
+                    want.add((k, *v, step, len(cover_ - have)))
+                    have, step = have | cover_, step + 1
+                    if len(have) == len(s):
+                        break
+        assert {tuple(x) for x in cover.compress(points(spark, *sets), strict).collect()} == want
