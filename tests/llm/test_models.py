@@ -251,3 +251,17 @@ def test_collapse(spark):
     assert got[2].n_turns == 4 and got[2].rendered.startswith("<|im_start|>user\nhi<|im_end|>\n<|im_start|>assistant\nhello<|im_end|>\n") and got[2].rendered.endswith("<|im_start|>assistant\n<|im_end|>\n")
     assert got[10].rendered.index("first") < got[10].rendered.index("second") and got[11].n_turns == 500
     assert collapse(df.limit(0)).count() == 0
+
+
+def test_language_model_of_nothing(spark):
+    none = spark.createDataFrame([], "doc_id long, text string")
+    assert pitman_yor.score(none).count() == 0
+    blank = spark.createDataFrame([(1, None), (1, "twice"), (4, "")], none.schema)
+    got = {r.doc_id: r for r in pitman_yor.score(blank).collect()}
+    assert set(got) == {1, 4} and got[1].n_tokens == 3 and all(r.score < 0 for r in got.values())
+
+
+def test_pages_and_turns_without_ids(spark):
+    assert collapse(spark.createDataFrame([(None, 0, "user", "x")], "conv_id long, turn long, role string, text string")).count() == 0
+    pages = spark.createDataFrame([(None, None), (None, None)], "page_id long, url string")
+    assert [r.verdict for r in judge(pages, spark.createDataFrame([], "page_id long, bad int"), [], 0.5).collect()] == ["allow", "allow"]
