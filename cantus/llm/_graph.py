@@ -18,7 +18,7 @@ def components(store: Store, links: DataFrame) -> DataFrame:
     edges = store.save(links.where("a <> b").select(F.least("a", "b").alias("m"), F.greatest("a", "b").alias("u")).distinct())
     seen = None
     while True:
-        now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.hash("m", "u").cast("long")), F.sum(F.xxhash64("u", "m").bitwiseAND((1 << 40) - 1))).first())
+        now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.hash("m", "u").cast("long")), F.sum(F.xxhash64("u", "m").bitwiseAND((1 << 24) - 1))).first())
         if now == seen or now[0] == 0:
             return edges.select(F.col("u").alias("id"), F.col("m").alias("component")).unionByName(edges.select(F.col("m").alias("id"), F.col("m").alias("component")).distinct())
         seen = now
