@@ -2,7 +2,8 @@
 
 Labelled outcomes of pages are counted by host. Beta-binomial priors shrink them: a suffix's rate towards the rate of
 all, a registered domain's towards its suffix, a host's towards its domain. How strongly is estimated at each level from the spread
-of the rates (method of moments). A host is blocked if the lower bound of its posterior bad rate is over the tolerance.
+of the rates (method of moments). A host is blocked if the lower bound of its posterior bad rate is over the tolerance; a
+host without outcomes has its domain's rate, one of an unseen domain its suffix's, and then that of all.
 """
 
 from __future__ import annotations
@@ -60,14 +61,15 @@ def strength(groups: DataFrame, n: str, bad: str, least: float = 1.0, most: floa
 def reputation(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
     """outcomes (host, bad 0 or 1) to one row per host: n, n_bad, and the posterior's mean rate and lower bound.
 
-    The bound is the mean less z standard deviations of the beta posterior. Null outcomes don't count.
+    The bound is the mean less z standard deviations of the beta posterior. Null outcomes don't count; a host with no
+    others has the prior alone (null rates where nothing counts at all). Strengths come from groups with outcomes.
     """
-    hosts = outcomes.where("bad is not null").groupBy("host").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("bad").cast("double").alias("n_bad"))
+    hosts = outcomes.groupBy("host").agg(F.count("bad").cast("double").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("double").alias("n_bad"))
     hosts = hosts.select("host", domain(F.col("host")).alias("domain"), suffix(F.col("host")).alias("suffix"), "n", "n_bad")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("dn"), F.sum("n_bad").alias("db"))
     suffixes = domains.groupBy("suffix").agg(F.sum("dn").alias("sn"), F.sum("db").alias("sb"))
-    rate = suffixes.agg(F.sum("sb") / F.sum("sn")).scalar()
-    ks, kd, kh = (level.agg(strength(level, n, bad)).scalar() for level, n, bad in ((suffixes, "sn", "sb"), (domains, "dn", "db"), (hosts, "n", "n_bad")))
+    rate = suffixes.where("sn > 0").agg(F.sum("sb") / F.sum("sn")).scalar()
+    ks, kd, kh = (level.where(f"{n} > 0").agg(strength(level, n, bad)).scalar() for level, n, bad in ((suffixes, "sn", "sb"), (domains, "dn", "db"), (hosts, "n", "n_bad")))
     suffixes = suffixes.select("suffix", ((F.col("sb") + ks * rate) / (F.col("sn") + ks)).alias("s_rate"))
     domains = domains.join(suffixes, "suffix").select("domain", ((F.col("db") + kd * F.col("s_rate")) / (F.col("dn") + kd)).alias("d_rate"))
     hosts = hosts.join(domains, "domain").withColumn("kh", kh)
@@ -82,11 +84,11 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]], t
     rule's, else block if the host's bad rate is over `tolerance` by its posterior lower bound.
 
     outcomes: (page_id, bad 0/1/null), of any number per page. Null urls and urls without `://` have an empty host and
-    path. Pages of hosts without a labelled page are allowed unless a rule blocks them. Null ids and repeated rows are
+    path, which is judged like any other. Hosts without a labelled page are judged by the prior of their domain and suffix. Null ids and repeated rows are
     judged like others, but take no outcome from a null id. Other columns are ignored; empty tables give an empty result.
     """
     pages = pages.select(F.col(id_col).alias("page_id"), host(F.col(url_col)).alias("host"), path(F.col(url_col)).alias("path"))
-    known = pages.select("page_id", "host").distinct().join(outcomes.select(F.col(id_col).alias("page_id"), "bad"), "page_id")
+    known = pages.select("page_id", "host").distinct().join(outcomes.select(F.col(id_col).alias("page_id"), "bad"), "page_id", "left")
     rated = reputation(known.select("host", "bad"), z).select("host", "bad_rate", "bad_bound")
     h, p = F.col("host"), F.col("path")
     out = pages.join(rated, "host", "left")

@@ -239,6 +239,23 @@ def test_hosts(spark):
     assert judge(pages, outcomes.limit(0), rules, 0.5).where("rule is null and verdict = 'block'").count() == 0
 
 
+def test_hosts_without_outcomes_fall_back(spark):
+    """A new host takes its domain's rate, one of a new domain its suffix's, one of a new suffix that of all."""
+    names = [f"{h}{d}.{s}" for s, ds in (("bad", ("a.b0", "c.b0", "a.b1", "c.b1")), ("good", ("a.g0", "c.g0", "a.g1", "c.g1"))) for d in ds for h in ("www.", "m.")]
+    urls = [(100 * k + i, f"http://{n}/{i}") for k, n in enumerate(names) for i in range(40)]
+    new = ["new.b0.bad", "new.g0.good", "x.other.bad", "x.other.good", "x.other.else", "alone"]
+    pages = spark.createDataFrame(urls + [(9000 + k, f"http://{n}/") for k, n in enumerate(new)], "page_id long, url string")
+    outcomes = spark.createDataFrame([(i, int(".bad/" in u and i % 20 > 0)) for i, u in urls], "page_id long, bad int")
+    got = {r.page_id: r for r in judge(pages, outcomes, [], 0.3).collect()}
+    assert [got[9000 + k].verdict for k in range(4)] == ["block", "allow", "block", "allow"]
+    rates = [got[9000 + k].bad_rate for k in range(6)]
+    assert rates[0] > 0.9 > 0.1 > rates[1] and rates[2] > 0.8 > 0.2 > rates[3]
+    everyone = sum(r.bad for r in outcomes.collect()) / len(urls)
+    assert rates[4] == rates[5] == pytest.approx(everyone, abs=1e-6)
+    none = judge(pages, outcomes.limit(0), [], 0.3)
+    assert none.where("verdict = 'block' or bad_rate is not null").count() == 0
+
+
 def test_collapse(spark):
     base = [("user", "hi"), ("assistant", "hello"), ("user", "more"), ("assistant", None)]
     convs = {1: base[:2], 2: base, 3: base[:1], 4: base, 5: [("user", "hi"), ("assistant", "HELLO")], 6: [("user", "h"), ("i", "x")], 7: [(None, "")], 8: base[:2] + [("user", "less")], 9: [("user", "hiassistant")]}
