@@ -2,12 +2,15 @@
 
 A neighbour graph starts from random-projection orders and is refined by local joins: neighbours of a vector (forward and
 reverse) are compared with each other, and every list keeps its best. Lists that are still over the threshold at their
-end are saturated; they are enlarged to the whole component they lie in, in blocks. A brute-force audit on a sample of
-rows measures recall, and decides whether another round follows.
+end are saturated: they may hold a vector's own component alone and hide links to others. Such vectors get a second list, of
+neighbours outside their component, which is refined alike until no component meets another; links inside a component are
+counted exactly, in blocks. A brute-force audit on a sample of rows measures recall; if it still misses a link at the end,
+all components are compared with each other exhaustively.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._graph import components
+from ._kernels import mix
 from ._store import Store
 
 #: Length of a neighbour list, number of random-projection orders, rows that are compared at once in an order.
@@ -24,6 +28,10 @@ K, ORDERS, RUN = 10, 12, 256
 REVERSE = 24
 #: Rows of a block when lists are enlarged, and of the audit's sample.
 BLOCK, AUDIT = 512, 400
+#: Rows of a block when all components are compared with each other.
+WIDE = 4096
+#: Members (on average) of a component in a thinned order, where a run passes many components.
+THIN = 16
 #: What rounding of the search's half-precision vectors may take from a similarity.
 SLACK = 0.004
 
@@ -113,31 +121,38 @@ def embedding_links(table: DataFrame, threshold: float = 0.95, id_col: str = "ve
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Places of the vectors in the orders; of components with more than THIN members also in thinned ones."""
         planes = np.random.default_rng(seed).standard_normal((dim, ORDERS * 30)).astype(np.float32)
         weights = 1 << np.arange(29, -1, -1, dtype=np.int64)
         for b in batches:
             bits = (vectors(b.column("q"), np.float16).astype(np.float32) @ planes > 0).reshape(b.num_rows, ORDERS, 30)
+            size, ids = b.column("size").to_numpy(), b.column("id").to_numpy()
             for t in range(ORDERS):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, t, np.int32)), pa.array((bits[:, t] * weights).sum(1)), b.column("id"), b.column("q")], names=["t", "code", "id", "q"])
+                row = pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, t, np.int32)), pa.array((bits[:, t] * weights).sum(1)), b.column("id"), b.column("comp"), b.column("q")], names=["t", "code", "id", "comp", "q"])
+                yield row
+                if thinned:
+                    some = mix(ids.astype(np.uint64) ^ mix(np.full(len(ids), t, np.uint64))) % size.astype(np.uint64) < THIN
+                    yield row.set_column(0, "t", pa.array(np.full(b.num_rows, t + ORDERS, np.int32))).filter(pa.array(some))
 
     def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def each(t: pa.Table, begins: np.ndarray) -> pa.RecordBatch:
-            ids, x = t["id"].to_numpy(), vectors(t["q"], np.float16).astype(np.float32)
+            ids, comp, x = t["id"].to_numpy(), t["comp"].to_numpy(), vectors(t["q"], np.float16).astype(np.float32)
             own, near, sims = [], [], []
             for a, b in zip(begins, begins[1:]):
                 for c in range(a, b, RUN):
                     d = min(c + RUN, b)
                     c = max(a, d - RUN)  # the last run is filled up from the one before
                     s = x[c:d] @ x[c:d].T
-                    np.fill_diagonal(s, -2)
+                    s[comp[c:d, None] == comp[None, c:d]] = -2
                     k = min(K, d - c - 1)
                     if k < 1:
                         continue
                     top = np.argpartition(-s, k - 1, axis=1)[:, :k]
-                    for i in range(d - c):
+                    for i in np.flatnonzero(s.max(1) > -2):
+                        use = top[i][s[i, top[i]] > -2]
                         own.append(ids[c + i])
-                        near.append(ids[c + top[i]])
-                        sims.append(s[i, top[i]])
+                        near.append(ids[c + use])
+                        sims.append(s[i, use])
             return lists(np.array(own, np.int64), near, sims)
 
         yield from grouped(batches, ["t"], each, 1)
@@ -166,11 +181,11 @@ def embedding_links(table: DataFrame, threshold: float = 0.95, id_col: str = "ve
 
     def join_locally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def each(t: pa.Table, begins: np.ndarray) -> pa.RecordBatch:
-            ids, x, least = t["m"].to_numpy(), vectors(t["q"], np.float16).astype(np.float32), t["least"].to_numpy()
+            ids, comp, x, least = t["m"].to_numpy(), t["comp"].to_numpy(), vectors(t["q"], np.float16).astype(np.float32), t["least"].to_numpy()
             own, near, sims = [], [], []
             for a, b in zip(begins, begins[1:]):
                 s = x[a:b] @ x[a:b].T
-                s[ids[a:b, None] == ids[None, a:b]] = -2
+                s[comp[a:b, None] == comp[None, a:b]] = -2
                 better = s > least[a:b, None]
                 for i in np.flatnonzero(better.any(1)):
                     p, q = best(ids[a:b][better[i]], s[i][better[i]], K)
@@ -181,14 +196,22 @@ def embedding_links(table: DataFrame, threshold: float = 0.95, id_col: str = "ve
 
         yield from grouped(batches, ["g", "part"], each)
 
-    def refine(graph: DataFrame) -> DataFrame:
-        forward = graph.mapInArrow(arrows, "a long, b long, sim float")
+    def pairs(graph: DataFrame) -> DataFrame:
+        return graph.mapInArrow(arrows, "a long, b long, sim float")
+
+    def orders(of: DataFrame) -> DataFrame:
+        """Lists of the best in runs of the orders; of: (id, comp, size, q), where vectors of one comp are no neighbours."""
+        return of.mapInArrow(project, "t int, code long, id long, comp long, q binary").repartitionByRange(parts, "t", "code").sortWithinPartitions("t", "code", "id").mapInArrow(start_in_runs, LIST)
+
+    def refine(forward: DataFrame, graph: DataFrame, of: DataFrame) -> DataFrame:
+        """graph, after vectors that share a neighbour in forward (a, b) have been compared."""
         degree = forward.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / REVERSE).cast("int").alias("parts")).withColumnRenamed("b", "g")
         ahead = forward.select(F.col("a").alias("g"), F.col("b").alias("m")).join(degree.hint("merge"), "g", "left")
         ahead = ahead.select("g", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"), "m")
         back = forward.select(F.col("b").alias("g"), F.col("a").alias("m")).join(degree.hint("merge"), "g").select("g", F.pmod(F.xxhash64("m"), F.col("parts")).cast("int").alias("part"), "m")
-        least = forward.groupBy("a").agg(F.min("sim").alias("least")).withColumnRenamed("a", "m")
-        members = ahead.unionByName(back).join(classes.select(F.col("id").alias("m"), "q").hint("merge"), "m").join(least.hint("merge"), "m")
+        least = pairs(graph).groupBy("a").agg(F.when(F.count(F.lit(1)) >= K, F.min("sim")).alias("least")).withColumnRenamed("a", "m")
+        members = ahead.unionByName(back).join(of.select(F.col("id").alias("m"), "comp", "q").hint("merge"), "m").join(least.hint("merge"), "m", "left")
+        members = members.withColumn("least", F.coalesce("least", F.lit(-2.0).cast("float")))
         found = members.repartition(parts, "g", "part").sortWithinPartitions("g", "part", "m").mapInArrow(join_locally, LIST)
         return merged(found.unionByName(graph))
 
@@ -201,7 +224,7 @@ def embedding_links(table: DataFrame, threshold: float = 0.95, id_col: str = "ve
                 yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok))
 
     def links(graph: DataFrame) -> DataFrame:
-        near = graph.mapInArrow(arrows, "a long, b long, sim float").where(F.col("sim") >= threshold - SLACK)
+        near = pairs(graph).where(F.col("sim") >= threshold - SLACK)
         near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         return store.save(near.join(x.hint("merge"), "a").join(y.hint("merge"), "b").mapInArrow(confirm, "a long, b long"))
 
@@ -216,21 +239,80 @@ def embedding_links(table: DataFrame, threshold: float = 0.95, id_col: str = "ve
                 i, j = np.nonzero((q @ vectors(b.column("x"), np.float64).T >= threshold) & (ids[:, None] != own[None, :]))
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], own[j])), pa.array(np.maximum(ids[i], own[j]))], names=["a", "b"])
 
-    graph = merged(classes.mapInArrow(project, "t int, code long, id long, q binary").repartitionByRange(parts, "t", "code").sortWithinPartitions("t", "code", "id").mapInArrow(start_in_runs, LIST))
     truth = store.save(classes.mapInArrow(audit, "a long, b long").distinct())
     n_truth = truth.count()
-    known = -1
-    for _ in range(rounds):
-        graph = refine(graph)
+
+    def hits(label: DataFrame) -> int:
+        """Audited links whose ends are in one component, where all links are counted below."""
+        ends = truth.join(label.select(F.col("id").alias("a"), F.col("component").alias("ca")).hint("merge"), "a", "left").join(label.select(F.col("id").alias("b"), F.col("component").alias("cb")).hint("merge"), "b", "left")
+        return ends.where("ca = cb").count()
+
+    thinned = False
+    single = classes.select("id", F.col("id").alias("comp"), F.lit(1).cast("long").alias("size"), "q")
+    graph = merged(orders(single))
+    known, done = -1, 0
+    while True:
+        graph, done = refine(pairs(graph), graph, single), done + 1
         found = links(graph)
         label = components(store, found)
-        # An audited link counts as found if its ends are in one component: lists are enlarged to components below.
-        ends = truth.join(label.select(F.col("id").alias("a"), F.col("component").alias("ca")).hint("merge"), "a", "left").join(label.select(F.col("id").alias("b"), F.col("component").alias("cb")).hint("merge"), "b", "left")
-        hit, now = ends.where("ca = cb").count(), label.count()
-        if hit == n_truth and now - known <= 0.001 * n:
+        hit, now = hits(label), label.count()
+        if now - known <= 0.001 * n and (hit == n_truth or done >= rounds):
             break
         known = now
 
+    # Saturated lists: neighbours outside the own component, until none is a link.
+    full = store.save(pairs(graph).groupBy("a").agg(F.count(F.lit(1)).alias("k"), F.min("sim").alias("s")).where((F.col("k") >= K) & (F.col("s") >= threshold - SLACK)).select(F.col("a").alias("id")))
+    thinned = True
+
+    def saturated() -> DataFrame:
+        of = full.join(label.hint("merge"), "id", "left").select("id", F.coalesce("component", "id").alias("comp")).join(classes.select("id", "q").hint("merge"), "id")
+        return store.save(of.join(full.join(label.hint("merge"), "id", "left").groupBy(F.coalesce("component", "id").alias("comp")).agg(F.count(F.lit(1)).alias("size")).hint("merge"), "comp"))
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield lists(b.column("a").to_numpy(), list(b.column("b").to_numpy()), list(b.column("sim").to_numpy()))
+
+    of = saturated()
+    if of.select("comp").distinct().limit(2).count() > 1:
+        ends = [full.withColumnRenamed("id", c).hint("merge") for c in "ab"]
+        inner = store.save(pairs(graph).join(ends[0], "a", "left_semi").join(ends[1], "b", "left_semi").select("a", "b"))
+        outer = merged(orders(of))
+        idle = 0
+        while True:
+            outer = refine(inner.unionByName(pairs(outer).select("a", "b")).distinct(), outer, of)
+            new = links(outer)
+            if not new.count():
+                idle += 1
+                if idle > 1 and (hits(label) == n_truth or idle >= rounds):
+                    break
+                continue
+            idle = 0
+            found = store.save(found.unionByName(new))
+            label = components(store, found)
+            of = saturated()
+            still = pairs(outer).join(of.select(F.col("id").alias("a"), F.col("comp").alias("ca")).hint("merge"), "a").join(of.select(F.col("id").alias("b"), F.col("comp").alias("cb")).hint("merge"), "b").where("ca <> cb")
+            outer = merged(orders(of).unionByName(still.select("a", "b", "sim").mapInArrow(alone, LIST)))
+
+    def compare(t: pa.Table) -> pa.Table:
+        i, j, own, comp, v = t["i"][0].as_py(), t["j"][0].as_py(), t["own"].to_numpy(), t["comp"].to_numpy(), vectors(t["x"], np.float64)
+        p, q = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        met = [np.zeros((0, 2), np.int64)]
+        for c in range(0, len(p), BLOCK):
+            r = p[c : c + BLOCK]
+            k, m = np.nonzero((v[r] @ v[q].T >= threshold) & (comp[r, None] != comp[None, q]))
+            met.append(np.unique(np.stack([comp[r[k]], comp[q[m]]], 1), axis=0))
+        met = np.unique(np.sort(np.concatenate(met), 1), axis=0)
+        return pa.table({"a": met[:, 0], "b": met[:, 1]})
+
+    hit = hits(label)
+    if hit < n_truth:
+        logging.getLogger(__name__).warning("NN-descent joined %d of %d audited links; components are compared exhaustively", hit, n_truth)
+        blocks = -(-n // WIDE)
+        every = classes.select("id", "x").join(label.hint("merge"), "id", "left").select(F.coalesce("component", "id").alias("comp"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("own"), "x")
+        every = every.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "comp", "x")
+        found = store.save(found.unionByName(every.groupBy("i", "j").applyInArrow(compare, "a long, b long")))
+        label = components(store, found)
+
     # Links of a class lie within its component; they are counted there exactly, in blocks of bounded size.
     members = label.join(classes.select("id", "copies", "x").hint("merge"), "id")
     sizes = label.groupBy("component").agg(F.count(F.lit(1)).alias("size"))

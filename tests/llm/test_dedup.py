@@ -177,6 +177,45 @@ def test_embeddings(spark):
     assert got == want
 
 
+def check_links(spark, x, threshold=0.95):
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {g.vec_id: (g.n_links, g.component_id, g.kept) for g in embedding_links(table, threshold).collect()}
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    link = u @ u.T >= threshold
+    label = np.arange(len(x))
+    while True:
+        new = np.array([label[row].min() for row in link])
+        if (new == label).all():
+            break
+        label = new
+    assert got == {k: (int(link[k].sum()) - 1, int(label[k]), bool(label[k] == k)) for k in range(len(x))}
+    return label
+
+
+def test_adjacent_dense_groups(spark):
+    """Lists full of a vector's own group must not hide the links to the group beside it."""
+    r = np.random.default_rng(3)
+    x = [r.normal(size=(200, 32))]
+    for size in (11, 40, 40, 400):
+        a, b = np.linalg.qr(r.normal(size=(32, 2)))[0].T
+        for centre in (a, 0.965 * a + np.sqrt(1 - 0.965**2) * b):
+            x.append(centre + 0.01 * r.normal(size=(size, 32)))
+    label = check_links(spark, np.concatenate(x))
+    assert len(set(label[200:])) == 4
+
+
+def test_links_that_descent_misses_are_found_exhaustively(spark, monkeypatch):
+    from cantus.llm import descent
+
+    monkeypatch.setattr(descent, "ORDERS", 1)
+    monkeypatch.setattr(descent, "RUN", 2)
+    monkeypatch.setattr(descent, "WIDE", 100)
+    r = np.random.default_rng(4)
+    x = r.normal(size=(300, 16))
+    x[200:] = x[:100] + 0.05 * r.normal(size=(100, 16))
+    assert len(set(check_links(spark, x))) < 250
+
+
 def test_empty_tables(spark):
     e = frame(spark, []).where("doc_id is not null")
     for out in (near_duplicates(e), drop_repeated_windows(e), drop_repeated_bytes(e)):
