@@ -62,14 +62,17 @@ def piece_summary(motifs: DataFrame, near: float = 0.8, subset: float = 0.9, spa
 
 
 def within_motif(motifs: DataFrame, most: int = 50) -> DataFrame:
-    """Mean and largest overlap between occurrences of one motif, over its `most` largest ones (the report's own limit): pairs that share no note count as 0 notes in common."""
+    """Mean and largest overlap, in notes and in time, between occurrences of one motif, over all pairs of its `most` largest ones (the report's own
+    limit): pairs that share no note count as 0 notes in common, and with their overlap in time."""
     rank = F.row_number().over(Window.partitionBy("piece_id", "motif").orderBy(F.desc("n_notes"), "occ"))
     s = occurrence_spans(motifs).withColumn("k", rank).where(F.col("k") <= most)
     kept = motifs.join(s.select("piece_id", "motif", "occ"), ["piece_id", "motif", "occ"])
-    n = s.groupBy("piece_id", "motif").agg((F.count(F.lit(1)) * (F.count(F.lit(1)) - 1) / 2).alias("pairs"))
+    a, b = (s.select("piece_id", "motif", *(F.col(c).alias(f"{x}_{c}") for c in ("occ", "start", "end"))) for x in "ab")
+    iou = time_iou(F.col("a_start"), F.col("a_end"), F.col("b_start"), F.col("b_end"))
+    n = a.join(b, ["piece_id", "motif"]).where("a_occ < b_occ").groupBy("piece_id", "motif").agg(F.count(F.lit(1)).alias("pairs"), F.avg(iou).alias("mean_iou"), F.max(iou).alias("max_iou"))
     o = overlaps(kept, within=True).groupBy("piece_id", F.col("ma").alias("motif")).agg(F.sum("jaccard").alias("sum_j"), F.max("jaccard").alias("max_j"))
-    out = n.where("pairs > 0").join(o, ["piece_id", "motif"], "left")
-    return out.select("piece_id", "motif", (F.coalesce("sum_j", F.lit(0.0)) / F.col("pairs")).alias("mean_jaccard"), F.coalesce("max_j", F.lit(0.0)).alias("max_jaccard"))
+    out = n.join(o, ["piece_id", "motif"], "left")
+    return out.select("piece_id", "motif", (F.coalesce("sum_j", F.lit(0.0)) / F.col("pairs")).alias("mean_jaccard"), F.coalesce("max_j", F.lit(0.0)).alias("max_jaccard"), "mean_iou", "max_iou")
 
 
 def coverage(motifs: DataFrame, notes: DataFrame) -> DataFrame:

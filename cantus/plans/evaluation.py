@@ -28,6 +28,12 @@ def _motifs(spark: SparkSession, d: str) -> DataFrame:
     return a.unionByName(notes.select("piece_id", (10 + F.col("pitch") % 3).alias("motif"), "occ", "onset", "pitch"))
 
 
+def _two_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Motifs with windows of 28 steps and, numbered from 100 on, of 20 steps as their occurrences."""
+    m = _motifs(spark, d)
+    return m.withColumn("occ", F.floor(F.col("onset") / 28)).unionByName(m.withColumn("occ", 100 + F.floor(F.col("onset") / 20)))
+
+
 def _rounded(df: DataFrame, n: int = 6) -> DataFrame:
     return df.select(*(F.round(c, n).alias(c) if k == "double" else F.col(c).cast("long").alias(c) if k == "int" else F.col(c) for c, k in df.dtypes))
 
@@ -82,7 +88,12 @@ def best_motif_overlap(spark: SparkSession, d: str) -> DataFrame:
 
 
 def within_motif_overlap(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(au.within_motif(_motifs(spark, d).withColumn("occ", F.floor(F.col("onset") / 28)).unionByName(_motifs(spark, d).withColumn("occ", 100 + F.floor(F.col("onset") / 20))), 6))
+    """Overlap in notes of the six largest occurrences of each motif; within_motif_audit has the report's limit, and time."""
+    return _rounded(au.within_motif(_two_windows(spark, d), 6).drop("mean_iou", "max_iou"))
+
+
+def within_motif_audit(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(au.within_motif(_two_windows(spark, d)))
 
 
 def note_coverage(spark: SparkSession, d: str) -> DataFrame:
@@ -140,7 +151,7 @@ def fold_statistics(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(acc.agg(F.avg("a").alias("mean"), F.stddev_pop("a").alias("deviation")))
 
 
-QUERIES = {f.__name__: f for f in (score_matrix, establishment, occurrence_metric, three_layer, macro_means, first_five_establishment, translational_metric, best_piece, piece_audit, audit_totals, best_motif_overlap, within_motif_overlap, note_coverage, span_bins, representative_occurrences, price_percentiles, price_histogram, label_similarity, span_iou_pairs, toxic_confusion, class_confusion, fold_statistics)}
+QUERIES = {f.__name__: f for f in (score_matrix, establishment, occurrence_metric, three_layer, macro_means, first_five_establishment, translational_metric, best_piece, piece_audit, audit_totals, best_motif_overlap, within_motif_overlap, within_motif_audit, note_coverage, span_bins, representative_occurrences, price_percentiles, price_histogram, label_similarity, span_iou_pairs, toxic_confusion, class_confusion, fold_statistics)}
 
 SETS = ANNOTATED_SQL + """,
 ref AS (SELECT piece_id, type AS pattern, CAST(floor(onset / 28) AS BIGINT) AS occ, onset, pitch FROM anno),
@@ -207,6 +218,13 @@ x AS (SELECT d.*, n.n FROM d JOIN n USING (piece_id, motif, occ) WHERE q <= 6),
 j AS (SELECT a.piece_id, a.motif, a.occ AS oa, b.occ AS ob, count(*) / (any_value(a.n) + any_value(b.n) - count(*)) AS j FROM x a JOIN x b USING (piece_id, motif, onset, pitch) WHERE a.occ < b.occ GROUP BY 1, 2, 3, 4),
 c AS (SELECT piece_id, motif, count(*) * (count(*) - 1) / 2 AS pairs FROM n WHERE q <= 6 GROUP BY 1, 2)
 SELECT c.piece_id, c.motif, round(coalesce(sum(j), 0) / any_value(pairs), 6) AS mean_jaccard, round(coalesce(max(j), 0), 6) AS max_jaccard FROM c LEFT JOIN j USING (piece_id, motif) WHERE pairs > 0 GROUP BY 1, 2""",
+    "within_motif_audit": f"""WITH {MOTIFS}, d AS (SELECT * FROM mo UNION ALL SELECT piece_id, motif, 100 + CAST(floor(onset / 20) AS BIGINT), onset, pitch FROM mo),
+n AS (SELECT *, row_number() OVER (PARTITION BY piece_id, motif ORDER BY n DESC, occ) AS q FROM (SELECT piece_id, motif, occ, count(*) AS n, min(onset) AS t0, max(onset) AS t1 FROM d GROUP BY 1, 2, 3)),
+x AS (SELECT d.*, n.n FROM d JOIN n USING (piece_id, motif, occ) WHERE q <= 50),
+j AS (SELECT a.piece_id, a.motif, a.occ AS oa, b.occ AS ob, count(*) / (any_value(a.n) + any_value(b.n) - count(*)) AS j FROM x a JOIN x b USING (piece_id, motif, onset, pitch) WHERE a.occ < b.occ GROUP BY 1, 2, 3, 4),
+t AS (SELECT a.piece_id, a.motif, a.occ AS oa, b.occ AS ob, CASE WHEN greatest(a.t1, b.t1) > least(a.t0, b.t0) THEN greatest(0, least(a.t1, b.t1) - greatest(a.t0, b.t0)) / (greatest(a.t1, b.t1) - least(a.t0, b.t0)) ELSE 0 END AS iou
+  FROM n a JOIN n b USING (piece_id, motif) WHERE a.q <= 50 AND b.q <= 50 AND a.occ < b.occ)
+SELECT piece_id, motif, round(avg(coalesce(j, 0)), 6) AS mean_jaccard, round(max(coalesce(j, 0)), 6) AS max_jaccard, round(avg(iou), 6) AS mean_iou, round(max(iou), 6) AS max_iou FROM t LEFT JOIN j USING (piece_id, motif, oa, ob) GROUP BY 1, 2""",
     "note_coverage": f"""WITH {MOTIFS}, t AS (SELECT piece_id, onset, pitch, count(*) AS times FROM mo WHERE motif IN (1, 2, 11) GROUP BY 1, 2, 3)
 SELECT a.piece_id, round(avg(CASE WHEN times IS NOT NULL THEN 1.0 ELSE 0 END), 6) AS coverage, round(coalesce(avg(times), 0), 6) AS multiplicity FROM (SELECT DISTINCT piece_id, onset, pitch FROM anno) a LEFT JOIN t USING (piece_id, onset, pitch) GROUP BY 1""",
     "span_bins": f"""WITH {MOTIFS}, a AS (SELECT {SCALE.format('span')} AS scale, count(*) AS n_occurrences FROM sp GROUP BY 1), md AS (SELECT piece_id, motif, quantile_cont(span, 0.5) AS q FROM sp GROUP BY 1, 2), b AS (SELECT {SCALE.format('q')} AS scale, count(*) AS n_motifs FROM md GROUP BY 1)

@@ -89,6 +89,14 @@ def test_audit(spark):
     assert audit.representative(m).where("motif = 2").first().occ == 0
 
 
+def test_occurrences_of_a_motif_beyond_the_sixth(spark):
+    """Eight occurrences: the last two are the smallest, equal in notes; times overlap without shared notes too."""
+    rows = [(0, 1, k, 100 * k + t, 60) for k in range(6) for t in range(4)] + [(0, 1, k, t, 61) for k in (6, 7) for t in (0, 3)]
+    g = audit.within_motif(spark.createDataFrame(rows, "piece_id long, motif long, occ long, onset long, pitch long")).first()
+    assert (g.max_jaccard, g.max_iou) == (1.0, 1.0)
+    assert abs(g.mean_jaccard - 1 / 28) < 1e-9 and abs(g.mean_iou - 3 / 28) < 1e-9
+
+
 def test_chunks(spark):
     w = spark.range(600).select(F.lit(0).alias("piece_id"), F.col("id").alias("w"))
     rows = tokens.padding(tokens.chunks(w, 128)).orderBy("chunk").collect()
