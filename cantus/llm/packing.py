@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import lean
+from ._store import Store
 
 #: Pieces of a block on average. More give a tighter packing, fewer a smaller task.
 BLOCK = 16_000
@@ -152,13 +152,14 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, block: int = BLO
 
     Null and empty texts are one piece, the end id alone. Rows with a null id give no row; rows that repeat an id are
     packed as documents of their own. Ties are broken by (doc_id, piece). Other columns are ignored; an empty table
-    gives an empty result. Blocks hold about `block` pieces by hash, however many there are, so each but a block's last bin is
-    full or nearly so.
+    gives an empty result. Pieces that fill a sequence are one of their own (an odd sequence_id); blocks hold about `block` of the
+    others by hash, however many there are, so each but a block's last bin is full or nearly so.
     """
-    lean(docs.sparkSession)
-    n = docs.count()
-    blocks = max(1, round(n / block))
-    cut = pieces(docs, tokenizer, capacity, id_col, text_col).withColumn("block", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(blocks)))
+    cut = Store(docs.sparkSession).save(pieces(docs, tokenizer, capacity, id_col, text_col))
+    part = F.col("length") < capacity
+    blocks = max(1, round(cut.where(part).count() / block))
+    whole = cut.where(~part).select("*", (2 * F.monotonically_increasing_id() + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    rest = cut.where(part).withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "length", "ids_crc32"), F.lit(blocks)))
 
     def bins(t: pa.Table) -> pa.Table:
         t = t.sort_by([("doc_id", "ascending"), ("piece", "ascending")])
@@ -169,6 +170,6 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, block: int = BLO
             sequence[b] = s
             offset[b] = np.cumsum(length[b]) - length[b]
         out = t.drop_columns(["block"])
-        return out.append_column("sequence_id", pa.array(sequence * blocks + (t["block"][0].as_py() if len(length) else 0))).append_column("offset", pa.array(offset))
+        return out.append_column("sequence_id", pa.array(2 * (sequence * blocks + (t["block"][0].as_py() if len(length) else 0)))).append_column("offset", pa.array(offset))
 
-    return cut.groupBy("block").applyInArrow(bins, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return rest.groupBy("block").applyInArrow(bins, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long").unionByName(whole)

@@ -210,6 +210,24 @@ def test_packing(spark):
     assert packing.pack(df.limit(0), path, 256).count() == 0
 
 
+def test_blocks_are_bounded_by_pieces(spark, monkeypatch):
+    """A few long documents have many pieces; no block takes many more than it should, and full pieces take none."""
+    import public_tokenizers
+
+    def bounded(lengths, capacity, best=packing.best_fit):
+        assert len(lengths) < 60 and (lengths < capacity).all()
+        return best(lengths, capacity)
+
+    monkeypatch.setattr(packing, "best_fit", bounded)
+    df = spark.createDataFrame([(k, "one two three " * (400 if k < 10 else 2)) for k in range(100)], "doc_id long, text string")
+    got = packing.pack(df, public_tokenizers.path("byte_bpe_50k.json"), 64, block=25).collect()
+    fill = Counter()
+    for p in got:
+        fill[p.sequence_id] += p.length
+    assert sum(p.length == 64 for p in got) > 100 and max(fill.values()) <= 64
+    assert len({(p.sequence_id, p.offset) for p in got}) == len(got)
+
+
 def test_local_search_keeps_pieces_and_never_adds_bins():
     r = np.random.default_rng(0)
     for n in (0, 1, 5, 200):
