@@ -1,12 +1,15 @@
-"""Numpy kernels on batches of texts: words, hashes of ranges, shingles, minimisers.
+"""Numpy kernels on batches of texts: words, hashes, shingles, minimisers.
 
-Hashes are polynomials modulo 2**64 over random odd tables, mixed at the end, so a range's hash is a difference of
-prefix sums and doesn't depend on where it stands. Chunks are bounded in bytes, whole documents stay together.
+Two kinds of hashes. Those that say what is equal (words, shingles, windows, runs) mix their parts one after the other, and
+long words and runs go through BLAKE2. Those that only choose a bucket (minimisers, cores) are polynomials modulo 2**64,
+where a range's hash is a difference of prefix sums; equal ones of different content just share a bucket. Chunks are
+bounded in bytes, whole documents stay together.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -98,18 +101,77 @@ def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACE)
     return start, end, np.searchsorted(start, offsets)
 
 
-def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool) -> np.ndarray:
-    return ranges(prefix((LOWER if lower else BYTES)[data], "byte"), start, end, "byte")
+FOLD = np.arange(256, dtype=np.uint8)
+FOLD[65:91] += 32
+#: The first n bytes of a little-endian word of 8.
+_FIRST = np.array([(1 << (8 * n)) - 1 for n in range(9)], U)
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word: of up to 16 bytes mixed in two halves, of longer ones by BLAKE2. Seeds give independent hashes."""
+    text = FOLD[data] if lower else data
+    padded = np.concatenate([text, np.zeros(16, np.uint8)])
+    lanes = np.ndarray(len(text) + 9, np.dtype("<u8"), padded.data, strides=(1,))
+    n = end - start
+    c = constants(21 + seed, 4)
+    h = mix((lanes[start] & _FIRST[np.minimum(n, 8)]) ^ c[0])
+    if len(n) and n.max() > 8:
+        more = np.flatnonzero(n > 8)
+        h[more] = mix(h[more] * c[1] + mix((lanes[start[more] + 8] & _FIRST[np.minimum(n[more] - 8, 8)]) ^ c[2]))
+    h = mix(h * c[3] ^ n.astype(U))
+    long = np.flatnonzero(n > 16)
+    if len(long):
+        raw = text.tobytes()
+        salt = bytes([seed])
+        h[long] = np.frombuffer(b"".join(blake2b(raw[a:b], digest_size=8, salt=salt).digest() for a, b in zip(start[long].tolist(), end[long].tolist())), U)
+    return h
+
+
+def chained(h: np.ndarray, start: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
+    """A hash of the `size` values of h from each start, mixed one after the other."""
+    c = constants(31 + seed, 2)
+    return chained_from(np.full(len(start), c[0]), h, start, size, c[1])
+
+
+def digests(raw: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """128-bit BLAKE2 digests of the ranges, as rows of two numbers."""
+    return np.frombuffer(b"".join(blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), end.tolist())), np.int64).reshape(-1, 2)
+
+
+def single_spaced(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words with one space after each, and their starts and ends there."""
+    size = end - start + 1
+    at = np.cumsum(size) - size
+    where = np.arange(int(size.sum())) + np.repeat(start - at, size)
+    out = np.concatenate([data, np.zeros(1, np.uint8)])[where]
+    out[at + size - 1] = 0x20
+    return out, at, at + size - 1
 
 
 def shingles(h: np.ndarray, at: np.ndarray, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of every document's runs of `size` words (all words as one if it has fewer), and where each document's begin."""
-    p = prefix(h, "word")
     n = np.diff(at)
     count = np.where(n >= size, n - size + 1, np.minimum(n, 1))
     to = np.concatenate([[0], np.cumsum(count)])
     start = np.arange(to[-1]) - np.repeat(to[:-1] - at[:-1], count)
-    return ranges(p, start, start + np.repeat(np.minimum(n, size), count), "word"), to
+    words = np.repeat(np.minimum(n, size), count)
+    c = constants(41, 2)
+    out = mix(words.astype(U) * c[0])
+    padded = np.concatenate([h, np.zeros(size, U)])
+    full = chained_from(out, padded, start, size, c[1])
+    short = np.flatnonzero(words < size)
+    if len(short):
+        some = out[short]
+        for j in range(size - 1):
+            some = np.where(j < words[short], mix(some * c[1] ^ padded[start[short] + j]), some)
+        full[short] = some
+    return full, to
+
+
+def chained_from(out: np.ndarray, h: np.ndarray, start: np.ndarray, size: int, odd: np.uint64) -> np.ndarray:
+    for j in range(size):
+        out = mix(out * odd ^ h[start + j])
+    return out
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -122,25 +184,27 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return out
 
 
+#: Bits of a minimiser's place; what is left of its hash orders it. Fixed, so that every chunk orders alike.
+_PLACE = U(31)
+
+
 def segments(unit: np.ndarray, at: np.ndarray, window: int, gram: int, kind: str) -> tuple[np.ndarray, ...]:
     """Runs of consecutive windows (of `window` units, within one document) that share their minimiser, the run of
     `gram` units with the least hash, the leftmost of equal ones.
 
     unit: a hash for each unit; at: where documents begin. Returns for each run its document, the first window's start
-    (in the document), the number of windows, the minimiser's place after that start, the minimiser's hash, and a hash
-    of the run's units and that place.
+    (in the document), the number of windows, the minimiser's place after that start and the minimiser's hash.
     """
     none = np.zeros(0, np.int64)
-    p = prefix(unit, kind)
     n = len(unit)
     if n < window:
-        return none, none, none, none, none.astype(U), none.astype(U)
+        return none, none, none, none, none.astype(U)
+    p = prefix(unit, kind)
     g = n - gram + 1
     i = np.arange(g)
     anchor = ranges(p, i, i + gram, kind)
-    bits = U(max(1, int(g).bit_length()))
-    least = sliding_min(((anchor >> bits) << bits) | i.astype(U), window - gram + 1)
-    least = (least & ((U(1) << bits) - U(1))).astype(np.int64)  # where each window's minimiser stands
+    least = sliding_min(((anchor >> _PLACE) << _PLACE) | i.astype(U), window - gram + 1)
+    least = (least & ((U(1) << _PLACE) - U(1))).astype(np.int64)  # where each window's minimiser stands
     doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
     ok = doc[: n - window + 1] == doc[window - 1 :]
     begin = ok.copy()
@@ -149,8 +213,7 @@ def segments(unit: np.ndarray, at: np.ndarray, window: int, gram: int, kind: str
     after = np.concatenate([begin[1:] | ~ok[1:], [True]]) & ok
     e = np.flatnonzero(after)  # last window
     m = least[s]
-    whole = ranges(p, s, e + window, kind) ^ mix((m - s).astype(U) + U(77))
-    return doc[s], s - at[doc[s]], e - s + 1, m - s, anchor[m], whole
+    return doc[s], s - at[doc[s]], e - s + 1, m - s, anchor[m]
 
 
 def union(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

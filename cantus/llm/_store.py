@@ -20,22 +20,37 @@ def lean(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+_OWN: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; where it is unset (tests), a folder of our own."""
+    """spark.checkpoint.dir of the session. Where it is unset, a folder of this process, which only a local master may use:
+    on a cluster executors could not see it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="cantus-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    if not _OWN:
+        _OWN.append("file://" + tempfile.mkdtemp(prefix="cantus-"))
+    return _OWN[0]
 
 
 class Store:
-    """Tables written once and read again, which cuts lineage; drop() deletes what is no longer read."""
+    """Tables written once and read again, which cuts lineage. drop() deletes one that is no longer read; what is left
+    when the session ends goes then, with the folder."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{shared_dir(spark)}/cantus-{uuid.uuid4().hex}"
         self.n = 0
         lean(spark)
+        fs, path = self._at(self.root)
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+
+    def _at(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
     def save(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -45,9 +60,10 @@ class Store:
         out._cantus_path = path
         return out
 
-    def drop(self, df: DataFrame) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(df._cantus_path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *tables: DataFrame) -> None:
+        for df in tables:
+            fs, path = self._at(df._cantus_path)
+            fs.delete(path, True)
 
 
 def small(side: DataFrame, rows: int, row_bytes: int) -> DataFrame:
@@ -59,3 +75,18 @@ def total_bytes(df: DataFrame, col: str) -> tuple[int, int]:
     """Rows, and bytes of a binary column."""
     n, b = df.agg(F.count(F.lit(1)), F.sum(F.length(col))).first()
     return n, b or 0
+
+
+def spread_join(rows: DataFrame, side: DataFrame, key: list[str], count: str, total: int) -> DataFrame:
+    """rows joined to side, a table of distinct keys that says in column `count` how many of the `total` rows each has.
+
+    Keys with more than a quarter of a partition's share of the rows are at most four times the partitions: they are
+    broadcast, so that no task gathers their rows. The others are merged.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hot = side.where(F.col(count) > max(1, total // (4 * parts)))
+    if not hot.take(1):
+        return rows.join(side.hint("merge"), key)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    cold = side.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(rest.join(cold.hint("merge"), key))

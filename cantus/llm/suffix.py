@@ -15,13 +15,21 @@ from pyspark.sql import functions as F
 
 from . import _kernels as K
 from ._store import Store
-from .repeats import attach, repeated_spans
+from .repeats import attach, keyed_by_text, repeated_spans
 
 
 def suffix_array(x: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
-    """Suffixes of the integers x in order, and ranks by their first 1, 2, 4, ... symbols. Symbols must make suffixes differ early (unique ends)."""
-    n, have, levels = len(x), 1, []
-    key = x
+    """Suffixes of the integers x in order, and ranks by their first 4, 8, 16, ... symbols (a power of two that fits a
+    number at first). Symbols must make suffixes differ early (unique ends)."""
+    n, levels = len(x), []
+    bits = max(1, int(x.max()).bit_length())
+    have = 1 << ((62 // bits).bit_length() - 1)
+    padded = np.concatenate([x + 1, np.zeros(have, np.int64)])
+    bits = max(1, int(padded.max()).bit_length())
+    have = min(have, 1 << ((62 // bits).bit_length() - 1))
+    key = padded[:n]
+    for k in range(1, have):
+        key = (key << bits) | padded[k : n + k]
     while True:
         o = np.argsort(key)  # ties share a rank, so their order is free
         rank = np.empty(n, np.int64)
@@ -36,13 +44,13 @@ def suffix_array(x: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]
         have *= 2
 
 
-def common_prefixes(sa: np.ndarray, levels: list[tuple[int, np.ndarray]]) -> np.ndarray:
+def common_prefixes(x: np.ndarray, sa: np.ndarray, levels: list[tuple[int, np.ndarray]]) -> np.ndarray:
     """The common prefix of each suffix with the one before it in order."""
     n = len(sa)
     out = np.zeros(n, np.int64)
     p, q = sa[1:], sa[:-1]
     l = np.zeros(n - 1, np.int64)
-    for size, rank in reversed(levels):
+    for size, rank in [*reversed(levels), *[(1, x)] * (levels[0][0] - 1)]:
         fits = np.maximum(p, q) + l + size <= n
         same = fits & (rank[np.minimum(p + l, n - 1)] == rank[np.minimum(q + l, n - 1)])
         l += size * same
@@ -57,7 +65,7 @@ def longest_previous(x: np.ndarray, least: int = 1) -> tuple[np.ndarray, np.ndar
     if n < 2:
         return length, source
     sa, levels = suffix_array(x)
-    lcp = common_prefixes(sa, levels)
+    lcp = common_prefixes(x, sa, levels)
     lcp[lcp < least] = 0
     near = lcp > 0
     near[:-1] |= lcp[1:] > 0
@@ -95,14 +103,16 @@ def drop_repeated_bytes(docs: DataFrame, length: int = 200, gram: int = 40, keep
 
     Texts are UTF-8 bytes; matches never cross documents. A byte is removed if a string of `length` bytes that covers it
     also starts anywhere else, in the same document included; with keep_first, only if it also starts earlier (a smaller
-    doc_id, or earlier in the document), so that the first copy stays. Strings are judged on the input.
+    doc_id, or earlier in the document), so that the first copy stays. Strings are judged on the input. Strings that
+    start in equal stretches around one minimiser (equal runs) recur by that; what stretches that differ share is found by the LPF array.
 
     Null and empty texts have no bytes. Texts shorter than `length` stay whole. Rows with a null id give no row; rows
-    that repeat an id give one each, and count as copies of each other. Other columns are ignored; an empty table
-    gives an empty result.
+    that repeat an id give one each, and count as copies of each other (with keep_first, different texts of an id are in
+    the order of a hash, and equal ones stand at the same place). Other columns are ignored; an empty table gives an empty result.
     """
     store = Store(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
+    docs = keyed_by_text(docs)
     spans = repeated_spans(store, docs, "byte", length, gram, keep_first, previous_factor_windows(length, keep_first))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from . import _kernels as K
 from ._store import Store
-from .repeats import attach, repeated_spans, units, window_hashes
+from .repeats import attach, keyed_by_text, repeated_spans
 
 
 def sorted_windows(window: int):
@@ -23,10 +23,11 @@ def sorted_windows(window: int):
 
     def kernel(texts: list[bytes], begins: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
         off = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-        h, at, _, _ = units(np.frombuffer(b"".join(texts), np.uint8), off, "word")
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        start, end, at = K.words(data, off)
         row = np.repeat(np.arange(len(texts)), n)
         k = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        w = window_hashes(h, at[row] + k, window)
+        w = np.stack([K.chained(K.word_hashes(data, start, end, False, seed), at[row] + k, window, seed) for seed in (1, 2)], 1)
         bucket = np.searchsorted(begins, row, "right")
         o = np.lexsort((w[:, 1], w[:, 0], bucket))  # stable: rows come in order of (doc_id, start)
         same = (bucket[o][1:] == bucket[o][:-1]) & (w[o][1:] == w[o][:-1]).all(1)
@@ -45,12 +46,13 @@ def drop_repeated_windows(docs: DataFrame, window: int = 20, gram: int = 6, id_c
     starts earlier: in a smaller doc_id, or earlier in the same document. Windows are judged on the input.
 
     Null and blank texts have no words and stay as they are; a null text stays null, its kept_words are empty. Texts of
-    fewer words than a window stay whole. Rows with a null id give no row. Rows that repeat an id stand at the same
-    place: neither is earlier than the other. Other columns are ignored; an empty table gives an empty result.
+    fewer words than a window stay whole. Rows with a null id give no row. Rows that repeat an id and a
+    text stand at the same place: neither is earlier than the other; different texts of an id are in the order of a hash. Other columns are ignored; an empty table gives an empty result.
     """
     store = Store(docs.sparkSession)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *carry).where("doc_id is not null")
-    spans = repeated_spans(store, docs.select("doc_id", "text"), "word", window, gram, True, sorted_windows(window))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), (F.struct(*carry) if carry else F.lit(0)).alias("carried")).where("doc_id is not null")
+    docs = keyed_by_text(docs)
+    spans = repeated_spans(store, docs.select("doc_id", "t", "text"), "word", window, gram, True, sorted_windows(window))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -75,9 +77,10 @@ def drop_repeated_windows(docs: DataFrame, window: int = 20, gram: int = 6, id_c
                 texts = K.kept_bytes(part, off, byte)
                 texts = pa.array([None if null else t for null, t in zip(column.slice(i, j - i).is_null().to_pylist(), texts.to_pylist())], pa.string())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(i, j - i), *(batch.column(c).slice(i, j - i) for c in carry), pa.array(n.astype(np.int64)), pa.array(removed.astype(np.int64)), texts, K.joined(part, off, start, end, at, keep)],
-                    names=["doc_id", *carry, "n_words", "n_removed", "text", "kept_words"],
+                    [batch.column("doc_id").slice(i, j - i), batch.column("carried").slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(removed.astype(np.int64)), texts, K.joined(part, off, start, end, at, keep)],
+                    names=["doc_id", "carried", "n_words", "n_removed", "text", "kept_words"],
                 )
 
-    carried = "".join(f"`{c}` {k}, " for c, k in docs.select(*carry).dtypes)
-    return attach(docs, spans).mapInArrow(cut, f"doc_id long, {carried}n_words long, n_removed long, text string, kept_words string")
+    kind = docs.schema["carried"].dataType.simpleString()
+    out = attach(docs, spans).mapInArrow(cut, f"doc_id long, carried {kind}, n_words long, n_removed long, text string, kept_words string")
+    return out.select("doc_id", *(F.col("carried").getField(c).alias(c) for c in carry), "n_words", "n_removed", "text", "kept_words")

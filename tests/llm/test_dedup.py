@@ -237,3 +237,30 @@ def test_digest_of_kept_words(spark):
     got = drop_repeated_windows(frame(spark, rows)).select("doc_id", F.sha2(F.col("kept_words").cast("binary"), 256).alias("d")).collect()
     want = brute_words(rows)
     assert all(r.d == hashlib.sha256(want[r.doc_id][2].encode()).hexdigest() for r in got)
+
+
+def thue_morse():
+    """A word and its complement, which polynomial hashes modulo a power of two take for equal."""
+    x = "a"
+    while len(x) < 1024:
+        x += x.translate(str.maketrans("ab", "ba"))
+    return x, x.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_polynomial_hashes_confuse(spark):
+    x, y = thue_morse()
+    common = " ".join(f"w{k}" for k in range(19))
+    rows = [(1, x), (2, y), (3, f"{common} {x}"), (4, f"{common} {y}")]
+    got = near_duplicates(frame(spark, rows), 0.8).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == jaccard_components(rows, 80)
+    got = drop_repeated_windows(frame(spark, rows), 20).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_words) for r in got} == brute_words(rows) and all(r.n_removed == 0 for r in got)
+
+
+def test_texts_of_one_id_and_columns_with_the_names_of_ours(spark):
+    """Spans of one text aren't cut from another text with its id."""
+    a, b = (" ".join(f"{c}{k}" for k in range(40)) for c in "xy")
+    rows = [(1, a, 5, "s", 6), (1, b, 5, "s", 6), (2, f"start {a}", 5, "s", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, t long, spans string, packed int")
+    got = sorted((r.doc_id, r.n_removed, r.t, r.spans) for r in drop_repeated_windows(docs, 20, carry=["t", "spans"]).collect())
+    assert got == [(1, 0, 5, "s"), (1, 0, 5, "s"), (2, 40, 5, "s")]
