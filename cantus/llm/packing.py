@@ -1,18 +1,21 @@
-"""Packing token sequences of bounded length, improved by swap-based local search.
+"""Packing token sequences of bounded length by swap-based local search.
 
 Documents are tokenised and cut where they are read; from then on only lengths move. Pieces are dealt into blocks of
-bounded size. Each block starts from a best-fit-decreasing packing and is improved by moving pieces, exchanging one for
+bounded size. A block starts from its pieces in the order of arrival and is improved by moving pieces, exchanging one for
 one and two for one between underfull bins, so that the sum of squared fills grows until bins run empty.
 """
 
 from __future__ import annotations
 
+import json
 import zlib
-from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from heapq import heapify, heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,26 +23,51 @@ from ._store import Store
 
 #: Pieces of a block on average. More give a tighter packing, fewer a smaller task.
 BLOCK = 16_000
-_ENCODINGS: dict[str, tuple] = {}
+#: Fixed value: where the tokenizers library splits a text for byte-level files.
+SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: Characters whose class is the same in every version of Unicode that regex and tokenizers may have.
+SETTLED = regex.compile("[\x00-\u0557\u2000-\u206f\u3040-\u30ff\u4e00-\u9fa5\uac00-\ud7a3]*")
+#: Split-off parts whose ids a process remembers.
+REMEMBERED = 200_000
+_ENCODERS: dict[str, Callable[[str], list[int]]] = {}
 
 
-def encoding(path: str):
-    """(fast, plain) encoders of a byte-level BPE file of the tokenizers library. Both give the same ids; fast runs them
-    through tiktoken, with the ranks that the file holds."""
-    if path not in _ENCODINGS:
-        import public_tokenizers
-        import tiktoken
+def encoder(path: str) -> Callable[[str], list[int]]:
+    """A function that gives the ids of tokenizers' encode(text, add_special_tokens=False).
+
+    For byte-level files every part that the library would split off is encoded once, by the library's own model, and
+    remembered; texts with special tokens or unusual characters, and other files, go through encode itself.
+    """
+    if path not in _ENCODERS:
         from tokenizers import Tokenizer
 
-        plain = Tokenizer.from_file(path)
-        plain.encode_special_tokens = True  # their strings in a text are ordinary text
-        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]  # these bytes stand for themselves in the file
-        letters = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
-        special = {t.content for t in plain.get_added_tokens_decoder().values()}
-        ranks = {bytes(letters[c] for c in t): i for t, i in plain.get_vocab().items() if t not in special}
-        fast = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        _ENCODINGS[path] = fast, plain
-    return _ENCODINGS[path]
+        whole = Tokenizer.from_file(path)
+        direct = lambda text: whole.encode(text, add_special_tokens=False).ids
+        with open(path) as f:
+            spec = json.load(f)
+        pre, model = spec["pre_tokenizer"] or {}, spec["model"]
+        plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec["normalizer"]
+        plain = plain and model.get("type", "BPE") == "BPE" and not model.get("dropout") and not model.get("byte_fallback")
+        special = [t.content for t in whole.get_added_tokens_decoder().values()]
+        shown = {b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b}  # these bytes stand for themselves in the file
+        letters = {b: b for b in shown} | {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - shown))}
+
+        class Parts(dict):
+            def __missing__(self, part: str) -> list[int]:
+                if len(self) >= REMEMBERED:
+                    self.clear()
+                ids = self[part] = [t.id for t in whole.model.tokenize(part.encode().decode("latin-1").translate(letters))]
+                return ids
+
+        known = Parts()
+
+        def encode(text: str) -> list[int]:
+            if not plain or any(s in text for s in special) or not (text.isascii() or SETTLED.fullmatch(text)):
+                return direct(text)
+            return list(chain.from_iterable(map(known.__getitem__, SPLIT.findall(text))))
+
+        _ENCODERS[path] = encode
+    return _ENCODERS[path]
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int, id_col: str = "doc_id", text_col: str = "text", end: int = 0) -> DataFrame:
@@ -48,15 +76,12 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, id_col: str = "doc_id
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fast, plain = encoding(tokenizer)
+        encode = encoder(tokenizer)
         for batch in batches:
             out: list[tuple] = []
             ids = batch.column("doc_id").to_pylist()
             for k, text in enumerate(batch.column("text")):
-                text = text.as_py() or ""
-                tokens = fast.encode_ordinary(text)
-                if k == 0 and tokens != plain.encode(text, add_special_tokens=False).ids:
-                    raise ValueError(f"{tokenizer}: the two encoders differ")
+                tokens = encode(text.as_py() or "")
                 tokens = np.array([*tokens, end], "<u4")
                 first = (len(tokens) - 1) % capacity + 1
                 edges = [0, *range(first, len(tokens) + 1, capacity)]
@@ -67,84 +92,112 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, id_col: str = "doc_id
     return docs.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
-    """Bins of indices: longest first, each into the fullest bin that has room."""
-    room: list[list[int]] = [[] for _ in range(capacity + 1)]
-    open_, bins = 0, []  # bit r of open_: some bin has room r
-    for i in np.argsort(-lengths, kind="stable").tolist():
-        n = int(lengths[i])
-        fits = open_ >> n
-        if fits:
-            r = n + ((fits & -fits).bit_length() - 1)
-            b = room[r].pop()
-            if not room[r]:
-                open_ &= ~(1 << r)
-            bins[b].append(i)
-            r -= n
-        else:
-            b, r = len(bins), capacity - n
-            bins.append([i])
-        room[r].append(b)
-        open_ |= 1 << r
+def in_order(lengths: np.ndarray, capacity: int) -> list[list[int]]:
+    """Bins of indices in the order of arrival: each piece into the last bin, or a new one if it has no room."""
+    bins: list[list[int]] = []
+    room = -1
+    for i, n in enumerate(lengths.tolist()):
+        if n > room:
+            bins.append([])
+            room = capacity
+        bins[-1].append(i)
+        room -= n
     return bins
 
 
-def improve(bins: list[list[int]], lengths: np.ndarray, capacity: int, passes: int = 20) -> list[list[int]]:
-    """Local search over underfull bins. Every accepted change makes a fuller bin fuller and a less full one less full,
-    so the sum of squared fills grows; bins that run empty are dropped."""
-    size = [int(x) for x in lengths]
-    fill = [sum(size[i] for i in b) for b in bins]
-    for _ in range(passes):
-        changed = False
-        order = sorted((b for b in range(len(bins)) if 0 < fill[b] < capacity), key=lambda b: fill[b])
-        if len(order) < 2 or sum(fill[b] for b in order) > (len(order) - 1) * capacity:
-            break  # these bins can't become fewer
-        givers = order[: max(1, len(order) // 4)]
-        pool: list[tuple[int, int, int]] = sorted((size[i], i, b) for b in givers for i in bins[b])
-        gone: set[int] = set()
-        for to in reversed(order):  # the fullest first
-            if not pool:
-                break
-            slack = capacity - fill[to]
-            # move: the largest piece of a giver that fits
-            while slack and pool:
-                k = bisect_left(pool, (slack + 1, -1, -1)) - 1
-                while k >= 0 and (pool[k][2] == to or fill[pool[k][2]] > fill[to]):
-                    k -= 1
-                if k < 0:
-                    break
-                n, i, b = pool.pop(k)
-                bins[b].remove(i)
-                bins[to].append(i)
-                fill[b], fill[to], slack, changed = fill[b] - n, fill[to] + n, slack - n, True
-                gone.add(i)
-            if not slack or to in givers:
+class Pool:
+    """Pieces of the bins that may still give, by size."""
+
+    def __init__(self, capacity: int):
+        self.sizes, self.by_size = 0, [set() for _ in range(capacity + 1)]  # bit n of sizes: there are pieces of size n
+
+    def add(self, n: int, i: int) -> None:
+        self.by_size[n].add(i)
+        self.sizes |= 1 << n
+
+    def take(self, n: int, i: int) -> None:
+        self.by_size[n].discard(i)
+        if not self.by_size[n]:
+            self.sizes &= ~(1 << n)
+
+    def largest(self, most: int) -> int:
+        """The largest size up to `most`, 0 if none."""
+        return max(0, (self.sizes & ((1 << (most + 1)) - 1)).bit_length() - 1)
+
+
+def improve(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[list[int]]:
+    """Local search over bins that aren't full. One after the other takes what fits best from those after it: by moves while
+    a piece fits, then by exchanging one or two of its pieces for a larger one. Bins come by their largest piece in one
+    turn, by their fill in the next. Every change makes the sum of squared fills grow, so the search ends: when the bins
+    can't become fewer, or a turn of either kind changes nothing. Bins that run empty are dropped."""
+    size = lengths.tolist()
+    bins = [set(b) for b in bins]
+    least = -(-sum(size) // capacity)
+    idle, turn = 0, 0
+    while idle < 2 and len(bins) > least:
+        idle, turn = idle + 1, turn + 1
+        order = (lambda b: -max(size[i] for i in bins[b])) if turn % 2 else (lambda b: -fill[b])
+        home = {i: b for b, items in enumerate(bins) for i in items}
+        fill = [sum(size[i] for i in b) for b in bins]
+        pool = Pool(capacity)
+        for b, items in enumerate(bins):
+            if fill[b] < capacity:
+                for i in items:
+                    pool.add(size[i], i)
+        queue = [(order(b), b) for b in range(len(bins)) if fill[b] < capacity]
+        heapify(queue)
+        while queue:
+            f, to = heappop(queue)
+            if not fill[to]:
                 continue
-            # exchange one or two pieces of the bin for one larger piece of a giver
-            own = sorted(bins[to], key=lambda i: size[i])
-            outs = [(size[i], (i,)) for i in own] + [(size[i] + size[j], (i, j)) for x, i in enumerate(own[:24]) for j in own[x + 1 : 24]]
-            best = None
-            for n, out in outs:
-                k = bisect_left(pool, (n + slack + 1, -1, -1)) - 1
-                while k >= 0 and pool[k][0] > n:
-                    m, i, b = pool[k]
-                    if b != to and fill[b] <= fill[to] and (best is None or m - n > best[0]):
-                        best = m - n, out, k
+            if f != order(to):  # it has given or been given pieces since
+                heappush(queue, (order(to), to))
+                continue
+            for i in bins[to]:  # from here on it only takes
+                pool.take(size[i], i)
+            while fill[to] < capacity:
+                slack = capacity - fill[to]
+                n, out = pool.largest(slack), ()
+                if not n:
+                    by_size = {size[i]: i for i in bins[to]}
+                    twins = {size[i]: i for i in bins[to] if by_size[size[i]] != i}
+                    gain = 0
+                    for y, i in by_size.items():
+                        x = pool.largest(y + slack)
+                        if x - y > gain:
+                            gain, n, out = x - y, x, (i,)
+                        for z, j in by_size.items() if gain < slack else ():
+                            j = j if z < y else twins.get(y) if z == y else None
+                            if j is not None and y + z < capacity:
+                                x = pool.largest(min(y + z + slack, capacity))
+                                if x - y - z > gain:
+                                    gain, n, out = x - y - z, x, (i, j)
+                        if gain == slack:
+                            break
+                    if not gain:
+                        break
+                rise = n - sum(size[j] for j in out)
+                i = next(iter(pool.by_size[n]))
+                if fill[to] + rise <= fill[home[i]]:  # squares would not rise; another piece of this size may do
+                    i = min(pool.by_size[n], key=lambda i: fill[home[i]])
+                    if fill[to] + rise <= fill[home[i]]:
                         break
-                    k -= 1
-            if best:
-                gain, out, k = best
-                _, i, b = pool.pop(k)
-                bins[b].remove(i)
-                bins[to].append(i)
+                b = home[i]
+                pool.take(n, i)
+                bins[b].discard(i)
+                bins[to].add(i)
+                home[i] = to
                 for j in out:
-                    bins[to].remove(j)
-                    bins[b].append(j)
-                    insort(pool, (size[j], j, b))
-                fill[to], fill[b], changed = fill[to] + gain, fill[b] - gain, True
-        if not changed:
-            break
-    return [b for b in bins if b]
+                    bins[to].discard(j)
+                    bins[b].add(j)
+                    home[j] = b
+                    pool.add(size[j], j)
+                    n -= size[j]
+                fill[to] += n
+                fill[b] -= n
+                idle = 0
+        bins = [b for b in bins if b]
+    return [sorted(b) for b in bins]
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -164,7 +217,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, block: int = BLO
     def bins(t: pa.Table) -> pa.Table:
         t = t.sort_by([("doc_id", "ascending"), ("piece", "ascending")])
         length = t["length"].to_numpy()
-        packed = improve(best_fit(length, capacity), length, capacity)
+        packed = improve(in_order(length, capacity), length, capacity)
         sequence, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
         for s, b in enumerate(packed):
             sequence[b] = s

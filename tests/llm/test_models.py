@@ -181,9 +181,8 @@ def test_packing(spark):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     r = random.Random(0)
-    texts = ["".join(r.choice("ab cdé,.\n  '\U0001f600Zß9") for _ in range(r.randint(0, 300))) for _ in range(300)] + [None, "", "long text " * 900, "<|endoftext|> it's", "x"]
+    texts = ["".join(r.choice("ab cdé,.\n  '\U0001f600Zß9") for _ in range(r.randint(0, 300))) for _ in range(300)] + [None, "", "long text " * 900, "<|endoftext|> it's", "a <|endoftext|> b", "\u0558\u088f odd \u2029\u1c89\u0301 x", "x"]
     df = spark.createDataFrame([(k, x, 1) for k, x in enumerate(texts)] + [(None, "z", 1)], "doc_id long, text string, piece int").repartition(3)
     got = packing.pack(df, path, 256, block=100).collect()
     ids = {k: [*t.encode(x or "", add_special_tokens=False).ids, 0] for k, x in enumerate(texts)}
@@ -214,11 +213,11 @@ def test_blocks_are_bounded_by_pieces(spark, monkeypatch):
     """A few long documents have many pieces; no block takes many more than it should, and full pieces take none."""
     import public_tokenizers
 
-    def bounded(lengths, capacity, best=packing.best_fit):
+    def bounded(lengths, capacity, start=packing.in_order):
         assert len(lengths) < 60 and (lengths < capacity).all()
-        return best(lengths, capacity)
+        return start(lengths, capacity)
 
-    monkeypatch.setattr(packing, "best_fit", bounded)
+    monkeypatch.setattr(packing, "in_order", bounded)
     df = spark.createDataFrame([(k, "one two three " * (400 if k < 10 else 2)) for k in range(100)], "doc_id long, text string")
     got = packing.pack(df, public_tokenizers.path("byte_bpe_50k.json"), 64, block=25).collect()
     fill = Counter()
@@ -233,15 +232,34 @@ def test_local_search_keeps_pieces_and_never_adds_bins():
     for n in (0, 1, 5, 200):
         for high in (30, 100):
             x = r.integers(1, high + 1, n)
-            start = [[k] for k in range(n)]
-            out = packing.improve([list(b) for b in start], x, 100, passes=200)
-            assert sorted(i for b in out for i in b) == list(range(n)) and all(x[b].sum() <= 100 for b in out) and len(out) <= n
-            best = packing.best_fit(x, 100)
-            better = packing.improve([list(b) for b in best], x, 100)
-            assert sorted(i for b in better for i in b) == list(range(n)) and len(better) <= len(best)
+            for start in ([[k] for k in range(n)], packing.in_order(x, 100)):
+                out = packing.improve([list(b) for b in start], x, 100)
+                assert sorted(i for b in out for i in b) == list(range(n)) and all(x[b].sum() <= 100 for b in out) and len(out) <= len(start)
+                assert sum(int(x[b].sum()) ** 2 for b in out) >= sum(int(x[b].sum()) ** 2 for b in start)
     assert len(packing.improve([[0, 1], [2, 3]], np.array([50, 20, 30, 20]), 120)) <= 2
 
 
+def fewest_by_best_fit(x, capacity):
+    rooms = []
+    for n in sorted(x.tolist(), reverse=True):
+        fits = [r for r in rooms if r >= n]
+        if fits:
+            rooms.remove(min(fits))
+        rooms.append((min(fits) if fits else capacity) - n)
+    return len(rooms)
+
+
+def test_local_search_packs_where_best_fit_does_not():
+    """Three pieces fill a bin, in pairs they waste a fifth: best fit decreasing pairs them, exchanges don't."""
+    r = np.random.default_rng(1)
+    x = r.integers(500, 900, 1500)
+    start = packing.in_order(x, 2048)
+    out = packing.improve(start, x, 2048)
+    assert len(out) < 0.96 * fewest_by_best_fit(x, 2048) and len(out) < 0.88 * len(start)
+    for x in (r.integers(1, 2047, 1500), r.integers(300, 1500, 1500), np.full(900, 600)):
+        assert len(packing.improve(packing.in_order(x, 2048), x, 2048)) <= 1.01 * fewest_by_best_fit(x, 2048)
+
+
 def test_hosts(spark):
     urls = ["http://A.Good.net/x", "https://x.example.net/en/1?q", "http://example.net", "ftp://b.example.com/de/", "http://b.example.com/fr#x", "http://org/fr/1", "http://a.org/fr", "nothing", None, "", "http://spam.bad.com/a://b", "HTTP://É.Com/ä?x#y", "http://host?x/y", "http://h.co.uk/\nline"]
     pages = spark.createDataFrame([(k, u, "r") for k, u in enumerate(urls)] + [(100 + k, f"http://spam.bad.com/{k}", "r") for k in range(60)] + [(200 + k, f"http://fine.com/{k}", "r") for k in range(60)] + [(None, "http://fine.com/", "r")], "page_id long, url string, rule string")
