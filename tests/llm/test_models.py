@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from cantus.llm import _kernels as K
 from cantus.llm import ordinal, packing, pitman_yor, tiling
 from cantus.llm.chat import collapse
 from cantus.llm.hosts import judge
@@ -149,9 +150,10 @@ def brute_tiles(a, b, least):
         total += best[0]
 
 
-@pytest.mark.parametrize("block", [16 << 20, 400])
-def test_string_tiling(spark, block, monkeypatch):
-    monkeypatch.setattr(tiling, "BLOCK_BYTES", block)
+@pytest.mark.parametrize("most", [16 << 20, 0])
+def test_string_tiling(spark, most, monkeypatch):
+    """The benchmark broadcast, and joined by shuffles."""
+    monkeypatch.setattr(tiling, "BROADCAST_BYTES", most)
     r = random.Random(0)
     items = [(k, " ".join(f"i{r.randrange(60)}" for _ in range(r.randint(3, 30)))) for k in range(12)]
     docs = []
@@ -168,13 +170,33 @@ def test_string_tiling(spark, block, monkeypatch):
     for k, t, _ in docs:
         shares = {i: brute_tiles(t.lower().split(), x.split(), 5) / len(x.split()) for i, x in items if len(x.split()) >= 5}
         best = max(shares.values())
-        assert got[k].coverage == pytest.approx(best) and got[k].contaminated == (best >= tiling.COVERAGE)
-        if best:
-            assert got[k].item_id == min(i for i, s in shares.items() if s == best)
+        assert got[k].contaminated == (best >= tiling.COVERAGE)
+        if got[k].contaminated:
+            assert got[k].coverage == pytest.approx(best) and got[k].item_id == min(i for i, s in shares.items() if s == best)
+        else:
+            assert (got[k].item_id, got[k].coverage, got[k].n_tiles) == (None, 0, 0)
+    assert any(got[k].contaminated and got[k].n_tiles > 1 for k, _, _ in docs)
     assert not got[60].contaminated and not got[61].contaminated
     assert tiling.contamination(df.limit(0), bench).count() == 0 and tiling.contamination(df, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_tiles_of_repeated_and_confusable_words():
+    a = np.full(100_000, 7, np.uint64)
+    assert tiling.tiles(a, a[:1000], 5) == [(0, 0, 1000)]
+    x = "a"
+    while len(x) < 1024:
+        x += x.translate(str.maketrans("ab", "ba"))
+    pair = [x, x.translate(str.maketrans("ab", "ba"))]
+    for size in (4, 6):
+        text = [f"{' '.join('v' * k for k in range(1, size))} {w}".encode() for w in pair]
+        one, two = (K.word_hashes(d, *K.words(d, np.array([0, len(d)]))[:2], True) for d in (np.frombuffer(t, np.uint8) for t in text))
+        assert [n for _, _, n in tiling.tiles(one, two, 3)] == [size - 1]
+    r = random.Random(3)
+    for _ in range(40):
+        one, two = ([r.randrange(4) for _ in range(r.randint(0, 40))] for _ in range(2))
+        assert sum(n for _, _, n in tiling.tiles(np.array(one, np.uint64), np.array(two, np.uint64), 3)) == brute_tiles(one, two, 3)
+
+
 def test_packing(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
