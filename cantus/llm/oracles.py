@@ -19,7 +19,7 @@ SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM
 
 COLLAPSE = """WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
 p AS (SELECT conv_id, row_number() OVER w AS pos, count(*) OVER (PARTITION BY conv_id) AS n, string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '') OVER w AS x
-  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(role || chr(1) || text) ROWS UNBOUNDED PRECEDING)),
+  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(role) || ':' || role || text) ROWS UNBOUNDED PRECEDING)),
 w AS (SELECT n, x, min(conv_id) AS conv_id FROM p WHERE pos = n GROUP BY 1, 2)
 SELECT conv_id, n AS n_turns, x AS rendered FROM w WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.pos < p.n AND p.pos = w.n AND p.x = w.x)"""
 

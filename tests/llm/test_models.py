@@ -328,6 +328,20 @@ def test_collapse(spark):
     assert collapse(df.limit(0)).count() == 0
 
 
+def test_turns_whose_role_and_text_run_together(spark):
+    """Only whole turns are compared, tied turns have an order that the SQL shares, and equal ones count once."""
+    import duckdb
+
+    from cantus.llm import oracles
+
+    rows = [(1, 0, "a\0b", "c"), (2, 0, "a", "b\0c"), (3, 0, "a", "x"), (3, 0, "ax", ""), (3, 0, "b", "x"), (3, 0, "b", "x"), (4, 0, "b", "x"), (5, None, None, None), (5, 1, "é\U0001f600", "y")]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    got = sorted(map(tuple, collapse(df).collect()))
+    conversations = df.toPandas()  # noqa: F841
+    want = sorted(duckdb.sql(oracles.COLLAPSE).fetchall())
+    assert [(a, int(b), c) for a, b, c in want] == got and {1, 2, 3, 5} <= {x[0] for x in got}
+
+
 def test_language_model_of_nothing(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert pitman_yor.score(none).count() == 0
