@@ -31,7 +31,7 @@ def _strength(n: str, bad: str) -> str:
     return f"coalesce(greatest(1.0, CASE WHEN {rho} > 0 THEN least(1000.0, (1 - {rho}) / {rho}) ELSE 1000.0 END), 1000.0)"
 
 
-def hosts(rules: list[tuple[str, str]], tolerance: float, suffixes: tuple[str, ...], z: float = 1.645) -> str:
+def hosts(rules: list[tuple[str, str]], suffixes: tuple[str, ...], worse: float, z: float = 1.645) -> str:
     def case(value: int) -> str:
         whens = []
         for rule in sorted(rules, key=lambda r: (len(r[1]), r[1]), reverse=True):
@@ -41,15 +41,16 @@ def hosts(rules: list[tuple[str, str]], tolerance: float, suffixes: tuple[str, .
 
     two = ", ".join(f"'{s}'" for s in suffixes)
     return f"""WITH p AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), '{UPPER}', '{LOWER}') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
-o AS (SELECT p.host, CASE WHEN toxic = 1 OR quality = 0 THEN 1 WHEN toxic = 0 AND quality = 1 THEN 0 END AS bad FROM (SELECT DISTINCT page_id, host FROM p) p JOIN labels ON doc_id = page_id),
-h0 AS (SELECT host, count(*)::DOUBLE AS n, sum(bad)::DOUBLE AS b, string_split(host, '.') AS s FROM o WHERE bad IS NOT NULL GROUP BY host),
+o AS (SELECT p.host, CASE WHEN toxic = 1 OR quality = 0 THEN 1 WHEN toxic = 0 AND quality = 1 THEN 0 END AS bad FROM (SELECT DISTINCT page_id, host FROM p) p LEFT JOIN labels ON doc_id = page_id),
+h0 AS (SELECT host, count(bad)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS b, string_split(regexp_replace(regexp_replace(host, '(?s)^.*@', ''), ':[0-9]*$', ''), '.') AS s FROM o GROUP BY host),
 h AS (SELECT host, n, b, CASE WHEN array_to_string(s[-2:], '.') IN ({two}) THEN array_to_string(s[-3:], '.') ELSE array_to_string(s[-2:], '.') END AS domain, CASE WHEN array_to_string(s[-2:], '.') IN ({two}) THEN array_to_string(s[-2:], '.') ELSE s[-1] END AS suffix FROM h0),
 d AS (SELECT domain, suffix, sum(n) AS n, sum(b) AS b FROM h GROUP BY 1, 2), f AS (SELECT suffix, sum(n) AS n, sum(b) AS b FROM d GROUP BY 1),
-ks AS (SELECT sum(b) / sum(n) AS rate, {_strength('n', 'b')} AS k FROM f), kd AS (SELECT {_strength('n', 'b')} AS k FROM d), kh AS (SELECT {_strength('n', 'b')} AS k FROM h),
-fr AS (SELECT suffix, (f.b + ks.k * ks.rate) / (f.n + ks.k) AS r FROM f, ks), dr AS (SELECT domain, (d.b + kd.k * fr.r) / (d.n + kd.k) AS r FROM d JOIN fr USING (suffix), kd),
-ab AS (SELECT host, h.b + kh.k * dr.r AS a, h.n - h.b + kh.k * (1 - dr.r) AS b FROM h JOIN dr USING (domain), kh),
-m AS (SELECT host, a / (a + b) AS mean, a + b AS n FROM ab), v AS (SELECT host, mean, mean - {z} * sqrt(mean * (1 - mean) / (n + 1)) AS bound FROM m)
-SELECT page_id, host, path, {case(1)} AS rule, coalesce({case(0)}, CASE WHEN bound > {tolerance} THEN 'block' ELSE 'allow' END) AS verdict, round(mean, 6) AS bad_rate FROM p LEFT JOIN v USING (host)"""
+ks AS (SELECT sum(b) / sum(n) AS rate, {_strength('n', 'b')} AS k FROM f WHERE n > 0), kd AS (SELECT {_strength('n', 'b')} AS k FROM d WHERE n > 0), kh AS (SELECT {_strength('n', 'b')} AS k FROM h WHERE n > 0),
+fr AS (SELECT suffix, (f.b + ks.k * ks.rate) / (f.n + ks.k) AS r FROM f, ks), dr AS (SELECT domain, suffix, (d.b + kd.k * fr.r) / (d.n + kd.k) AS r FROM d JOIN fr USING (suffix), kd),
+ab AS (SELECT host, h.b + kh.k * dr.r AS a, h.n - h.b + kh.k * (1 - dr.r) AS b FROM h JOIN dr USING (domain, suffix), kh),
+m AS (SELECT host, a / (a + b) AS mean, a + b AS n FROM ab),
+v AS (SELECT host, mean, greatest(0, mean - {z} * sqrt(mean * (1 - mean) / (n + 1))) AS bound FROM m)
+SELECT page_id, host, path, {case(1)} AS rule, coalesce({case(0)}, CASE WHEN bound > {worse} * (SELECT rate FROM ks) THEN 'block' ELSE 'allow' END) AS verdict, round(mean, 6) AS bad_rate FROM p LEFT JOIN v USING (host)"""
 
 
 SUPERKMER = f"""WITH w AS (SELECT doc_id, {_words("coalesce(text, '')")} AS w FROM documents),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracles
-from .hosts import TWO_LABEL_SUFFIXES
+from .hosts import TWO_LABEL_SUFFIXES, WORSE
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,16 +71,14 @@ def op8_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: (action, host and beginning of the path)
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
-#: The share of bad pages that a host may have.
-TOLERANCE = 0.3
-
 
 def op9_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .hosts import judge
 
+    # The tables hold no outcomes of pages: the label with the page's number stands for them.
     labels = table(spark, sf_dir, "labels")
     bad = F.when((F.col("toxic") == 1) | (F.col("quality") == 0), 1).when((F.col("toxic") == 0) & (F.col("quality") == 1), 0)
-    return judge(table(spark, sf_dir, "pages"), labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad")), RULES, TOLERANCE)
+    return judge(table(spark, sf_dir, "pages"), labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad")), RULES)
 
 
 def op10_superkmer_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,6 +103,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE: dict[str, str] = {
     "op3_minmax_near_dedup": oracles.MINHASH,
     "op5_snapshot_collapse": oracles.COLLAPSE,
-    "op9_host_reputation": oracles.hosts(RULES, TOLERANCE, TWO_LABEL_SUFFIXES),
+    "op9_host_reputation": oracles.hosts(RULES, TWO_LABEL_SUFFIXES, WORSE),
     "op10_superkmer_substring_dedup": oracles.SUPERKMER,
 }

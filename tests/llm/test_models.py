@@ -314,6 +314,23 @@ def test_hosts_without_outcomes_fall_back(spark):
     assert none.where("verdict = 'block' or bad_rate is not null").count() == 0
 
 
+def test_host_bound_and_ports(spark):
+    """By default a host is blocked if it is credibly worse than all pages together; ports and users don't make domains."""
+    from cantus.llm import hosts
+    from pyspark.sql import functions as F
+
+    urls = [(k, f"http://{'u@' if k % 2 else ''}h{k % 20}.d{k % 5}.com{':8080' if k % 3 else ''}/{k}") for k in range(4000)]
+    outcomes = [(k, int(k % 20 == 3 and k % 40 < 30 or k % 97 == 0)) for k in range(4000)]
+    got = judge(spark.createDataFrame(urls, "page_id long, url string"), spark.createDataFrame(outcomes, "page_id long, bad int"), []).collect()
+    blocked = {r.host for r in got if r.verdict == "block"}
+    assert blocked == {r.host for r in got if "h3.d3.com" in r.host} and len(blocked) == 2
+    assert {r.verdict for r in got} == {"allow", "block"}
+    odd = spark.createDataFrame([("u:p@a.b.co.uk:80",), ("a.b",), ("",), ("x:1",)], "h string").select(hosts.domain(F.col("h")).alias("d"), hosts.suffix(F.col("h")).alias("s"))
+    assert [tuple(r) for r in odd.collect()] == [("b.co.uk", "co.uk"), ("a.b", "b"), ("", ""), ("x", "x")]
+    rate = hosts.reputation(spark.createDataFrame([("a.x", 0)] * 3 + [("b.x", 1)] * 2, "host string, bad int")).collect()
+    assert all(0 <= r.bad_bound <= r.bad_rate <= 1 and r.all_rate == 0.4 for r in rate)
+
+
 def test_collapse(spark):
     base = [("user", "hi"), ("assistant", "hello"), ("user", "more"), ("assistant", None)]
     convs = {1: base[:2], 2: base, 3: base[:1], 4: base, 5: [("user", "hi"), ("assistant", "HELLO")], 6: [("user", "h"), ("i", "x")], 7: [(None, "")], 8: base[:2] + [("user", "less")], 9: [("user", "hiassistant")]}
