@@ -51,11 +51,47 @@ def features(part: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate(docs), (np.concatenate(out) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
+def likelihood(t0: float, gaps: np.ndarray, w: np.ndarray, row: np.ndarray, col: np.ndarray, y: np.ndarray, weight: np.ndarray, shrink: float) -> tuple[float, list[np.ndarray]]:
+    """The penalised log likelihood of grades y and its gradient by t0, gaps and w. Features are pairs (row, col); the
+    thresholds are t0 and t0 plus running sums of exp(gaps), so that they stay in order."""
+    n, grown = len(y), len(gaps) + 1
+    t = t0 + np.concatenate([[0], np.cumsum(np.exp(gaps))])
+    s = np.bincount(row, w[col], n) if len(col) else np.zeros(n)
+    up = 1 / (1 + np.exp(-(s[:, None] - t[None, :])))
+    full = np.concatenate([np.ones((n, 1)), up, np.zeros((n, 1))], 1)
+    i = np.arange(n)
+    mass = np.maximum(full[i, y] - full[i, y + 1], 1e-12)
+    slope = up * (1 - up)
+    d = np.zeros((n, grown))  # derivative of the log likelihood by each threshold's margin
+    at = y > 0
+    d[i[at], y[at] - 1] += slope[i[at], y[at] - 1] / mass[at]
+    at = y < grown
+    d[i[at], y[at]] -= slope[i[at], y[at]] / mass[at]
+    d *= weight[:, None]
+    by_row, by_t = d.sum(1), -d.sum(0)
+    share = shrink / max(len(w), 1)
+    grad_w = (np.bincount(col, by_row[row], len(w)) if len(col) else np.zeros(len(w))) - share * w
+    return float((weight * np.log(mass)).sum() - share * (w @ w) / 2), [np.array([by_t.sum()]), np.array([by_t[k + 1 :].sum() * np.exp(g) for k, g in enumerate(gaps)]), grad_w]
+
+
+def telling(row: np.ndarray, col: np.ndarray, toxic: np.ndarray, of: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(used, marker) of each hashed feature, by its frequency in toxic and other rows (those in `of`): used if the two differ by LEAST_Z
+    standard errors, a marker if it is toxic rows that have it more often."""
+    of = np.ones(len(toxic), bool) if of is None else of
+    n1, n0 = max((toxic & of).sum(), 1), max((~toxic & of).sum(), 1)
+    d1, d0 = (np.bincount(col[(k & of)[row]], minlength=1 << BITS) for k in (toxic, ~toxic))
+    p = (d1 + d0) / (n1 + n0)
+    z = (d1 / n1 - d0 / n0) / np.sqrt(np.maximum(p * (1 - p) * (1 / n1 + 1 / n0), 1e-12))
+    use = (np.abs(z) >= LEAST_Z) & (d1 + d0 >= 3)
+    return use, use & (z > 0)
+
+
 def fit(docs: DataFrame, grades: DataFrame, sample: int = SAMPLE, rounds: int = 400, shrink: float = 0.1) -> Model:
     """docs (doc_id, text), grades (doc_id, grade from 0). Grades that repeat an id count as their maximum; null ones are not labels.
 
     Labels that only tell 0 from 1 are refined: rows of grade 1 with more distinct markers (features that are much more
-    frequent in it) than its median get grade 2, so that severity is graded by how much of a text is toxic.
+    frequent in it) than its median get grade 2, so that severity is graded by how much of a text is toxic. Markers of one
+    half of the rows grade the other half, so that no row is graded by features that it chose itself.
     """
     lean(docs.sparkSession)
     graded = grades.where("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.max("grade").cast("int").alias("grade"))
@@ -80,41 +116,25 @@ def fit(docs: DataFrame, grades: DataFrame, sample: int = SAMPLE, rounds: int =
     x = [np.frombuffer(r.features, np.int32) for r in rows]
     row, col = np.repeat(np.arange(len(x)), [len(v) for v in x]), np.concatenate(x)
     toxic = y > 0
-    n1, n0 = toxic.sum(), (~toxic).sum()
-    d1 = np.bincount(col[toxic[row]], minlength=1 << BITS)
-    d0 = np.bincount(col[~toxic[row]], minlength=1 << BITS)
-    p = (d1 + d0) / (n1 + n0)
-    z = (d1 / n1 - d0 / n0) / np.sqrt(np.maximum(p * (1 - p) * (1 / n1 + 1 / n0), 1e-12))
-    use = (np.abs(z) >= LEAST_Z) & (d1 + d0 >= 3)
+    use, _ = telling(row, col, toxic)
     if grown == 1:
-        markers = np.bincount(row, (use & (z > 0))[col], len(y))
+        half = np.arange(len(y)) % 2 == 0
+        markers = np.zeros(len(y))
+        for own in (half, ~half):
+            _, marker = telling(row, col, toxic, ~own)
+            markers += np.where(own, np.bincount(row, marker[col], len(y)), 0)
         y = np.where(toxic, 1 + (markers > np.median(markers[toxic])), 0)
         grown = int(y.max())
     ids = np.flatnonzero(use)
     keep = use[col]
     row, col = row[keep], np.searchsorted(ids, col[keep])
 
-    # Gradient steps of AdaGrad on the penalised likelihood; grades weigh alike, thresholds stay ordered by their gaps.
+    # Gradient steps of AdaGrad on the penalised likelihood; toxic and other rows weigh alike in sum.
     t0, gaps, w = 0.0, np.full(max(grown - 1, 0), 2.0), np.zeros(len(ids))
-    weight = np.where(toxic, 0.5 / n1, 0.5 / n0)
+    weight = np.where(toxic, 0.5 / toxic.sum(), 0.5 / (~toxic).sum())
     sums = [np.full_like(v, 1e-8, dtype=float) for v in (np.zeros(1), gaps, w)]
     for _ in range(rounds):
-        t = t0 + np.concatenate([[0], np.cumsum(np.exp(gaps))])
-        s = np.bincount(row, w[col], len(y)) if len(col) else np.zeros(len(y))
-        up = 1 / (1 + np.exp(-(s[:, None] - t[None, :])))
-        full = np.concatenate([np.ones((len(y), 1)), up, np.zeros((len(y), 1))], 1)
-        i = np.arange(len(y))
-        mass = np.maximum(full[i, y] - full[i, y + 1], 1e-12)
-        slope = up * (1 - up)
-        d = np.zeros((len(y), grown))  # derivative of the log likelihood by each threshold's margin
-        at = y > 0
-        d[i[at], y[at] - 1] += slope[i[at], y[at] - 1] / mass[at]
-        at = y < grown
-        d[i[at], y[at]] -= slope[i[at], y[at]] / mass[at]
-        d *= weight[:, None]
-        by_row = d.sum(1)
-        by_t = -d.sum(0)
-        grads = [np.array([by_t.sum()]), np.array([by_t[k + 1 :].sum() * np.exp(g) for k, g in enumerate(gaps)]), (np.bincount(col, by_row[row], len(ids)) if len(col) else np.zeros(len(ids))) - shrink * w / max(len(ids), 1)]
+        _, grads = likelihood(t0, gaps, w, row, col, y, weight, shrink)
         for total, g in zip(sums, grads):
             total += g * g
         t0 += 0.3 * (grads[0] / np.sqrt(sums[0]))[0]

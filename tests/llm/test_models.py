@@ -150,6 +150,27 @@ def brute_tiles(a, b, least):
         total += best[0]
 
 
+def test_gradient_of_the_ordinal_likelihood():
+    """Against finite differences, and the likelihood against grades' probabilities written out."""
+    r = np.random.default_rng(0)
+    n, m = 30, 6
+    row, col = np.nonzero(r.random((n, m)) < 0.4)
+    y, weight = r.integers(0, 4, n), r.random(n)
+    t0, gaps, w = 0.3, r.normal(size=2), r.normal(size=m)
+    f = lambda t0, gaps, w: ordinal.likelihood(t0, gaps, w, row, col, y, weight, 0.5)
+    value, (gt, gg, gw) = f(t0, gaps, w)
+    t = [t0, t0 + np.exp(gaps[0]), t0 + np.exp(gaps).sum()]
+    score = [sum(w[c] for x, c in zip(row, col) if x == k) for k in range(n)]
+    above = lambda k, g: 1.0 if g == 0 else 0.0 if g == 4 else 1 / (1 + math.exp(t[g - 1] - score[k]))
+    assert value == pytest.approx(sum(weight[k] * math.log(above(k, y[k]) - above(k, y[k] + 1)) for k in range(n)) - 0.5 / m * (w @ w) / 2)
+    e = 1e-6
+    assert gt[0] == pytest.approx((f(t0 + e, gaps, w)[0] - f(t0 - e, gaps, w)[0]) / (2 * e), abs=1e-6)
+    for v, g, call in ((gaps, gg, lambda x: f(t0, x, w)), (w, gw, lambda x: f(t0, gaps, x))):
+        for k in range(len(v)):
+            step = np.eye(len(v))[k] * e
+            assert g[k] == pytest.approx((call(v + step)[0] - call(v - step)[0]) / (2 * e), abs=1e-6)
+
+
 @pytest.mark.parametrize("most", [16 << 20, 0])
 def test_string_tiling(spark, most, monkeypatch):
     """The benchmark broadcast, and joined by shuffles."""
