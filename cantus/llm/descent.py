@@ -2,10 +2,11 @@
 
 A neighbour graph starts from random-projection orders and is refined by local joins: neighbours of a vector (forward and
 reverse) are compared with each other, and every list keeps its best. Lists that are still over the threshold at their
-end are saturated: they may hold a vector's own component alone and hide links to others. Such vectors get a second list, of
-neighbours outside their component, which is refined alike until no component meets another; links inside a component are
-counted exactly, in blocks. A brute-force audit on a sample of rows measures recall; if it still misses a link at the end,
-all components are compared with each other exhaustively.
+end are saturated: they may hide links. They are made twice as long and refined again, up to a bound, as there may be more
+links than lists should carry. Most of these lie within a component, so vectors whose lists were saturated get a second
+list, of neighbours outside theirs, which is refined alike until no component meets another. An exact check follows: links inside a
+component are counted in blocks, and a brute-force audit on a sample of rows measures recall; if it still misses a
+link, all components are compared with each other exhaustively.
 """
 
 from __future__ import annotations
@@ -22,12 +23,12 @@ from ._graph import components
 from ._kernels import mix
 from ._store import Store
 
-#: Length of a neighbour list, number of random-projection orders, rows that are compared at once in an order.
-K, ORDERS, RUN = 10, 12, 256
+#: Length of a neighbour list, the most it is enlarged to, number of random-projection orders, rows that are compared at once in an order.
+K, LONGEST, ORDERS, RUN = 10, 40, 12, 256
 #: Most reverse neighbours in one local join; more make further joins.
 REVERSE = 24
-#: Rows of a block when lists are enlarged, and of the audit's sample.
-BLOCK, AUDIT = 512, 400
+#: Rows of a block when a component's links are counted, rows that are multiplied at once, and rows of the audit's sample.
+BLOCK, STRIP, AUDIT = 4096, 512, 400
 #: Rows of a block when all components are compared with each other.
 WIDE = 4096
 #: Members (on average) of a component in a thinned order, where a run passes many components.
@@ -81,17 +82,19 @@ def lists(ids: np.ndarray, near: list[np.ndarray], sims: list[np.ndarray]) -> pa
 LIST = "id long, near binary, sims binary"
 
 
-def best(near: np.ndarray, sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k most similar distinct neighbours, ties by the smaller id."""
+def best(near: np.ndarray, sims: np.ndarray, k: int, over: float = 2.0, most: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The k most similar distinct neighbours, or up to `most` if they are as similar as `over`; ties by the smaller id."""
     o = np.lexsort((near, -sims))
     near, sims = near[o], sims[o]
-    first = np.sort(np.unique(near, return_index=True)[1])[:k]
+    first = np.sort(np.unique(near, return_index=True)[1])
+    first = first[: max(k, min(most, int((sims[first] >= over).sum())))]
     return near[first], sims[first]
 
 
 def embedding_links(table: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", rounds: int = 5, seed: int = 7) -> DataFrame:
     """One row per vector: vec_id, n_links (other vectors of at least this cosine, in double precision), component_id (the
-    smallest vec_id reachable by links, itself included), kept (it is that id).
+    smallest vec_id reachable by links, itself included), kept (it is that id), n_listed (how many of the links the
+    neighbour lists held, before the exact check) and audit_recall (for all rows the same: the share of audited links whose ends the lists joined).
 
     Vectors that are null, empty, zero, hold null or non-finite components, or have another length than most, link with
     nothing. Equal vectors are one class throughout, so copies never make pairs. Rows with a null id give no row; rows
@@ -105,7 +108,7 @@ def embedding_links(table: DataFrame, threshold: float = 0.95, id_col: str = "ve
     rows = store.save(table.select("vec_id", F.when(sound, v).alias("v")).withColumn("c0", F.xxhash64("v")).withColumn("c1", F.xxhash64(F.lit(seed), "v")))
     usual = rows.where("v is not null").groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
     if usual is None:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"), F.lit(0).cast("long").alias("n_listed"), F.lit(1.0).alias("audit_recall"))
     dim = usual.d
     classes = rows.where(F.size("v") == dim).groupBy("c0", "c1").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v"))
 
@@ -134,7 +137,7 @@ def embedding_links(table: DataFrame, threshold: float = 0.95, id_col: str = "ve
                     some = mix(ids.astype(np.uint64) ^ mix(np.full(len(ids), t, np.uint64))) % size.astype(np.uint64) < THIN
                     yield row.set_column(0, "t", pa.array(np.full(b.num_rows, t + ORDERS, np.int32))).filter(pa.array(some))
 
-    def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def start(length: int):
         def each(t: pa.Table, begins: np.ndarray) -> pa.RecordBatch:
             ids, comp, x = t["id"].to_numpy(), t["comp"].to_numpy(), vectors(t["q"], np.float16).astype(np.float32)
             own, near, sims = [], [], []
@@ -144,7 +147,7 @@ def embedding_links(table: DataFrame, threshold: float = 0.95, id_col: str = "ve
                     c = max(a, d - RUN)  # the last run is filled up from the one before
                     s = x[c:d] @ x[c:d].T
                     s[comp[c:d, None] == comp[None, c:d]] = -2
-                    k = min(K, d - c - 1)
+                    k = min(length, d - c - 1)
                     if k < 1:
                         continue
                     top = np.argpartition(-s, k - 1, axis=1)[:, :k]
@@ -155,22 +158,24 @@ def embedding_links(table: DataFrame, threshold: float = 0.95, id_col: str = "ve
                         sims.append(s[i, use])
             return lists(np.array(own, np.int64), near, sims)
 
-        yield from grouped(batches, ["t"], each, 1)
+        def in_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:  # a batch is a stretch of one order, or of a few
+                yield from grouped(iter([b]), ["t"], each, 1)
 
-    def start_in_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:  # a batch is a stretch of one order, or of a few
-            yield from start(iter([b]))
+        return in_runs
+
+    near_enough = threshold - SLACK
+
+    def merged(found: DataFrame, length: int = K) -> DataFrame:
+        def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                near, sims = [], []
+                for x, y in zip(b.column("near").to_pylist(), b.column("sims").to_pylist()):
+                    p, q = best(np.frombuffer(b"".join(x), np.int64), np.frombuffer(b"".join(y), np.float32), K, near_enough, length)
+                    near.append(p)
+                    sims.append(q)
+                yield lists(b.column("id").to_numpy(), near, sims)
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            near, sims = [], []
-            for x, y in zip(b.column("near").to_pylist(), b.column("sims").to_pylist()):
-                p, q = best(np.frombuffer(b"".join(x), np.int64), np.frombuffer(b"".join(y), np.float32), K)
-                near.append(p)
-                sims.append(q)
-            yield lists(b.column("id").to_numpy(), near, sims)
-
-    def merged(found: DataFrame) -> DataFrame:
         return store.save(found.groupBy("id").agg(F.collect_list("near").alias("near"), F.collect_list("sims").alias("sims")).mapInArrow(merge, LIST))
 
     def arrows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +184,7 @@ def embedding_links(table: DataFrame, threshold: float = 0.95, id_col: str = "ve
             size = np.array([len(x) // 8 for x in near])
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column("id").to_numpy(), size)), pa.array(np.frombuffer(b"".join(near), np.int64)), pa.array(np.frombuffer(b"".join(sims), np.float32))], names=["a", "b", "sim"])
 
-    def join_locally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def join_locally(length: int):
         def each(t: pa.Table, begins: np.ndarray) -> pa.RecordBatch:
             ids, comp, x, least = t["m"].to_numpy(), t["comp"].to_numpy(), vectors(t["q"], np.float16).astype(np.float32), t["least"].to_numpy()
             own, near, sims = [], [], []
@@ -188,32 +193,33 @@ def embedding_links(table: DataFrame, threshold: float = 0.95, id_col: str = "ve
                 s[comp[a:b, None] == comp[None, a:b]] = -2
                 better = s > least[a:b, None]
                 for i in np.flatnonzero(better.any(1)):
-                    p, q = best(ids[a:b][better[i]], s[i][better[i]], K)
+                    p, q = best(ids[a:b][better[i]], s[i][better[i]], K, near_enough, length)
                     own.append(ids[a + i])
                     near.append(p)
                     sims.append(q)
             return lists(np.array(own, np.int64), near, sims)
 
-        yield from grouped(batches, ["g", "part"], each)
+        return lambda batches: grouped(batches, ["g", "part"], each)
 
     def pairs(graph: DataFrame) -> DataFrame:
         return graph.mapInArrow(arrows, "a long, b long, sim float")
 
-    def orders(of: DataFrame) -> DataFrame:
-        """Lists of the best in runs of the orders; of: (id, comp, size, q), where vectors of one comp are no neighbours."""
-        return of.mapInArrow(project, "t int, code long, id long, comp long, q binary").repartitionByRange(parts, "t", "code").sortWithinPartitions("t", "code", "id").mapInArrow(start_in_runs, LIST)
+    def orders(of: DataFrame, length: int = K) -> DataFrame:
+        """Lists of the best `length` in runs of the orders; of: (id, comp, size, q), where vectors of one comp are no neighbours."""
+        return of.mapInArrow(project, "t int, code long, id long, comp long, q binary").repartitionByRange(parts, "t", "code").sortWithinPartitions("t", "code", "id").mapInArrow(start(length), LIST)
 
-    def refine(forward: DataFrame, graph: DataFrame, of: DataFrame) -> DataFrame:
-        """graph, after vectors that share a neighbour in forward (a, b) have been compared."""
+    def refine(forward: DataFrame, graph: DataFrame, of: DataFrame, length: int = K) -> DataFrame:
+        """graph, after vectors that share a neighbour in forward (a, b) have been compared; lists that are full of near
+        enough neighbours may grow to `length`."""
         degree = forward.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / REVERSE).cast("int").alias("parts")).withColumnRenamed("b", "g")
         ahead = forward.select(F.col("a").alias("g"), F.col("b").alias("m")).join(degree.hint("merge"), "g", "left")
         ahead = ahead.select("g", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"), "m")
         back = forward.select(F.col("b").alias("g"), F.col("a").alias("m")).join(degree.hint("merge"), "g").select("g", F.pmod(F.xxhash64("m"), F.col("parts")).cast("int").alias("part"), "m")
-        least = pairs(graph).groupBy("a").agg(F.when(F.count(F.lit(1)) >= K, F.min("sim")).alias("least")).withColumnRenamed("a", "m")
+        least = pairs(graph).groupBy("a").agg(F.when(F.count(F.lit(1)) >= length, F.min("sim")).when(F.count(F.lit(1)) >= K, F.least(F.min("sim"), F.lit(near_enough).cast("float"))).alias("least")).withColumnRenamed("a", "m")
         members = ahead.unionByName(back).join(of.select(F.col("id").alias("m"), "comp", "q").hint("merge"), "m").join(least.hint("merge"), "m", "left")
         members = members.withColumn("least", F.coalesce("least", F.lit(-2.0).cast("float")))
-        found = members.repartition(parts, "g", "part").sortWithinPartitions("g", "part", "m").mapInArrow(join_locally, LIST)
-        return merged(found.unionByName(graph))
+        found = members.repartition(parts, "g", "part").sortWithinPartitions("g", "part", "m").mapInArrow(join_locally(length), LIST)
+        return merged(found.unionByName(graph), length)
 
     x, y = classes.select(F.col("id").alias("a"), F.col("x").alias("xa")), classes.select(F.col("id").alias("b"), F.col("x").alias("xb"))
 
@@ -224,7 +230,7 @@ def embedding_links(table: DataFrame, threshold: float = 0.95, id_col: str = "ve
                 yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok))
 
     def links(graph: DataFrame) -> DataFrame:
-        near = pairs(graph).where(F.col("sim") >= threshold - SLACK)
+        near = pairs(graph).where(F.col("sim") >= near_enough)
         near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         return store.save(near.join(x.hint("merge"), "a").join(y.hint("merge"), "b").mapInArrow(confirm, "a long, b long"))
 
@@ -260,8 +266,27 @@ def embedding_links(table: DataFrame, threshold: float = 0.95, id_col: str = "ve
             break
         known = now
 
-    # Saturated lists: neighbours outside the own component, until none is a link.
-    full = store.save(pairs(graph).groupBy("a").agg(F.count(F.lit(1)).alias("k"), F.min("sim").alias("s")).where((F.col("k") >= K) & (F.col("s") >= threshold - SLACK)).select(F.col("a").alias("id")))
+    def full_lists(length: int) -> DataFrame:
+        counts = pairs(graph).groupBy("a").agg(F.count(F.lit(1)).alias("k"), F.min("sim").alias("s"))
+        return store.save(counts.where((F.col("k") >= length) & (F.col("s") >= near_enough)).select(F.col("a").alias("id")))
+
+    def between(ids: DataFrame, graph: DataFrame) -> DataFrame:
+        ends = [ids.withColumnRenamed("id", c).hint("merge") for c in "ab"]
+        return store.save(pairs(graph).join(ends[0], "a", "left_semi").join(ends[1], "b", "left_semi").select("a", "b"))
+
+    # Saturated lists are made twice as long, and those that they meet.
+    full = more = full_lists(K)
+    length = K
+    while length < LONGEST and more.take(1):
+        length = min(2 * length, LONGEST)
+        graph = merged(graph.unionByName(orders(single.join(more.hint("merge"), "id", "left_semi"), length)), length)
+        graph = refine(between(more, graph), graph, single, length)
+        more = full_lists(length)
+    if length > K:
+        found = links(graph)
+        label = components(store, found)
+
+    # What was saturated: neighbours outside the own component, until none is a link.
     thinned = True
 
     def saturated() -> DataFrame:
@@ -274,8 +299,7 @@ def embedding_links(table: DataFrame, threshold: float = 0.95, id_col: str = "ve
 
     of = saturated()
     if of.select("comp").distinct().limit(2).count() > 1:
-        ends = [full.withColumnRenamed("id", c).hint("merge") for c in "ab"]
-        inner = store.save(pairs(graph).join(ends[0], "a", "left_semi").join(ends[1], "b", "left_semi").select("a", "b"))
+        inner = between(full, graph)
         outer = merged(orders(of))
         idle = 0
         while True:
@@ -293,6 +317,8 @@ def embedding_links(table: DataFrame, threshold: float = 0.95, id_col: str = "ve
             still = pairs(outer).join(of.select(F.col("id").alias("a"), F.col("comp").alias("ca")).hint("merge"), "a").join(of.select(F.col("id").alias("b"), F.col("comp").alias("cb")).hint("merge"), "b").where("ca <> cb")
             outer = merged(orders(of).unionByName(still.select("a", "b", "sim").mapInArrow(alone, LIST)))
 
+    listed = found.distinct()
+
     def compare(t: pa.Table) -> pa.Table:
         i, j, own, comp, v = t["i"][0].as_py(), t["j"][0].as_py(), t["own"].to_numpy(), t["comp"].to_numpy(), vectors(t["x"], np.float64)
         p, q = np.flatnonzero(own == i), np.flatnonzero(own == j)
@@ -305,6 +331,7 @@ def embedding_links(table: DataFrame, threshold: float = 0.95, id_col: str = "ve
         return pa.table({"a": met[:, 0], "b": met[:, 1]})
 
     hit = hits(label)
+    recall = hit / n_truth if n_truth else 1.0
     if hit < n_truth:
         logging.getLogger(__name__).warning("NN-descent joined %d of %d audited links; components are compared exhaustively", hit, n_truth)
         blocks = -(-n // WIDE)
@@ -330,16 +357,20 @@ def embedding_links(table: DataFrame, threshold: float = 0.95, id_col: str = "ve
         cut = np.flatnonzero(np.concatenate([[True], comp[1:] != comp[:-1], [True]]))
         i, j = t["i"][0].as_py(), t["j"][0].as_py()
         for a, b in zip(cut, cut[1:]):
-            link = x[a:b] @ x[a:b].T >= threshold
-            np.fill_diagonal(link, False)
-            if i != j:
-                link &= own[a:b, None] != own[None, a:b]  # pairs within a block are counted by the block with itself
-            out[a:b] = link @ w[a:b]
+            for c in range(a, b, STRIP):
+                d = min(c + STRIP, b)
+                link = x[c:d] @ x[a:b].T >= threshold
+                link[np.arange(d - c), np.arange(c - a, d - a)] = False
+                if i != j:
+                    link &= own[c:d, None] != own[None, a:b]  # pairs within a block are counted by the block with itself
+                out[c:d] = link @ w[a:b]
         return pa.table({"id": ids, "links": out})
 
     counts = few.unionByName(many).groupBy("g", "i", "j").applyInArrow(count, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
-    judged = classes.select("c0", "c1", "id", "copies").join(label.hint("merge"), "id", "left").join(counts.hint("merge"), "id", "left")
-    judged = judged.select("c0", "c1", F.coalesce("component", "id").alias("class"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
+    copies = classes.select(F.col("id").alias("b"), "copies")
+    listed = listed.unionByName(listed.select(F.col("b").alias("a"), F.col("a").alias("b"))).join(copies.hint("merge"), "b").groupBy(F.col("a").alias("id")).agg(F.sum("copies").alias("listed"))
+    judged = classes.select("c0", "c1", "id", "copies").join(label.hint("merge"), "id", "left").join(counts.hint("merge"), "id", "left").join(listed.hint("merge"), "id", "left")
+    judged = judged.select("c0", "c1", F.coalesce("component", "id").alias("class"), *((F.coalesce(c, F.lit(0)) + F.col("copies") - 1).alias(c) for c in ("links", "listed")))
     out = rows.select("vec_id", "c0", "c1").join(judged.hint("merge"), ["c0", "c1"], "left")
-    out = out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("class", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    out = out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("class", "vec_id").alias("component_id"), F.coalesce("listed", F.lit(0)).cast("long").alias("n_listed"))
+    return out.select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"), "n_listed", F.lit(recall).alias("audit_recall"))

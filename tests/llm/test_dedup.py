@@ -179,7 +179,8 @@ def test_embeddings(spark):
 
 def check_links(spark, x, threshold=0.95):
     table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
-    got = {g.vec_id: (g.n_links, g.component_id, g.kept) for g in embedding_links(table, threshold).collect()}
+    rows = embedding_links(table, threshold).collect()
+    got = {g.vec_id: (g.n_links, g.component_id, g.kept) for g in rows}
     u = x / np.linalg.norm(x, axis=1)[:, None]
     link = u @ u.T >= threshold
     label = np.arange(len(x))
@@ -189,7 +190,7 @@ def check_links(spark, x, threshold=0.95):
             break
         label = new
     assert got == {k: (int(link[k].sum()) - 1, int(label[k]), bool(label[k] == k)) for k in range(len(x))}
-    return label
+    return label, sum(g.n_listed for g in rows) / max(1, sum(g.n_links for g in rows)), rows[0].audit_recall
 
 
 def test_adjacent_dense_groups(spark):
@@ -200,8 +201,31 @@ def test_adjacent_dense_groups(spark):
         a, b = np.linalg.qr(r.normal(size=(32, 2)))[0].T
         for centre in (a, 0.965 * a + np.sqrt(1 - 0.965**2) * b):
             x.append(centre + 0.01 * r.normal(size=(size, 32)))
-    label = check_links(spark, np.concatenate(x))
-    assert len(set(label[200:])) == 4
+    label, _, recall = check_links(spark, np.concatenate(x))
+    assert len(set(label[200:])) == 4 and recall > 0.95
+
+
+def test_two_groups_whose_every_pair_is_linked(spark):
+    """Thirty and thirty at 0.96 to each other: lists of ten fill with a vector's own group, longer ones hold all 59 links."""
+    r = np.random.default_rng(5)
+    a, b = np.linalg.qr(r.normal(size=(64, 2)))[0].T
+    x = np.concatenate([c + 0.001 * r.normal(size=(30, 64)) for c in (a, 0.962 * a + np.sqrt(1 - 0.962**2) * b)])
+    label, listed, recall = check_links(spark, x)
+    assert set(label) == {0} and recall == 1 and listed > 0.6
+
+
+def test_many_groups_of_many_sizes(spark):
+    """Chains of groups, and lists that hold nearly all links of groups that fit them."""
+    r = np.random.default_rng(6)
+    x, centre = [r.normal(size=(1500, 24))], r.normal(size=24)
+    for k in range(250):
+        if k % 5 == 0:
+            centre = r.normal(size=24)
+        else:
+            centre = centre / np.linalg.norm(centre) + 0.055 * r.normal(size=24)
+        x.append(centre / np.linalg.norm(centre) + 0.02 * r.normal(size=(1 + k % 20, 24)))
+    label, listed, recall = check_links(spark, np.concatenate(x))
+    assert recall > 0.99 and listed > 0.9
 
 
 def test_links_that_descent_misses_are_found_exhaustively(spark, monkeypatch):
@@ -213,7 +237,7 @@ def test_links_that_descent_misses_are_found_exhaustively(spark, monkeypatch):
     r = np.random.default_rng(4)
     x = r.normal(size=(300, 16))
     x[200:] = x[:100] + 0.05 * r.normal(size=(100, 16))
-    assert len(set(check_links(spark, x))) < 250
+    assert len(set(check_links(spark, x)[0])) < 250
 
 
 def test_empty_tables(spark):
