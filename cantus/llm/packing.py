@@ -11,7 +11,6 @@ import json
 import zlib
 from collections.abc import Callable, Iterator
 from heapq import heapify, heappop, heappush
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,21 +27,21 @@ SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{
 #: Characters whose class is the same in every version of Unicode that regex and tokenizers may have.
 SETTLED = regex.compile("[\x00-\u0557\u2000-\u206f\u3040-\u30ff\u4e00-\u9fa5\uac00-\ud7a3]*")
 #: Split-off parts whose ids a process remembers.
-REMEMBERED = 200_000
-_ENCODERS: dict[str, Callable[[str], list[int]]] = {}
+REMEMBERED = 400_000
+_ENCODERS: dict[str, Callable[[str], np.ndarray]] = {}
 
 
-def encoder(path: str) -> Callable[[str], list[int]]:
+def encoder(path: str) -> Callable[[str], np.ndarray]:
     """A function that gives the ids of tokenizers' encode(text, add_special_tokens=False).
 
-    For byte-level files every part that the library would split off is encoded once, by the library's own model, and
+    For byte-level files every part that the library would split off is encoded by the library's own model and
     remembered; texts with special tokens or unusual characters, and other files, go through encode itself.
     """
     if path not in _ENCODERS:
         from tokenizers import Tokenizer
 
         whole = Tokenizer.from_file(path)
-        direct = lambda text: whole.encode(text, add_special_tokens=False).ids
+        direct = lambda text: np.array(whole.encode(text, add_special_tokens=False).ids, "<u4")
         with open(path) as f:
             spec = json.load(f)
         pre, model = spec["pre_tokenizer"] or {}, spec["model"]
@@ -53,18 +52,19 @@ def encoder(path: str) -> Callable[[str], list[int]]:
         letters = {b: b for b in shown} | {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - shown))}
 
         class Parts(dict):
-            def __missing__(self, part: str) -> list[int]:
+            def __missing__(self, part: str) -> bytes:
                 if len(self) >= REMEMBERED:
                     self.clear()
-                ids = self[part] = [t.id for t in whole.model.tokenize(part.encode().decode("latin-1").translate(letters))]
+                found = whole.model.tokenize(part.encode().decode("latin-1").translate(letters))
+                ids = self[part] = np.array([t.id for t in found], "<u4").tobytes()
                 return ids
 
         known = Parts()
 
-        def encode(text: str) -> list[int]:
+        def encode(text: str) -> np.ndarray:
             if not plain or any(s in text for s in special) or not (text.isascii() or SETTLED.fullmatch(text)):
                 return direct(text)
-            return list(chain.from_iterable(map(known.__getitem__, SPLIT.findall(text))))
+            return np.frombuffer(b"".join(map(known.__getitem__, SPLIT.findall(text))), "<u4")
 
         _ENCODERS[path] = encode
     return _ENCODERS[path]
@@ -82,7 +82,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, id_col: str = "doc_id
             ids = batch.column("doc_id").to_pylist()
             for k, text in enumerate(batch.column("text")):
                 tokens = encode(text.as_py() or "")
-                tokens = np.array([*tokens, end], "<u4")
+                tokens = np.append(tokens, np.uint32(end))
                 first = (len(tokens) - 1) % capacity + 1
                 edges = [0, *range(first, len(tokens) + 1, capacity)]
                 out += [(ids[k], n, a, b - a, zlib.crc32(tokens[a:b].tobytes())) for n, (a, b) in enumerate(zip(edges, edges[1:]))]
