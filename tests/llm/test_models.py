@@ -57,6 +57,85 @@ def test_probabilities_of_different_texts_stay_under_one(spark):
     assert all(got[k] > 0 for k in held) and sum(got[k] for k in held) < 1
 
 
+def test_scores_do_not_depend_on_partitions(spark):
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(sentences(4, 120))], "doc_id long, text string")
+    scores = []
+    for parts in ("4", "16"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            scores.append({r.doc_id: r.score for r in pitman_yor.score(df).collect()})
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert scores[0] == scores[1]
+
+
+def test_scores_agree_with_a_plain_gibbs_sampler(spark):
+    """One customer after the other leaves and sits down again, in one restaurant tree without partitions."""
+    texts = sentences(7, 60)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in pitman_yor.score(df, sweeps=10, burn_in=3).collect()}
+    r = random.Random(1)
+    train = [t.split() for k, t in enumerate(texts) if zlib.crc32(str(k).encode()) % 10]
+    pairs = [(u, w) for t in train for u, w in zip(["<", *t], [*t, ">"])]
+    vocabulary = {w for _, w in pairs}
+    counts = Counter(pairs)
+    ones, twos = (sum(c == k for c in counts.values()) for k in (1, 2))
+    d1 = min(max(ones / (ones + 2 * twos), 0.05), 0.95)
+    kinds = Counter(w for _, w in counts)
+    ones, twos = (sum(c == k for c in kinds.values()) for k in (1, 2))
+    d0 = min(max(ones / max(ones + 2 * twos, 1), 0.05), 0.95)
+
+    class Restaurant:
+        def __init__(self, d, up):
+            self.d, self.up, self.tables = d, up, {}  # dish to sizes of its tables
+
+        def probability(self, w, u=None):
+            sizes, n = self.tables.get(w, []), sum(map(sum, self.tables.values()))
+            new = 1 + self.d * sum(map(len, self.tables.values()))
+            return (sum(sizes) - self.d * len(sizes) + new * self.up(w)) / (1 + n)
+
+    base = 1 / (len(vocabulary) + 1)
+    parent = Restaurant(d0, lambda w: base)
+    tree: dict[str, Restaurant] = {}
+
+    def sit(at, w):
+        sizes = at.tables.setdefault(w, [])
+        new = (1 + at.d * sum(map(len, at.tables.values()))) * at.up(w)
+        k = r.choices(range(len(sizes) + 1), [n - at.d for n in sizes] + [new])[0]
+        if k == len(sizes):
+            sizes.append(1)
+            return True
+        sizes[k] += 1
+        return False
+
+    def leave(at, w):
+        sizes = at.tables[w]
+        k = r.choices(range(len(sizes)), sizes)[0]
+        sizes[k] -= 1
+        if not sizes[k]:
+            sizes.pop(k)
+            return True
+        return False
+
+    total = {k: {} for k in range(len(texts))}
+    rounds = 0
+    for sweep in range(25):
+        for u, w in pairs:
+            at = tree.setdefault(u, Restaurant(d1, parent.probability))
+            if sweep and leave(at, w):
+                leave(parent, w)
+            if sit(at, w):
+                sit(parent, w)
+        if sweep >= 10:
+            rounds += 1
+            for k, t in enumerate(texts):
+                for n, (u, w) in enumerate(zip(["<", *t.split()], [*t.split(), ">"])):
+                    total[k][n] = total[k].get(n, 0) + tree.setdefault(u, Restaurant(d1, parent.probability)).probability(w)
+    want = {k: sum(math.log10(p / rounds) for p in v.values()) for k, v in total.items()}
+    assert sum(got.values()) == pytest.approx(sum(want.values()), rel=0.02)
+    assert all(got[k] == pytest.approx(want[k], rel=0.06, abs=0.3) for k in want)
+
+
 def test_a_context_shares_out_all_probability():
     """Over every known word and one unknown one, the predictive probabilities of a context add up to one."""
     r = np.random.default_rng(0)
@@ -66,33 +145,37 @@ def test_a_context_shares_out_all_probability():
     c[0, 0] = 40
     c[:, 1] = 0
     c[c.sum(1) == 0, 0] = 1
-    row = {"r": 0, "w": pitman_yor.pack(np.arange(1, words + 1)), "contexts": pitman_yor.pack(np.full(words, slots)), "slots": pitman_yor.pack(pitman_yor.steps(np.tile(np.arange(slots), words), np.tile(np.arange(slots) == 0, words))), "counts": pitman_yor.pack(c.ravel())}
+    row = {"w": np.arange(1, words + 1, dtype=np.uint64).tobytes(), "ctx": np.arange(slots, dtype=np.uint32).tobytes(), "contexts": pitman_yor.pack(np.full(words, slots)), "slots": pitman_yor.pack(pitman_yor.steps(np.tile(np.arange(slots), words), np.tile(np.arange(slots) == 0, words))), "counts": pitman_yor.pack(c.ravel())}
     p = pitman_yor.Partition(row, state)
     assert (p.slot == np.tile(np.arange(slots), words)).all() and (p.c == c.ravel()).all()
     state.words, state.total, state.d1, state.d0 = words, c.sum(), 0.4, 0.6
-    state.customers = np.bincount(p.slot, p.c, pitman_yor.SLOTS)
+    customers = np.bincount(p.slot, p.c, slots)
+    t, parent = p.first()
     for s in range(3):
-        for t, k, parent in p.sweeps(s):
-            pass
-        state.tables.append(np.bincount(p.slot, t, pitman_yor.SLOTS))
+        if s:
+            t, parent = p.sweep(s, t, parent, tables)
+        tables, k = np.bincount(p.slot, t, slots), np.bincount(p.word, t, words)
+        state.heavy_tables.append(np.zeros(0))
+        state.heavy_parent.append(np.zeros(0))
         state.parent_customers.append(k.sum())
         state.parent_tables.append(parent.sum())
-        up = p.parent(k, parent, s)
+        assert (t <= p.c).all() and (t[p.c > 0] > 0).all() and (parent <= k).all() and (parent[k > 0] > 0).all()
+        up = p.parent(t, parent, s)
         unknown = (pitman_yor.STRENGTH + state.d0 * parent.sum()) / (words + 1) / (pitman_yor.STRENGTH + k.sum())
         assert up.sum() + unknown == pytest.approx(1)
+        each = p.probability(s, t, parent, tables, customers)
         for u in range(slots):
-            own = p.slot == u
-            back = pitman_yor.STRENGTH + state.d1 * state.tables[s][u]
-            each = (np.where(p.c[own] > 0, p.c[own] - state.d1 * t[own], 0) + back * up[p.word[own]]) / (pitman_yor.STRENGTH + state.customers[u])
-            assert each.sum() + back * unknown / (pitman_yor.STRENGTH + state.customers[u]) == pytest.approx(1)
+            back = pitman_yor.STRENGTH + state.d1 * tables[u]
+            assert each[p.slot == u].sum() + back * unknown / (pitman_yor.STRENGTH + customers[u]) == pytest.approx(1)
 
 
 def test_seating():
-    r = np.random.default_rng(0)
-    t = pitman_yor.seat(np.full(20_000, 50), np.full(20_000, 2.0), 0.0, r)
-    want = sum(2.0 / (2.0 + k) for k in range(1, 50)) + 1
-    assert abs(t.mean() - want) < 0.1 * want
-    assert (pitman_yor.seat(np.array([0, 1, 5]), np.full(3, 1e-12), 0.5, r) == [0, 1, 1]).all()
+    key = K.mix(np.arange(20_000, dtype=np.uint64))
+    for n in (50, 500):
+        t = pitman_yor.seat(np.full(20_000, n), np.zeros(20_000), np.full(20_000, 2.0), 0.0, key)
+        want = sum(2.0 / (2.0 + k) for k in range(1, n)) + 1
+        assert abs(t.mean() - want) < 0.03 * want
+    assert (pitman_yor.seat(np.array([0, 1, 5]), np.zeros(3), np.full(3, 1e-12), 0.5, key[:3]) == [0, 1, 1]).all()
 
 
 def test_packing_of_numbers():
