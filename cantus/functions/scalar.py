@@ -111,3 +111,66 @@ def unit(a: Column, least: float = 1e-9) -> Column:
     """A vector over its length; a vector shorter than `least` becomes zeros."""
     norm = F.sqrt(dot(a, a))
     return F.when(norm < least, F.transform(a, lambda x: F.lit(0.0))).otherwise(F.transform(a, lambda x: x.cast("double") / norm))
+
+
+#: Lower edges of velocity bins (fixed values).
+VELOCITIES = (0, 32, 48, 64, 80, 96, 128)
+#: Semitones of the note letters, and chord qualities in the order of their numbers (fixed values).
+LETTERS = {"C": 0, "D": 2, "E": 4, "F": 5, "G": 7, "A": 9, "B": 11}
+QUALITIES = ("M", "m", "d", "a", "M7", "m7", "D7", "d7", "h7", "a6")
+
+
+def velocity_bin(velocity: Column, edges: Sequence[int] = VELOCITIES) -> Column:
+    """Index of the last edge that is not over the velocity."""
+    return (sum((F.when(velocity >= e, 1).otherwise(0) for e in edges), F.lit(0)) - 1).cast("int")
+
+
+def tonic_number(key: Column) -> Column:
+    """A key such as C, f+ or b- as a number: semitones over C, and 12 more for minor (small letters), null if it isn't a key.
+
+    As in the published tables only minor keys with flats, e+ and b+ come out as minor; other small letters count as major.
+    """
+    letter, sign = F.upper(F.substring(key, 1, 1)), F.substring(key, 2, 2)
+    step = F.element_at(F.create_map(*(F.lit(x) for pair in LETTERS.items() for x in pair)), letter)
+    alter = F.when(sign == "", 0).when(sign == "+", 1).when(sign == "-", -1)
+    minor = key.rlike("^[a-g]") & ((sign == "-") | (sign == "+") & letter.isin("E", "B"))
+    return F.when(key.rlike("^[A-Ga-g][+-]?$"), F.pmod(step + alter, F.lit(12)) + F.when(minor, 12).otherwise(0)).cast("int")
+
+
+def quality_number(quality: Column) -> Column:
+    """A chord quality's number, null if it isn't one."""
+    return F.nullif(F.array_position(F.array(*map(F.lit, QUALITIES)), quality), F.lit(0)).cast("int") - 1
+
+
+def boundary(kind: Column) -> tuple[Column, Column]:
+    """(label, flag) of a note's motif: without one the label z and 0."""
+    return F.when(kind == "", "z").otherwise(kind), F.when(kind == "", 0).otherwise(1)
+
+
+def logged_metrics(text: Column) -> Column:
+    """A struct of precision, recall and f1 of the three metrics that a run's log gives; null where it gives none."""
+
+    def of(name: str) -> Column:
+        pattern = f"Mean_{name} P ([0-9.]+), R ([0-9.]+), F ([0-9.]+)"
+        found = [F.nullif(F.regexp_extract(text, pattern, k), F.lit("")).cast("double") for k in (1, 2, 3)]
+        return F.struct(*(v.alias(n) for v, n in zip(found, ("precision", "recall", "f1"))))
+
+    return F.struct(of("est").alias("establishment"), of("occ").alias("occurrence"), of("thr").alias("three_layer"))
+
+
+#: Points of the midpoint rule.
+GRID = 4000
+
+
+def t_tail(t: Column, freedom: Column, grid: int = GRID) -> Column:
+    """P(T > t) of Student's distribution. The density up to its constant is summed by the midpoint rule over u = s / (1 + s)."""
+
+    def area(upto: Column) -> Column:
+        def height(k: Column) -> Column:
+            u = (k + 0.5) / grid * upto
+            return F.pow(1 + F.pow(u / (1 - u), 2) / freedom, -(freedom + 1) / 2) / F.pow(1 - u, 2)
+
+        return upto * F.aggregate(F.sequence(F.lit(0), F.lit(grid - 1)), F.lit(0.0), lambda s, k: s + height(k))
+
+    half = area(F.abs(t) / (1 + F.abs(t))) / area(F.lit(1.0)) / 2
+    return F.when(t >= 0, 0.5 - half).otherwise(0.5 + half)

@@ -102,3 +102,31 @@ def best_piece(scores: DataFrame, value: str = "f1") -> DataFrame:
     return scores.orderBy(F.desc(value), "piece_id").limit(1)
 
 
+
+
+def top_duplicates(motifs: DataFrame, k: int = 10) -> DataFrame:
+    """The k pairs of motifs with most overlap of all pieces, in notes, then in time: (place, piece_id, ma, mb, jaccard, iou)."""
+    top = best_overlap(motifs).orderBy(F.desc("jaccard"), F.desc("iou"), "piece_id", "ma", "mb").limit(k)
+    return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("jaccard"), F.desc("iou"), "piece_id", "ma", "mb")))
+
+
+def top_sparse(motifs: DataFrame, k: int = 10, sparse: float = 4.0) -> DataFrame:
+    """The k occurrences with most steps per note, of those with over `sparse`: (place, piece_id, motif, occ, ratio)."""
+    s = occurrence_spans(motifs).withColumn("ratio", F.col("span") / F.col("n_notes")).where(F.col("ratio") > sparse)
+    order = (F.desc("ratio"), "piece_id", "motif", "occ")
+    return s.orderBy(*order).limit(k).withColumn("place", F.row_number().over(Window.orderBy(*order))).select("place", "piece_id", "motif", "occ", "ratio")
+
+
+def pick_case(cases: DataFrame, index: int = 0, piece: object = None) -> DataFrame:
+    """The case at a place (from 0) of a list of top cases, or of those of one piece; no row if there are fewer."""
+    own = cases if piece is None else cases.where(F.col("piece_id") == piece)
+    return own.withColumn("_k", F.row_number().over(Window.orderBy("place"))).where(F.col("_k") == index + 1).drop("_k")
+
+
+def span_filled(spans: DataFrame, notes: DataFrame, width: int = 64) -> DataFrame:
+    """Occurrences (piece_id, motif, occ, start, end) with all notes from start to end: (piece_id, motif, occ, onset, pitch).
+    Both sides meet in stretches of `width`, so that no note is compared with every span."""
+    at = lambda c: F.floor(F.col(c) / width).cast("long")
+    s = spans.withColumn("stretch", F.explode(F.sequence(at("start"), at("end"))))
+    n = notes.select("piece_id", "onset", "pitch", at("onset").alias("stretch"))
+    return s.join(n, ["piece_id", "stretch"]).where("onset between start and end").select("piece_id", "motif", "occ", "onset", "pitch")

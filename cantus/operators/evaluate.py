@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalar import t_tail
+
 OCC = ["piece_id", "pattern", "occ"]
 
 
@@ -114,3 +116,40 @@ def welch(rows: DataFrame, group: Column, value: Column) -> DataFrame:
     s = rows.agg(*(f(F.when(group if k else ~group, value)).alias(f"{n}{k}") for k in (1, 0) for n, f in (("m", F.avg), ("v", F.var_samp), ("n", F.count))))
     a, b = F.col("v1") / F.col("n1"), F.col("v0") / F.col("n0")
     return s.select(((F.col("m1") - F.col("m0")) / F.sqrt(a + b)).alias("t"), ((a + b) ** 2 / (a * a / (F.col("n1") - 1) + b * b / (F.col("n0") - 1))).alias("freedom"))
+
+
+def welch_test(rows: DataFrame, group: Column, value: Column) -> DataFrame:
+    """welch with p_greater, the chance of such a statistic or a larger one if the groups don't differ."""
+    return welch(rows, group, value).withColumn("p_greater", t_tail(F.col("t"), F.col("freedom")))
+
+
+def mean_interval(rows: DataFrame, value: Column, level: float = 0.95) -> DataFrame:
+    """(mean, low, high): a mean with its interval by Student's distribution, whose quantile is found by halving."""
+    s = rows.agg(F.avg(value).alias("mean"), (F.stddev_samp(value) / F.sqrt(F.count(value))).alias("se"), (F.count(value) - 1).cast("double").alias("freedom"))
+    tail = (1 - level) / 2
+    halves = F.struct(F.lit(0.0).alias("low"), F.lit(1.0).alias("high"))
+
+    def halve(b: Column, _: Column) -> Column:
+        mid = (b["low"] + b["high"]) / 2
+        over = t_tail(mid / (1 - mid), F.col("freedom"), 1000) > tail
+        return F.struct(F.when(over, mid).otherwise(b["low"]).alias("low"), F.when(over, b["high"]).otherwise(mid).alias("high"))
+
+    u = F.aggregate(F.sequence(F.lit(1), F.lit(40)), halves, halve)["low"]
+    half = F.col("se") * u / (1 - u)
+    return s.select("mean", (F.col("mean") - half).alias("low"), (F.col("mean") + half).alias("high"))
+
+
+def same_and_different(vectors: DataFrame) -> DataFrame:
+    """(group, id, label, u: unit vector) to the number and mean cosine of pairs of a group with the same label and with
+    different ones. Sums of vectors give both, without any pair: (|sum|^2 - sum of |u|^2) / 2 is the sum over pairs."""
+
+    def within(*by: str) -> DataFrame:
+        parts = vectors.select(*by, F.posexplode("u").alias("k", "x")).groupBy(*by, "k").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"))
+        sums = parts.groupBy(*by).agg(F.sum(F.col("s") * F.col("s")).alias("s"), F.sum("q").alias("q"))
+        n = vectors.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+        return sums.join(n, list(by)).select(*by, ((F.col("s") - F.col("q")) / 2).alias("total"), (F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("pairs"))
+
+    same = within("group", "label").groupBy("group").agg(F.sum("total").alias("same_total"), F.sum("pairs").alias("same_pairs"))
+    out = within("group").join(same, "group").withColumn("different_pairs", F.col("pairs") - F.col("same_pairs"))
+    mean = lambda t, n: F.when(n > 0, t / n)
+    return out.select("group", "same_pairs", "different_pairs", mean(F.col("same_total"), F.col("same_pairs")).alias("same_mean"), mean(F.col("total") - F.col("same_total"), F.col("different_pairs")).alias("different_mean"))

@@ -2,7 +2,8 @@
 
 A point set is (piece_id, onset, pitch). A maximal translatable pattern (MTP) holds the points that a difference vector
 maps into the set; a translational equivalence class (TEC) is a pattern's shape with all vectors that translate it into the
-set. All joins and groups are keyed by the piece and more, so a long piece spreads over tasks.
+set. Joins by the piece alone are dealt into blocks of points; all others and all groups are keyed by more than the piece, so a
+long piece spreads over tasks.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import written
+
 
 def point() -> Column:
     return F.struct("onset", "pitch")
@@ -20,10 +23,37 @@ def after(p: str, q: str) -> Column:
     return (F.col(f"{p}.onset") < F.col(f"{q}.onset")) | (F.col(f"{p}.onset") == F.col(f"{q}.onset")) & (F.col(f"{p}.pitch") < F.col(f"{q}.pitch"))
 
 
+#: Points of a piece that a task pairs with as many others.
+BLOCK = 512
+
+
+def in_blocks(points: DataFrame, sizes: DataFrame, side: int) -> DataFrame:
+    """points with i, j: the pairs of blocks that each point takes part in, as a member of block i (side 0) or j (side 1).
+    A piece has sizes.blocks blocks, so that the pairs of a long piece spread over blocks times blocks tasks."""
+    own = F.pmod(F.xxhash64("onset", "pitch"), F.col("blocks")).cast("int")
+    out = points.join(sizes, "piece_id").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    i, j = ("own", "other") if side == 0 else ("other", "own")
+    return out.withColumn("i", F.col(i)).withColumn("j", F.col(j)).drop("own", "other", "blocks")
+
+
+def block_counts(points: DataFrame) -> DataFrame:
+    return points.groupBy("piece_id").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+
+
+def paired(notes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """notes as both sides of a self-join by piece, dealt into blocks."""
+    sizes = block_counts(notes)
+    return in_blocks(notes, sizes, 0).alias("a"), in_blocks(notes, sizes, 1).alias("b")
+
+
+def same_block() -> Column:
+    return (F.col("a.piece_id") == F.col("b.piece_id")) & (F.col("a.i") == F.col("b.i")) & (F.col("a.j") == F.col("b.j"))
+
+
 def differences(notes: DataFrame) -> DataFrame:
     """(piece_id, d_onset, d_pitch, onset, pitch): every ordered pair of points, by its vector and its earlier point."""
-    a, b = notes.alias("a"), notes.alias("b")
-    return a.join(b, (F.col("a.piece_id") == F.col("b.piece_id")) & after("a", "b")).select(
+    a, b = paired(notes)
+    return a.join(b, same_block() & after("a", "b")).select(
         "a.piece_id", (F.col("b.onset") - F.col("a.onset")).alias("d_onset"), (F.col("b.pitch") - F.col("a.pitch")).alias("d_pitch"), "a.onset", "a.pitch"
     )
 
@@ -35,8 +65,8 @@ def mtps(notes: DataFrame) -> DataFrame:
 
 def all_mtps(notes: DataFrame) -> DataFrame:
     """As mtps, over all vectors between points: the zero vector and the negative ones too."""
-    a, b = notes.alias("a"), notes.alias("b")
-    pairs = a.join(b, "piece_id").select("piece_id", (F.col("b.onset") - F.col("a.onset")).alias("d_onset"), (F.col("b.pitch") - F.col("a.pitch")).alias("d_pitch"), "a.onset", "a.pitch")
+    a, b = paired(notes)
+    pairs = a.join(b, same_block()).select("a.piece_id", (F.col("b.onset") - F.col("a.onset")).alias("d_onset"), (F.col("b.pitch") - F.col("a.pitch")).alias("d_pitch"), "a.onset", "a.pitch")
     return pairs.groupBy("piece_id", "d_onset", "d_pitch").agg(F.sort_array(F.collect_list(point())).alias("pattern")).withColumn("size", F.size("pattern"))
 
 
@@ -60,7 +90,11 @@ def restricted_vectors(notes: DataFrame, r: int) -> DataFrame:
 
 def translatable(notes: DataFrame, vectors: DataFrame) -> DataFrame:
     """(piece_id, d_onset, d_pitch, onset, pitch): points that each given vector maps into the set (a semi-join)."""
-    a = notes.join(vectors.select("piece_id", "d_onset", "d_pitch"), "piece_id")
+    sizes = block_counts(notes)
+    points = in_blocks(notes, sizes, 0)
+    own = F.pmod(F.xxhash64("d_onset", "d_pitch"), F.col("blocks")).cast("int")
+    dealt = vectors.select("piece_id", "d_onset", "d_pitch").join(sizes, "piece_id").withColumn("j", own).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    a = points.join(dealt.select("piece_id", "i", "j", "d_onset", "d_pitch"), ["piece_id", "i", "j"])
     to = notes.select("piece_id", F.col("onset").alias("to_onset"), F.col("pitch").alias("to_pitch"))
     a = a.withColumn("to_onset", F.col("onset") + F.col("d_onset")).withColumn("to_pitch", F.col("pitch") + F.col("d_pitch"))
     return a.join(to, ["piece_id", "to_onset", "to_pitch"], "left_semi").select("piece_id", "d_onset", "d_pitch", "onset", "pitch")
@@ -95,7 +129,10 @@ def translators(tecs: DataFrame, notes: DataFrame, pairs: DataFrame | None = Non
     key = ["piece_id", "d_onset", "d_pitch"]
     pairs = differences(notes) if pairs is None else pairs
     one = tecs.where("size = 1").select(*key, F.col("pattern")[0].alias("p"))
-    one = one.join(notes, "piece_id").select(*key, (F.col("onset") - F.col("p.onset")).alias("t_onset"), (F.col("pitch") - F.col("p.pitch")).alias("t_pitch"))
+    sizes = block_counts(notes)
+    own = F.pmod(F.xxhash64("d_onset", "d_pitch"), F.col("blocks")).cast("int")
+    one = one.join(sizes, "piece_id").withColumn("j", own).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    one = one.join(in_blocks(notes, sizes, 0), ["piece_id", "i", "j"]).select(*key, (F.col("onset") - F.col("p.onset")).alias("t_onset"), (F.col("pitch") - F.col("p.pitch")).alias("t_pitch"))
     p0, p1 = F.element_at("pattern", 1), F.get(F.col("pattern"), F.lit(1))
     more = tecs.where("size > 1").select(*key, "pattern", "size", (p1["onset"] - p0["onset"]).alias("s_onset"), (p1["pitch"] - p0["pitch"]).alias("s_pitch"))
     step = pairs.select("piece_id", F.col("d_onset").alias("s_onset"), F.col("d_pitch").alias("s_pitch"), "onset", "pitch")
@@ -109,9 +146,9 @@ def translators(tecs: DataFrame, notes: DataFrame, pairs: DataFrame | None = Non
 
 def siatec(notes: DataFrame) -> DataFrame:
     """TECs: (piece_id, d_onset, d_pitch, pattern, size, translators, n_translators), one for each shape of an MTP."""
-    pairs = differences(notes)
+    pairs = written(differences(notes))
     found = pairs.groupBy("piece_id", "d_onset", "d_pitch").agg(F.sort_array(F.collect_list(point())).alias("pattern")).withColumn("size", F.size("pattern"))
-    return with_translators(patterns(found), notes, pairs)
+    return with_translators(written(patterns(found)), notes, pairs)
 
 
 def with_translators(tecs: DataFrame, notes: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
@@ -127,6 +164,18 @@ def covered(tecs: DataFrame) -> DataFrame:
     return p.select("piece_id", "d_onset", "d_pitch", (F.col("p.onset") + F.col("t.onset")).alias("onset"), (F.col("p.pitch") + F.col("t.pitch")).alias("pitch")).distinct()
 
 
+def counts_below(notes: DataFrame) -> DataFrame:
+    """For every onset and every pitch of a piece the number of its points up to both: le_le, and lt_le, le_lt, lt_lt where
+    points at the onset, the pitch or both don't count. Running sums along one axis, then along the other."""
+    onsets, pitches = (notes.select("piece_id", c).distinct() for c in ("onset", "pitch"))
+    grid = onsets.join(pitches, "piece_id").join(notes.withColumn("n", F.lit(1)), ["piece_id", "onset", "pitch"], "left")
+    row = Window.partitionBy("piece_id", "pitch").orderBy("onset").rowsBetween(Window.unboundedPreceding, 0)
+    grid = grid.select("piece_id", "onset", "pitch", F.coalesce("n", F.lit(0)).alias("n"), F.sum(F.coalesce("n", F.lit(0))).over(row).alias("up_to"))
+    column = Window.partitionBy("piece_id", "onset").orderBy("pitch").rowsBetween(Window.unboundedPreceding, 0)
+    le, lt = F.sum("up_to").over(column), F.sum(F.col("up_to") - F.col("n")).over(column)
+    return grid.select("piece_id", "onset", "pitch", le.alias("le_le"), lt.alias("lt_le"), (le - F.col("up_to")).alias("le_lt"), (lt - F.col("up_to") + F.col("n")).alias("lt_lt"))
+
+
 def measured(tecs: DataFrame, notes: DataFrame) -> DataFrame:
     """tecs with coverage, compression ratio cr, bounding-box compactness, width, volume.
 
@@ -134,10 +183,14 @@ def measured(tecs: DataFrame, notes: DataFrame) -> DataFrame:
     holds; width the range of onsets, volume the product of both ranges.
     """
     key = ["piece_id", "d_onset", "d_pitch"]
+    tecs = written(tecs)
     cover = covered(tecs).groupBy(*key).agg(F.count(F.lit(1)).alias("coverage"))
     onsets, pitches = F.transform("pattern", lambda p: p["onset"]), F.transform("pattern", lambda p: p["pitch"])
     box = tecs.select("*", F.array_min(onsets).alias("o0"), F.array_max(onsets).alias("o1"), F.array_min(pitches).alias("p0"), F.array_max(pitches).alias("p1"))
-    inside = box.select(*key, "o0", "o1", "p0", "p1").join(notes, "piece_id").where("onset between o0 and o1 and pitch between p0 and p1").groupBy(*key).agg(F.count(F.lit(1)).alias("in_box"))
+    corners = F.array(*(F.struct(F.col(o).alias("onset"), F.col(p).alias("pitch"), F.lit(k).alias("k")) for k, (o, p) in enumerate((("o1", "p1"), ("o0", "p1"), ("o1", "p0"), ("o0", "p0")))))
+    at = box.select(*key, F.explode(corners).alias("c")).select(*key, "c.*").join(counts_below(notes), ["piece_id", "onset", "pitch"])
+    n = F.when(F.col("k") == 0, F.col("le_le")).when(F.col("k") == 1, -F.col("lt_le")).when(F.col("k") == 2, -F.col("le_lt")).otherwise(F.col("lt_lt"))
+    inside = at.groupBy(*key).agg(F.sum(n).alias("in_box"))
     out = box.join(cover, key).join(inside, key)
     cr = F.col("coverage") / (F.col("size") + F.col("n_translators") - 1)
     return out.select(*tecs.columns, "coverage", cr.alias("cr"), (F.col("size") / F.col("in_box")).alias("compactness"), (F.col("o1") - F.col("o0")).alias("width"), ((F.col("o1") - F.col("o0")) * (F.col("p1") - F.col("p0"))).alias("volume"))
@@ -159,11 +212,11 @@ def siatech_pf(notes: DataFrame, least_cr: float) -> DataFrame:
 def siatechf(notes: DataFrame, least_cr: float) -> DataFrame:
     """The same TECs; patterns that can't reach the ratio go before the division. A first step that occurs b times bounds
     the translators by b."""
-    pairs = differences(notes)
+    pairs = written(differences(notes))
     found = pairs.groupBy("piece_id", "d_onset", "d_pitch").agg(F.sort_array(F.collect_list(point())).alias("pattern")).withColumn("size", F.size("pattern"))
-    shapes = patterns(found)
+    shapes = written(patterns(found))
     p0, p1 = F.element_at("pattern", 1), F.get(F.col("pattern"), F.lit(1))
-    steps = found.select("piece_id", F.col("d_onset").alias("s_onset"), F.col("d_pitch").alias("s_pitch"), F.col("size").alias("b"))
+    steps = pairs.groupBy("piece_id", F.col("d_onset").alias("s_onset"), F.col("d_pitch").alias("s_pitch")).agg(F.count(F.lit(1)).alias("b"))
     k, b = F.col("size"), F.col("b")
     many = shapes.where("size > 1").select("*", (p1["onset"] - p0["onset"]).alias("s_onset"), (p1["pitch"] - p0["pitch"]).alias("s_pitch")).join(steps, ["piece_id", "s_onset", "s_pitch"])
     many = many.where(k * b / (k + b - 1) >= least_cr).select(*shapes.columns)

@@ -4,21 +4,42 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_OWN: list[str] = []
+
+
 def written(df: DataFrame) -> DataFrame:
-    """df as a table in spark.checkpoint.dir (a folder of our own where it is unset), which cuts its lineage."""
+    """df as a table in spark.checkpoint.dir, which cuts its lineage; it is deleted when the session ends. Where the folder
+    is unset, a local master gets one of its own; a cluster must name one that all executors share."""
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="cantus-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        if not _OWN:
+            _OWN.append("file://" + tempfile.mkdtemp(prefix="cantus-"))
+        root = _OWN[0]
     path = f"{root.rstrip('/')}/cantus-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _file(spark, path, lambda fs, p: fs.deleteOnExit(p))
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cantus_path = path
+    return out
+
+
+def dropped(table: DataFrame) -> None:
+    """Deletes a table that `written` made and nothing reads any more."""
+    _file(table.sparkSession, table._cantus_path, lambda fs, p: fs.delete(p, True))
+
+
+def _file(spark: SparkSession, path: str, do: Callable) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    do(p.getFileSystem(spark._jsc.hadoopConfiguration()), p)
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -29,7 +50,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """
     both = edges.select("piece_id", "src", "dst").unionByName(edges.select("piece_id", F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
     both = written(both)
-    label = written(nodes.select("piece_id", "node", F.col("node").alias("component")))
+    held = label = written(nodes.select("piece_id", "node", F.col("node").alias("component")))
     while True:
         near = both.join(label.select("piece_id", F.col("node").alias("dst"), "component"), ["piece_id", "dst"]).groupBy("piece_id", F.col("src").alias("node")).agg(F.min("component").alias("near"))
         new = label.join(near, ["piece_id", "node"], "left").select("piece_id", "node", F.least("component", F.coalesce("near", "component")).alias("c"), F.col("component").alias("old"))
@@ -37,4 +58,5 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         new = written(new.join(jump, ["piece_id", "c"]).select("piece_id", "node", F.col("up").alias("component"), "old"))
         if not new.where("component <> old").take(1):
             return new.drop("old")
-        label = new.drop("old")
+        dropped(held)
+        held, label = new, new.drop("old")

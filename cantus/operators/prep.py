@@ -107,3 +107,12 @@ def merged_tracks(*tracks: DataFrame) -> DataFrame:
     for t in tracks[1:]:
         out = out.unionByName(t)
     return out.withColumn("place", F.row_number().over(Window.partitionBy("piece_id").orderBy("start", F.desc("pitch"), "end")))
+
+
+def qualified_beats(beats: DataFrame, tolerance: float = 0.03) -> DataFrame:
+    """(piece_id, place, major, minor) of beats, with their place in the bar by ear and flags of the score's beats, to
+    (piece_id, meter, share, qualified): pieces in four whose share of major flags is near a quarter, or in three whose share of minor ones is near a third."""
+    s = beats.groupBy("piece_id").agg(F.max("place").alias("meter"), F.avg(F.col("major").cast("double")).alias("major"), F.avg(F.col("minor").cast("double")).alias("minor"))
+    share = F.when(F.col("meter") == 4, F.col("major")).when(F.col("meter") == 3, F.col("minor"))
+    want = F.when(F.col("meter") == 4, F.lit(0.25)).otherwise(F.lit(0.33))
+    return s.select("piece_id", "meter", share.alias("share"), F.coalesce(F.abs(want - share) < tolerance, F.lit(False)).alias("qualified"))

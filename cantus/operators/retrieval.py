@@ -178,3 +178,15 @@ def subgraph(graph: DataFrame, clustered: DataFrame) -> DataFrame:
     return out.select("piece_id", "a", "b", "sim", (F.col("in_a").isNotNull() & F.col("in_b").isNotNull()).alias("inner"))
 
 
+def sweep_top(sims: DataFrame, segs: DataFrame, thresholds: Sequence[float], ious: Sequence[float], tops: Sequence[int]) -> DataFrame:
+    """Edges of each piece for every similarity, overlap bound and number of neighbours (0: all): (piece_id, similarity, iou, top_k, n_edges, n_segments)."""
+    grid = F.array(*(F.struct(F.lit(float(s)).alias("similarity"), F.lit(float(i)).alias("iou")) for s in thresholds for i in ious))
+    pairs = with_spans(sims, segs).select("piece_id", "a", "b", F.round("sim", 6).alias("sim"), time_iou(F.col("a0"), F.col("a1"), F.col("b0"), F.col("b1")).alias("span_iou"), F.explode(grid).alias("p"))
+    pairs = pairs.where((F.col("sim") >= F.col("p.similarity")) & (F.col("span_iou") < F.col("p.iou"))).select("piece_id", "p.similarity", "p.iou", "a", "b", "sim")
+    both = pairs.unionByName(pairs.select("piece_id", "similarity", "iou", F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
+    rank = F.row_number().over(Window.partitionBy("piece_id", "similarity", "iou", "a").orderBy(F.desc("sim"), "b"))
+    kept = both.withColumn("rank", rank).withColumn("top_k", F.explode(F.array(*map(F.lit, tops)))).where((F.col("top_k") == 0) | (F.col("rank") <= F.col("top_k")))
+    key = ["piece_id", "similarity", "iou", "top_k"]
+    n = kept.select(*key, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    ends = n.select(*key, F.explode(F.array("a", "b")).alias("seg"))
+    return n.groupBy(*key).agg(F.count(F.lit(1)).alias("n_edges")).join(ends.groupBy(*key).agg(F.count_distinct("seg").alias("n_segments")), key)

@@ -102,3 +102,22 @@ def decode(words: DataFrame, bar_length: int = 16) -> DataFrame:
     w = Window.partitionBy("piece_id").orderBy("w").rowsBetween(Window.unboundedPreceding, 0)
     bar = F.sum(F.when(F.col("t_bar") == 0, 1).otherwise(0)).over(w) - 1
     return words.select("piece_id", "w", (bar * bar_length + F.col("t_position")).alias("onset"), (F.col("t_pitch") + LOWEST).alias("pitch"), (F.col("t_duration") + 1).alias("duration"))
+
+
+def aligned_labels(chunked: DataFrame, length: int = LENGTH) -> DataFrame:
+    """Every place of every chunk with its note's label: (piece_id, chunk, pos, label), 1 for a note with a type, 3 for one without, 0 for padding."""
+    places = chunked.select("piece_id", "chunk").distinct().withColumn("pos", F.explode(F.sequence(F.lit(0), F.lit(length - 1))))
+    label = chunked.select("piece_id", "chunk", F.col("pos").cast("int").alias("pos"), F.when(F.col("type") != "", 1).otherwise(3).alias("label"))
+    return places.join(label, ["piece_id", "chunk", "pos"], "left").select("piece_id", "chunk", "pos", F.coalesce("label", F.lit(0)).alias("label"))
+
+
+def variants(notes: DataFrame, semitones: tuple[int, ...] = (-5, -4, -3, -2, -1, 0, 1, 2, 3, 4, 5, 6), offsets: tuple[int, ...] = (0, 256), keep: int | None = None, seed: int = 1) -> DataFrame:
+    """notes once for every shift of pitches and offset of chunks, as (variant, semitones, offset, ...); with keep, of that many
+    variants per piece, drawn by a hash. Only notes without a type are shifted, within 24 to 107."""
+    each = F.array(*(F.struct(F.lit(k).alias("variant"), F.lit(s).alias("semitones"), F.lit(o).alias("offset")) for k, (s, o) in enumerate((s, o) for s in semitones for o in offsets)))
+    if keep is not None:
+        drawn = F.sort_array(F.transform(each, lambda v: F.struct(F.xxhash64("piece_id", v["variant"], F.lit(seed)).alias("h"), v.alias("v"))))
+        each = F.transform(F.slice(drawn, 1, keep), lambda x: x["v"])
+    out = notes.withColumn("v", F.explode(each)).select("v.*", *notes.columns)
+    moved = F.greatest(F.lit(24), F.least(F.lit(107), F.col("pitch") + F.col("semitones")))
+    return out.withColumn("pitch", F.when(F.col("type") == "", moved).otherwise(F.col("pitch")))
