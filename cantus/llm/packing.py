@@ -70,10 +70,11 @@ def encoder(path: str) -> Callable[[str], np.ndarray]:
     return _ENCODERS[path]
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int, id_col: str = "doc_id", text_col: str = "text", end: int = 0) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, capacity: int, id_col: str = "doc_id", text_col: str = "text", end: int = 0, null_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): each document's ids and the id `end`, cut into pieces of `capacity`
     ids if there are more; the first piece takes what is over."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs if null_ids else docs.where("doc_id is not null")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
@@ -200,15 +201,15 @@ def improve(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[l
     return [sorted(b) for b in bins]
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", null_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (its place there, gapless from 0).
 
-    Null and empty texts are one piece, the end id alone. Rows with a null id give no row; rows that repeat an id are
+    Null and empty texts are one piece, the end id alone. Rows with a null id give no row (with null_ids they are packed like others); rows that repeat an id are
     packed as documents of their own. Ties are broken by (doc_id, piece). Other columns are ignored; an empty table
     gives an empty result. Pieces that fill a sequence are one of their own (an odd sequence_id); blocks hold about `block` of the
     others by hash, however many there are, so each but a block's last bin is full or nearly so.
     """
-    cut = Store(docs.sparkSession).save(pieces(docs, tokenizer, capacity, id_col, text_col))
+    cut = Store(docs.sparkSession).save(pieces(docs, tokenizer, capacity, id_col, text_col, null_ids=null_ids))
     part = F.col("length") < capacity
     blocks = max(1, round(cut.where(part).count() / block))
     whole = cut.where(~part).select("*", (2 * F.monotonically_increasing_id() + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))

@@ -29,17 +29,22 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of every group of near copies (five-word shingles, similarity 0.8).
 
-    Of rows that repeat an id one stays. Rows with a null id are in no group and stay.
+    Different texts of one id are documents of their own, which have negative keys here; of rows that repeat an id and a
+    text one stays. Rows with a null id are in no group and stay.
     """
     store = Store(spark)
-    judged = store.save(near_duplicates(docs, threshold=0.8))
-    gone = judged.where("not kept").select("doc_id").distinct()
-    out = docs.join(small(gone, gone.count(), 40), "doc_id", "left_anti")
-    again = judged.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    content = F.xxhash64("text")
+    several = store.save(docs.groupBy("doc_id").agg(F.min(content).alias("a"), F.max(content).alias("b")).where("a <> b and doc_id is not null").select("doc_id", F.lit(True).alias("_again")))
+    own = -1 - F.xxhash64("doc_id", "text").bitwiseAND((1 << 62) - 1)
+    keyed = docs.join(small(several, several.count(), 16), "doc_id", "left").withColumn("_key", F.when(F.col("_again"), own).otherwise(F.col("doc_id")))
+    judged = store.save(near_duplicates(keyed.select("_key", "text"), threshold=0.8, id_col="_key"))
+    gone = store.save(judged.where("not kept").select(F.col("doc_id").alias("_key")).distinct())
+    out = keyed.join(small(gone, gone.count(), 40), "_key", "left_anti")
+    again = store.save(judged.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_key")))
     n = again.count()
     if n:
         again = small(again, n, 40)
-        out = out.join(again, "doc_id", "left_anti").unionByName(out.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+        out = out.join(again, "_key", "left_anti").unionByName(out.join(again, "_key", "left_semi").dropDuplicates(["_key"]))
     return out.select(*docs.columns)
 
 
@@ -59,8 +64,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into sequences; one row per piece of a document."""
-    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=CAPACITY)
+    """Packs what is left into sequences; one row per piece of a document, those with a null id included."""
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=CAPACITY, null_ids=True)
 
 
 STAGES = [("toxicity", toxicity), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup), ("decontamination", decontamination), ("packing", packing)]
