@@ -8,6 +8,8 @@ long piece spreads over tasks.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -157,11 +159,15 @@ def with_translators(tecs: DataFrame, notes: DataFrame, pairs: DataFrame | None
     return tecs.join(t, key).withColumn("n_translators", F.size("translators"))
 
 
-def covered(tecs: DataFrame) -> DataFrame:
+#: What names a TEC; with conjugates, `conjugate` too.
+KEY = ("piece_id", "d_onset", "d_pitch")
+
+
+def covered(tecs: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
     """Every point that a TEC covers: (piece_id, d_onset, d_pitch, onset, pitch), once each."""
-    p = tecs.select("piece_id", "d_onset", "d_pitch", F.explode("pattern").alias("p"), "translators")
-    p = p.select("piece_id", "d_onset", "d_pitch", "p", F.explode("translators").alias("t"))
-    return p.select("piece_id", "d_onset", "d_pitch", (F.col("p.onset") + F.col("t.onset")).alias("onset"), (F.col("p.pitch") + F.col("t.pitch")).alias("pitch")).distinct()
+    p = tecs.select(*key, F.explode("pattern").alias("p"), "translators")
+    p = p.select(*key, "p", F.explode("translators").alias("t"))
+    return p.select(*key, (F.col("p.onset") + F.col("t.onset")).alias("onset"), (F.col("p.pitch") + F.col("t.pitch")).alias("pitch")).distinct()
 
 
 def counts_below(notes: DataFrame) -> DataFrame:
@@ -176,15 +182,15 @@ def counts_below(notes: DataFrame) -> DataFrame:
     return grid.select("piece_id", "onset", "pitch", le.alias("le_le"), lt.alias("lt_le"), (le - F.col("up_to")).alias("le_lt"), (lt - F.col("up_to") + F.col("n")).alias("lt_lt"))
 
 
-def measured(tecs: DataFrame, notes: DataFrame) -> DataFrame:
+def measured(tecs: DataFrame, notes: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
     """tecs with coverage, compression ratio cr, bounding-box compactness, width, volume.
 
     cr is coverage over pattern and translators less one; compactness the share of the box's points that the pattern
     holds; width the range of onsets, volume the product of both ranges.
     """
-    key = ["piece_id", "d_onset", "d_pitch"]
+    key = list(key)
     tecs = written(tecs)
-    cover = covered(tecs).groupBy(*key).agg(F.count(F.lit(1)).alias("coverage"))
+    cover = covered(tecs, key).groupBy(*key).agg(F.count(F.lit(1)).alias("coverage"))
     onsets, pitches = F.transform("pattern", lambda p: p["onset"]), F.transform("pattern", lambda p: p["pitch"])
     box = tecs.select("*", F.array_min(onsets).alias("o0"), F.array_max(onsets).alias("o1"), F.array_min(pitches).alias("p0"), F.array_max(pitches).alias("p1"))
     corners = F.array(*(F.struct(F.col(o).alias("onset"), F.col(p).alias("pitch"), F.lit(k).alias("k")) for k, (o, p) in enumerate((("o1", "p1"), ("o0", "p1"), ("o1", "p0"), ("o0", "p0")))))
@@ -255,13 +261,20 @@ def salience(tecs: DataFrame, notes: DataFrame) -> DataFrame:
     return out.withColumn("salience", scaled("cr") * scaled("max_compactness"))
 
 
+def with_conjugates(tecs: DataFrame) -> DataFrame:
+    """tecs and their conjugates, told apart by `conjugate`."""
+    own = tecs.select(*KEY, "pattern", "size", "translators", "n_translators")
+    return own.withColumn("conjugate", F.lit(False)).unionByName(conjugate(own).withColumn("conjugate", F.lit(True)))
+
+
 def quality() -> list[Column]:
     """The order of TECs from best to worst: what they compress, how compact and large they are; the vector breaks ties."""
     return [F.desc("cr"), F.desc("compactness"), F.desc("coverage"), F.desc("size"), F.asc("width"), F.asc("volume"), F.asc("d_onset"), F.asc("d_pitch")]
 
 
 def ranked(tecs: DataFrame) -> DataFrame:
-    return tecs.withColumn("rank", F.row_number().over(Window.partitionBy("piece_id").orderBy(*quality())))
+    last = ["conjugate"] if "conjugate" in tecs.columns else []
+    return tecs.withColumn("rank", F.row_number().over(Window.partitionBy("piece_id").orderBy(*quality(), *last)))
 
 
 def cardinality(p: DataFrame, q: DataFrame, translate: bool = False) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar as fn
 from ..operators import cotext, cover, prep, tokens
 from ..session import ANNOTATED_SQL, annotated_notes, notes_view, table
+from .geometry import MEASURES, PAIRS
 
 
 def compress_cover(spark: SparkSession, d: str) -> DataFrame:
@@ -18,6 +19,16 @@ def compress_cover_strict(spark: SparkSession, d: str) -> DataFrame:
     return cover.compress(notes_view(spark, d), strict=True)
 
 
+def compress_cover_conjugates(spark: SparkSession, d: str) -> DataFrame:
+    """With conjugate classes among those to choose from."""
+    return cover.compress(notes_view(spark, d), conjugates=True)
+
+
+def cosiatec_cover(spark: SparkSession, d: str) -> DataFrame:
+    """The class that each point is taken with, and in which round."""
+    return cover.cosiatec(notes_view(spark, d)).select("piece_id", "onset", "pitch", "round", "d_onset", "d_pitch", "conjugate")
+
+
 def forth_cover(spark: SparkSession, d: str) -> DataFrame:
     return cover.forth(notes_view(spark, d), least_gain=2)
 
@@ -187,7 +198,7 @@ def oracle_notes(spark: SparkSession, d: str) -> DataFrame:
     return a.union(b).distinct().join(near, ["piece_id", "onset"], "left_anti")
 
 
-QUERIES = {f.__name__: f for f in (compress_cover, compress_cover_strict, forth_cover, compact_parts, cotext_motifs, note_contexts, anchor_pairs, bar_intervals, notes_in_bars, bar_tokens, token_chunks, ensemble_predictions, fold_assignment, pseudo_labels, shifted_pitches, labelled_means, note_subset, previous_order, tempo_map, note_seconds, note_beats, skyline_melody, piano_roll, grid_notes, tempo_changes, beats_without_voice, rounded_prices, note_labels, oracle_notes)}
+QUERIES = {f.__name__: f for f in (compress_cover, compress_cover_strict, compress_cover_conjugates, cosiatec_cover, forth_cover, compact_parts, cotext_motifs, note_contexts, anchor_pairs, bar_intervals, notes_in_bars, bar_tokens, token_chunks, ensemble_predictions, fold_assignment, pseudo_labels, shifted_pitches, labelled_means, note_subset, previous_order, tempo_map, note_seconds, note_beats, skyline_melody, piano_roll, grid_notes, tempo_changes, beats_without_voice, rounded_prices, note_labels, oracle_notes)}
 
 CONTEXT = ANNOTATED_SQL + """,
 x AS (SELECT *, row_number() OVER (PARTITION BY piece_id ORDER BY onset, pitch) - 1 AS i FROM anno),
@@ -210,7 +221,30 @@ tm AS (SELECT piece_id, tick, bpm, sum(step) OVER (PARTITION BY piece_id ORDER B
 SPANS = ANNOTATED_SQL + """,
 sn AS (SELECT piece_id, onset * 240 + pitch * 13 % 120 AS s, onset * 240 + pitch * 13 % 120 + duration * 700 AS e, pitch FROM anno)"""
 
+
+
+def _compress(less: int) -> str:
+    return f"""WITH RECURSIVE {MEASURES},
+cl AS (SELECT piece_id, d_onset, d_pitch, list(onset || ':' || pitch) AS pts FROM cover GROUP BY 1, 2, 3),
+b AS (SELECT piece_id, d_onset, d_pitch, rank, size + n_translators - {less} AS need, pts FROM best JOIN cl USING (piece_id, d_onset, d_pitch)),
+r AS (SELECT piece_id, count(*) AS n, 0::BIGINT AS rank, []::VARCHAR[] AS have, 0 AS step, 0::BIGINT AS d_onset, 0::BIGINT AS d_pitch, 0 AS new_points FROM notes GROUP BY 1
+UNION ALL SELECT piece_id, n, rank, CASE WHEN len(new) > need THEN list_concat(have, new) ELSE have END, CASE WHEN len(new) > need THEN step + 1 ELSE step END, d_onset, d_pitch, CASE WHEN len(new) > need THEN len(new)::INTEGER ELSE 0 END
+  FROM (SELECT r.piece_id, r.n, b.rank, r.have, r.step, b.d_onset, b.d_pitch, b.need, list_filter(b.pts, lambda p: NOT list_contains(r.have, p)) AS new FROM r JOIN b ON b.piece_id = r.piece_id AND b.rank = r.rank + 1 WHERE len(r.have) < r.n) x)
+SELECT piece_id, d_onset, d_pitch, false AS conjugate, step - 1 AS step, new_points FROM r WHERE new_points > 0"""
+
+
 ORACLE = {
+    "compress_cover": _compress(1),
+    "compress_cover_strict": _compress(0),
+    "compact_parts": f"""WITH RECURSIVE {PAIRS}, i AS (SELECT *, row_number() OVER (PARTITION BY piece_id ORDER BY onset, pitch) - 1 AS idx FROM notes),
+p AS (SELECT piece_id, d_onset, d_pitch, idx, row_number() OVER (PARTITION BY piece_id, d_onset, d_pitch ORDER BY idx) AS k, count(*) OVER (PARTITION BY piece_id, d_onset, d_pitch) AS size FROM pairs JOIN i USING (piece_id, onset, pitch)),
+r AS (SELECT piece_id, d_onset, d_pitch, k, size, idx AS first, 1 AS n, 0 AS part, 0 AS cut FROM p WHERE k = 1
+UNION ALL SELECT p.piece_id, p.d_onset, p.d_pitch, p.k, p.size, CASE WHEN (n + 1) / (idx - first + 1) >= 0.4 THEN first ELSE idx END, CASE WHEN (n + 1) / (idx - first + 1) >= 0.4 THEN n + 1 ELSE 1 END, CASE WHEN (n + 1) / (idx - first + 1) >= 0.4 THEN part ELSE part + 1 END, CASE WHEN (n + 1) / (idx - first + 1) >= 0.4 THEN 0 ELSE n END
+  FROM r JOIN p ON p.piece_id = r.piece_id AND p.d_onset = r.d_onset AND p.d_pitch = r.d_pitch AND p.k = r.k + 1)
+SELECT piece_id, d_onset, d_pitch, part - 1 AS part, cut AS size FROM r WHERE cut >= 2 UNION ALL SELECT piece_id, d_onset, d_pitch, 0, n FROM r WHERE k = size AND part = 0 AND n >= 2""",
+    "tempo_changes": f"""WITH RECURSIVE {CHANGES}, o AS (SELECT piece_id, tick // 480 AS beat, 60 / bpm AS length, row_number() OVER (PARTITION BY piece_id ORDER BY tick // 480, 60 / bpm) AS k FROM tm),
+r AS (SELECT piece_id, k, beat, length, length AS last, true AS kept FROM o WHERE k = 1 UNION ALL SELECT o.piece_id, o.k, o.beat, o.length, CASE WHEN abs(r.last - o.length) > 0.05 THEN o.length ELSE r.last END, abs(r.last - o.length) > 0.05 FROM r JOIN o ON o.piece_id = r.piece_id AND o.k = r.k + 1)
+SELECT piece_id, beat::BIGINT AS beat, length FROM r WHERE kept""",
     "note_contexts": f"WITH {CONTEXT} SELECT piece_id, i, n, melodic FROM ctx",
     "anchor_pairs": f"WITH {CONTEXT} SELECT a.piece_id, count(*) AS n_pairs FROM ctx a JOIN ctx b ON a.piece_id = b.piece_id AND a.i < b.i AND b.o - a.o >= 2 WHERE a.n >= 2 AND b.n >= 2 GROUP BY 1",
     "bar_intervals": f"WITH {BARS} SELECT piece_id, bar, s AS start, e AS \"end\" FROM bars",

@@ -116,33 +116,64 @@ def test_empty_set(spark):
     assert g.siatec(n).count() == 0 and g.measured(g.siatec(n), n).count() == 0
 
 
-def brute_tecs(s):
-    """One pattern per shape (of the smallest vector) with translators, coverage and the keys that rank it."""
+def brute_tecs(s, among=None, conjugates=False):
+    """One pattern per shape (of the smallest vector) with translators, coverage and the keys that rank it among the points `among`; with conjugates, those too."""
     s = sorted(s)
+    among = among or s
     by_shape = {}
     for v, p in sorted(brute_mtps(s).items()):
         by_shape.setdefault(tuple((a - p[0][0], b - p[0][1]) for a, b in p), (v, p))
     for v, p in by_shape.values():
         t = [(x - p[0][0], y - p[0][1]) for x, y in s if all((a + x - p[0][0], b + y - p[0][1]) in s for a, b in p)]
-        cover = {(a + c, b + d) for a, b in p for c, d in t}
-        xs, ys = [a for a, _ in p], [b for _, b in p]
-        width, height = max(xs) - min(xs), max(ys) - min(ys)
-        box = sum(min(xs) <= x <= max(xs) and min(ys) <= y <= max(ys) for x, y in s)
-        key = (-len(cover) / (len(p) + len(t) - 1), -len(p) / box, -len(cover), -len(p), width, width * height, *v)
-        yield key, v, len(p), len(t), cover
+        conj = sorted((p[0][0] + c, p[0][1] + d) for c, d in t), [(a - p[0][0], b - p[0][1]) for a, b in p]
+        for other, (p, t) in enumerate([(p, t), conj] if conjugates else [(p, t)]):
+            cover = {(a + c, b + d) for a, b in p for c, d in t}
+            xs, ys = [a for a, _ in p], [b for _, b in p]
+            width, height = max(xs) - min(xs), max(ys) - min(ys)
+            box = sum(min(xs) <= x <= max(xs) and min(ys) <= y <= max(ys) for x, y in among)
+            key = (-len(cover) / (len(p) + len(t) - 1), -len(p) / box, -len(cover), -len(p), width, width * height, *v, other)
+            yield key, v, len(p), len(t), cover
 
 
 def test_compress_takes_what_a_greedy_scan_takes(spark):
     r = random.Random(9)
     sets = [sorted({(r.randrange(12), r.randrange(5)) for _ in range(22)}) for _ in range(3)]
-    for strict in (False, True):
+    for strict, conjugates in ((False, False), (True, False), (False, True)):
         want = set()
         for k, s in enumerate(sets):
             have, step = set(), 0
-            for _, v, n, t, cover_ in sorted(brute_tecs(s)):
+            for key, v, n, t, cover_ in sorted(brute_tecs(s, s, conjugates)):
                 if len(cover_ - have) > n + t - (0 if strict else 1):
-                    want.add((k, *v, step, len(cover_ - have)))
+                    want.add((k, *v, bool(key[-1]), step, len(cover_ - have)))
                     have, step = have | cover_, step + 1
                     if len(have) == len(s):
                         break
-        assert {tuple(x) for x in cover.compress(points(spark, *sets), strict).collect()} == want
+        assert {tuple(x) for x in cover.compress(points(spark, *sets), strict, conjugates).collect()} == want
+
+
+@pytest.mark.parametrize("conjugates", [True, False])
+def test_cosiatec_takes_the_best_class_of_what_is_left(spark, conjugates):
+    r = random.Random(11)
+    sets = [sorted({(r.randrange(10), r.randrange(4)) for _ in range(14)}) for _ in range(2)]
+    want = set()
+    for k, s in enumerate(sets):
+        left, step = set(s), 0
+        while left:
+            if len(left) == 1:
+                taken, name = set(left), (0, 0, False)
+            else:
+                key, v, _, _, cover_ = min(brute_tecs(left, s, conjugates))
+                taken, name = cover_ & left, (*v, bool(key[-1]))
+            want |= {(k, *p, step, *name) for p in taken}
+            left, step = left - taken, step + 1
+    got = cover.cosiatec(points(spark, *sets), conjugates).select("piece_id", "onset", "pitch", "round", "d_onset", "d_pitch", "conjugate").collect()
+    assert {tuple(x) for x in got} == want
+
+
+def test_long_pieces_are_paired_in_blocks(spark, monkeypatch):
+    r = random.Random(2)
+    n = points(spark, {(r.randrange(40), r.randrange(12)) for _ in range(90)}, {(r.randrange(9), r.randrange(5)) for _ in range(20)})
+    every = lambda: [sorted(map(str, f.collect())) for f in (g.differences(n), g.all_mtps(n), g.siar(n), g.measured(g.siatec(n), n))]
+    whole = every()
+    monkeypatch.setattr(g, "BLOCK", 16)
+    assert every() == whole and len(whole[0]) == sum(k * (k - 1) // 2 for k in (n.where(f"piece_id = {p}").count() for p in (0, 1)))
