@@ -2,8 +2,8 @@
 
 A neighbour graph starts from random-projection orders and is refined by local joins: neighbours of a vector (forward and
 reverse) are compared with each other, and every list keeps its best. Lists that are still over the threshold at their
-end are saturated: they may hide links. They are made twice as long and refined again, up to a bound, as there may be more
-links than lists should carry. Most of these lie within a component, so vectors whose lists were saturated get a second
+end are saturated: they may hide links. They are made four times as long and refined again; there may be more links than
+lists should carry. Most of these lie within a component, so vectors whose lists were saturated get a second
 list, of neighbours outside theirs, which is refined alike until no component meets another. An exact check follows: links inside a
 component are counted in blocks, and a brute-force audit on a sample of rows measures recall; if it still misses a
 link, all components are compared with each other exhaustively.
@@ -23,7 +23,7 @@ from ._graph import components
 from ._kernels import mix
 from ._store import Store
 
-#: Length of a neighbour list, the most it is enlarged to, number of random-projection orders, rows that are compared at once in an order.
+#: Length of a neighbour list, and of one that was saturated, number of random-projection orders, rows that are compared at once in an order.
 K, LONGEST, ORDERS, RUN = 10, 40, 12, 256
 #: Most reverse neighbours in one local join; more make further joins.
 REVERSE = 24
@@ -256,15 +256,18 @@ def embedding_links(table: DataFrame, threshold: float = 0.95, id_col: str = "ve
     thinned = False
     single = classes.select("id", F.col("id").alias("comp"), F.lit(1).cast("long").alias("size"), "q")
     graph = merged(orders(single))
-    known, done = -1, 0
-    while True:
+    done, total = 0, None
+    while done < rounds:  # until the lists hardly change
+        graph, done, before = refine(pairs(graph), graph, single), done + 1, total
+        total = pairs(graph).agg(F.sum(1 + F.col("sim"))).first()[0] or 0.0
+        if before is not None and total - before <= 0.001 * before:
+            break
+    found = links(graph)
+    label = components(store, found)
+    while done < rounds and hits(label) < n_truth:
         graph, done = refine(pairs(graph), graph, single), done + 1
         found = links(graph)
         label = components(store, found)
-        hit, now = hits(label), label.count()
-        if now - known <= 0.001 * n and (hit == n_truth or done >= rounds):
-            break
-        known = now
 
     def full_lists(length: int) -> DataFrame:
         counts = pairs(graph).groupBy("a").agg(F.count(F.lit(1)).alias("k"), F.min("sim").alias("s"))
@@ -274,17 +277,20 @@ def embedding_links(table: DataFrame, threshold: float = 0.95, id_col: str = "ve
         ends = [ids.withColumnRenamed("id", c).hint("merge") for c in "ab"]
         return store.save(pairs(graph).join(ends[0], "a", "left_semi").join(ends[1], "b", "left_semi").select("a", "b"))
 
-    # Saturated lists are made twice as long, and those that they meet.
-    full = more = full_lists(K)
-    length = K
-    while length < LONGEST and more.take(1):
-        length = min(2 * length, LONGEST)
-        graph = merged(graph.unionByName(orders(single.join(more.hint("merge"), "id", "left_semi"), length)), length)
-        graph = refine(between(more, graph), graph, single, length)
-        more = full_lists(length)
-    if length > K:
+    def apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
+        """Pairs (a, b) whose ends are in different components."""
+        for c in "ab":
+            pairs = pairs.join(label.select(F.col("id").alias(c), F.col("component").alias(f"c{c}")).hint("merge"), c, "left")
+        return pairs.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+
+    # Saturated lists are made longer.
+    full = full_lists(K)
+    if full.take(1):
+        graph = merged(graph.unionByName(orders(single.join(full.hint("merge"), "id", "left_semi"), LONGEST)), LONGEST)
+        graph = refine(between(full, graph), graph, single, LONGEST)
         found = links(graph)
-        label = components(store, found)
+        if apart(found, label).take(1):
+            label = components(store, found)
 
     # What was saturated: neighbours outside the own component, until none is a link.
     thinned = True
