@@ -335,6 +335,13 @@ def test_packing(spark):
     assert packing.pack(df.limit(0), path, 256).count() == 0
 
 
+def test_ascii_and_other_texts_are_split_alike():
+    r = random.Random(5)
+    for _ in range(3000):
+        t = "".join(r.choice("ab zSTre'llvemd019 _-!\t\n\r\x0b\x1c\x1f\x00~ ") for _ in range(r.randint(0, 40)))
+        assert packing.SPLIT.findall(t) == packing.SPLIT_ASCII.findall(t)
+
+
 def test_blocks_are_bounded_by_pieces(spark, monkeypatch):
     """A few long documents have many pieces; no block takes many more than it should, and full pieces take none."""
     import public_tokenizers
