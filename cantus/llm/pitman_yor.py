@@ -403,6 +403,10 @@ def score(docs: DataFrame, held_out: int = 10, sweeps: int = SWEEPS, burn_in: in
         b = routes["b"][0].as_py()
         return pa.table({"b": pa.array([b] * len(idx), pa.int32()), "r": pa.array(list(idx), pa.int32()), "tables": pa.array([pack(total[x]) for x in idx.values()], pa.binary())})
 
+    def together(a: DataFrame, b: DataFrame, key: str):
+        """Groups of both by a partition's number, a task for each however large the corpus is."""
+        return a.repartition(parts, key).groupBy(key).cogroup(b.repartition(parts, key).groupBy(key))
+
     def sums_of(said: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         found = said.where("b = -2").groupBy("place").agg(F.sum("value").alias("value")).collect()
         v = np.zeros(SCALARS + 2 * len(heavy), np.int64)
@@ -414,7 +418,7 @@ def score(docs: DataFrame, held_out: int = 10, sweeps: int = SWEEPS, burn_in: in
     said = store.save(table.select("r", "w", "full", "contexts", "slots", "counts").mapInArrow(survey, PARTS))
     ids = said.where("b <= -3").select((-3 - F.col("b")).cast("int").alias("b"), "r", "data")
     own = said.where("b >= 0").select("b", "r", "data", "more")
-    routes = store.save(own.groupBy("b").cogroup(ids.groupBy("b")).applyInArrow(agree, "b int, r int, size int, idx binary, customers binary, tables binary"))
+    routes = store.save(together(own, ids, "b").applyInArrow(agree, "b int, r int, size int, idx binary, customers binary, tables binary"))
     scalars, vectors = sums_of(said)
     of_heavy, state.heavy_count = vectors[: len(heavy)], vectors[len(heavy) :]
     state.total, state.words = float(scalars[0]), float(scalars[1] + (state.heavy_count > 0).sum())
@@ -435,7 +439,7 @@ def score(docs: DataFrame, held_out: int = 10, sweeps: int = SWEEPS, burn_in: in
             short = pa.array([thin(x.as_py()) for x in batch.column("full")], pa.binary())
             yield batch.set_column(batch.schema.get_field_index("full"), "ctx", short)
 
-    model = store.save(table.select("r", "w", "full", "contexts", "slots", "counts").mapInArrow(slim, "r int, w binary, ctx binary, contexts binary, slots binary, counts binary"))
+    model = table.select("r", "w", "full", "contexts", "slots", "counts").mapInArrow(slim, "r int, w binary, ctx binary, contexts binary, slots binary, counts binary")
     nothing = F.lit(None).cast("binary")
     seats = [said.where("b = -1").select("r", F.lit(0).alias("sweep"), "b", "data", "more")]
     totals = [routes.select("r", F.lit(0).alias("sweep"), "b", F.col("tables").alias("data"), nothing.alias("more"))]
@@ -458,7 +462,7 @@ def score(docs: DataFrame, held_out: int = 10, sweeps: int = SWEEPS, burn_in: in
             n = np.bincount(p.word, t, len(p.w)).astype(np.int64)
             return pa.Table.from_batches([rows_of(row["r"], cut, [own, np.zeros(len(own), np.int64)], (t, parent), p.sums([n.sum(), parent[~p.is_heavy].sum()], n))])
 
-        return store.save(model.groupBy("r").cogroup(seats[-1].unionByName(totals[-1]).groupBy("r")).applyInArrow(run, PARTS))
+        return store.save(together(model, seats[-1].unionByName(totals[-1]), "r").applyInArrow(run, PARTS))
 
     for k in range(1, sweeps + 1):
         said = sweep_over(k, context.broadcast(state))
@@ -467,7 +471,7 @@ def score(docs: DataFrame, held_out: int = 10, sweeps: int = SWEEPS, burn_in: in
         parent = state.seat_parent(of_heavy, state.heavy_parent[-1], heavy, k)
         keep(of_heavy, scalars[1], parent, scalars[0])
         seats.append(said.where("b = -1").select("r", F.lit(k).alias("sweep"), "b", "data", "more"))
-        total = store.save(said.where("b >= 0").select("b", "r", "data").groupBy("b").cogroup(routes.select("b", "r", "idx", "size").groupBy("b")).applyInArrow(total_of, "b int, r int, tables binary"))
+        total = store.save(together(said.where("b >= 0").select("b", "r", "data"), routes.select("b", "r", "idx", "size"), "b").applyInArrow(total_of, "b int, r int, tables binary"))
         totals.append(total.select("r", F.lit(k).alias("sweep"), "b", F.col("tables").alias("data"), nothing.alias("more")))
     final = context.broadcast(state)
     homes = int(spark.conf.get("spark.sql.shuffle.partitions"))  # partitions of documents, where their scores are added up
@@ -517,6 +521,6 @@ def score(docs: DataFrame, held_out: int = 10, sweeps: int = SWEEPS, burn_in: in
 
         yield from grouped(batches, ["bucket"], each, 1)
 
-    rated = table.groupBy("r").cogroup(states.groupBy("r")).applyInArrow(rate, "bucket int, ids binary, tokens binary, known binary, base binary, score binary")
+    rated = together(table, states, "r").applyInArrow(rate, "bucket int, ids binary, tokens binary, known binary, base binary, score binary")
     out = rated.repartition(homes, "bucket").sortWithinPartitions("bucket").mapInArrow(total, "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", is_out("doc_id").alias("held_out"), "n_tokens", "n_known", F.lit(int(state.total)).cast("long").alias("train_tokens"), "base_score", "score")
