@@ -284,10 +284,10 @@ def embedding_links(table: DataFrame, threshold: float = 0.95, id_col: str = "ve
         return pairs.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
     # Saturated lists are made longer.
-    full = full_lists(K)
+    full, short = full_lists(K), graph
     if full.take(1):
         graph = merged(graph.unionByName(orders(single.join(full.hint("merge"), "id", "left_semi"), LONGEST)), LONGEST)
-        graph = refine(between(full, graph), graph, single, LONGEST)
+        graph = refine(between(full, short), graph, single, LONGEST)
         found = links(graph)
         if apart(found, label).take(1):
             label = components(store, found)
@@ -305,7 +305,7 @@ def embedding_links(table: DataFrame, threshold: float = 0.95, id_col: str = "ve
 
     of = saturated()
     if of.select("comp").distinct().limit(2).count() > 1:
-        inner = between(full, graph)
+        inner = between(full, short)
         outer = merged(orders(of))
         idle = 0
         while True:
