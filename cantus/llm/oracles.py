@@ -60,3 +60,26 @@ gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM later),
 a AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM w), kept AS (SELECT a.* FROM a ANTI JOIN gone USING (doc_id, i)),
 t AS (SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY i) AS t FROM kept GROUP BY 1)
 SELECT w.doc_id, len(w.w)::BIGINT AS n_words, (len(w.w) - coalesce(t.n, 0))::BIGINT AS n_removed, sha256(coalesce(t.t, '')) AS kept_sha256 FROM w LEFT JOIN t USING (doc_id)"""
+
+
+_UNIT = "'[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+'"
+MIDDLE = f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || doc_id) AS x FROM documents),
+h AS (SELECT doc_id, t, regexp_extract_all(t, {_UNIT}) AS u, list_transform(range(4), lambda k: CAST('0x' || substr(x, 8 * k + 1, 8) AS BIGINT)) AS h FROM t),
+f AS (SELECT doc_id, t, u, len(u) AS n, least(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS a, greatest(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 50 THEN 'plain' WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT doc_id, t, n, form, array_to_string(u[:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s FROM f)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""
+
+
+def _terms(text: str) -> str:
+    return f"regexp_extract_all(translate({text}, '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+
+SEARCH = f"""WITH d AS (SELECT doc_id, unnest({_terms('text')}) AS t FROM documents), tf AS (SELECT doc_id, t, count(*) AS tf FROM d GROUP BY 1, 2),
+l AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM tf GROUP BY 1), g AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM l),
+w AS (SELECT t, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, g GROUP BY t, docs),
+q AS (SELECT DISTINCT item_id, t FROM (SELECT item_id, unnest({_terms('text')}) AS t FROM benchmark)),
+s AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // terms)))) AS BIGINT) AS score FROM q JOIN w USING (t) JOIN tf USING (t) JOIN l USING (doc_id), g GROUP BY 1, 2),
+r AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 10"""

@@ -88,6 +88,27 @@ def op10_superkmer_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFram
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_words").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .middle import fill_in_middle, restore
+
+    out = restore(fill_in_middle(table(spark, sf_dir, "documents")))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *(F.sha2(F.col(c).cast("binary"), 256).alias(f"{to}_sha256") for c, to in (("output", "output"), ("restored", "restored"))))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .lengths import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
+
+
+def op13_dual_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .dualtree import ranked_search
+
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nn_descent": op1_nn_descent,
     "op2_pitman_yor": op2_pitman_yor,
@@ -99,10 +120,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_string_tiling": op8_string_tiling,
     "op9_host_reputation": op9_host_reputation,
     "op10_superkmer_substring_dedup": op10_superkmer_substring_dedup,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_token_counts": op12_token_counts,
+    "op13_dual_tree_search": op13_dual_tree_search,
 }
 ORACLE: dict[str, str] = {
     "op3_minmax_near_dedup": oracles.MINHASH,
     "op5_snapshot_collapse": oracles.COLLAPSE,
     "op9_host_reputation": oracles.hosts(RULES, TWO_LABEL_SUFFIXES, WORSE),
     "op10_superkmer_substring_dedup": oracles.SUPERKMER,
+    "op11_fill_in_middle": oracles.MIDDLE,
+    "op13_dual_tree_search": oracles.SEARCH,
 }
