@@ -13,10 +13,8 @@ from pyspark.sql import functions as F
 _OWN: list[str] = []
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a table in spark.checkpoint.dir, which cuts its lineage; it is deleted when the session ends. Where the folder
-    is unset, a local master gets one of its own; a cluster must name one that all executors share."""
-    spark = df.sparkSession
+def folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir. Where it is unset, a local master gets a folder of its own; a cluster must name one that all executors share."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
@@ -24,7 +22,13 @@ def written(df: DataFrame) -> DataFrame:
         if not _OWN:
             _OWN.append("file://" + tempfile.mkdtemp(prefix="cantus-"))
         root = _OWN[0]
-    path = f"{root.rstrip('/')}/cantus-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder, which cuts its lineage; it is deleted when the session ends."""
+    spark = df.sparkSession
+    path = f"{folder(spark)}/cantus-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _file(spark, path, lambda fs, p: fs.deleteOnExit(p))
     out = spark.read.schema(df.schema).parquet(path)
