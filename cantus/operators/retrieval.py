@@ -85,8 +85,9 @@ def vectors(stepped: DataFrame, cfg: Config) -> DataFrame:
 
 
 def similarities(vecs: DataFrame, cfg: Config) -> DataFrame:
-    """(piece_id, a, b, sim) of segments a < b that share a bucket: cosine times the tempo penalty. Others have similarity 0."""
-    key = ["piece_id", "scale", "bucket"] if cfg.same_scale else ["piece_id", "bucket"]
+    """(piece_id, a, b, sim) of segments a < b that share a bucket: cosine times the tempo penalty. Others have similarity 0.
+    With same_scale only segments of one scale meet, unless neighbours are ranked, which looks at all scales."""
+    key = ["piece_id", "scale", "bucket"] if cfg.same_scale and not cfg.top_k else ["piece_id", "bucket"]
     a = vecs.select(*key, F.col("seg").alias("a"), F.col("g").alias("ga"), F.col("weight").alias("wa"))
     b = vecs.select(*key, F.col("seg").alias("b"), F.col("g").alias("gb"), F.col("weight").alias("wb"))
     dots = a.join(b, key).where("a < b").groupBy("piece_id", "a", "b", "ga", "gb").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"))
@@ -95,21 +96,32 @@ def similarities(vecs: DataFrame, cfg: Config) -> DataFrame:
 
 def with_spans(sims: DataFrame, segs: DataFrame) -> DataFrame:
     for s in "ab":
-        sims = sims.join(segs.select("piece_id", F.col("seg").alias(s), F.col("start").alias(f"{s}0"), F.col("end").alias(f"{s}1")), ["piece_id", s])
+        sims = sims.join(segs.select("piece_id", F.col("seg").alias(s), F.col("scale").alias(f"{s}_scale"), F.col("start").alias(f"{s}0"), F.col("end").alias(f"{s}1")), ["piece_id", s])
     return sims
 
 
+def neighbours(sims: DataFrame, segs: DataFrame, k: int) -> DataFrame:
+    """(piece_id, a, b, sim, rank): pairs a < b with the better of the two ranks that they give each other by similarity (rounded to 6 digits, ties to
+    the smaller segment). Pairs of similarity 0 are there only where a segment has fewer than k others."""
+    pairs = sims.select("piece_id", "a", "b", F.round("sim", 6).alias("sim"))
+    both = pairs.unionByName(pairs.select("piece_id", F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
+    n = both.groupBy("piece_id", "a").agg(F.count(F.lit(1)).alias("n"))
+    short = segs.select("piece_id", F.col("seg").alias("a"), F.count(F.lit(1)).over(Window.partitionBy("piece_id")).alias("all")).join(n, ["piece_id", "a"], "left").where(F.coalesce("n", F.lit(0)) < k)
+    # Of the first 2k + 1 segments at most k are the segment itself or ranked already.
+    fill = short.select("piece_id", "a", F.explode(F.sequence(F.lit(0), F.least(F.lit(2 * k), F.col("all") - 1).cast("int"))).alias("b")).where("a <> b")
+    fill = fill.join(both.select("piece_id", "a", "b"), ["piece_id", "a", "b"], "left_anti").withColumn("sim", F.lit(0.0))
+    ranked = both.unionByName(fill).withColumn("rank", F.row_number().over(Window.partitionBy("piece_id", "a").orderBy(F.desc("sim"), "b")))
+    ranked = ranked.where((F.col("sim") > 0) | (F.col("rank") <= k))
+    return ranked.groupBy("piece_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("sim").alias("sim"), F.min("rank").alias("rank"))
+
+
 def edges(sims: DataFrame, segs: DataFrame, cfg: Config) -> DataFrame:
-    """Edges (piece_id, a, b, sim) of pairs that are similar enough (rounded to 6 digits) and don't overlap too much; with top_k, those among
-    the k most similar of one of their ends."""
-    out = with_spans(sims, segs).withColumn("sim", F.round("sim", 6))
-    out = out.where((F.col("sim") >= cfg.similarity) & (time_iou(F.col("a0"), F.col("a1"), F.col("b0"), F.col("b1")) < cfg.max_iou)).select("piece_id", "a", "b", "sim")
-    if cfg.top_k:
-        both = out.unionByName(out.select("piece_id", F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
-        rank = F.row_number().over(Window.partitionBy("piece_id", "a").orderBy(F.desc("sim"), "b"))
-        top = both.withColumn("rank", rank).where(F.col("rank") <= cfg.top_k)
-        out = top.select("piece_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sim").distinct()
-    return out
+    """Edges (piece_id, a, b, sim) of pairs that don't overlap too much (with same_scale: of one scale) and are similar enough (rounded to 6 digits) or, with top_k,
+    among the k most similar of one of their ends; ranks count all segments, whatever their scale and overlap."""
+    pairs = neighbours(sims, segs, cfg.top_k) if cfg.top_k else sims.withColumn("sim", F.round("sim", 6)).withColumn("rank", F.lit(1))
+    near = (F.col("sim") >= cfg.similarity) | (F.col("rank") <= cfg.top_k)
+    out = with_spans(pairs, segs).where(near & (time_iou(F.col("a0"), F.col("a1"), F.col("b0"), F.col("b1")) < cfg.max_iou))
+    return (out.where("a_scale = b_scale") if cfg.same_scale else out).select("piece_id", "a", "b", "sim")
 
 
 def clusters(graph: DataFrame) -> DataFrame:
@@ -178,15 +190,14 @@ def subgraph(graph: DataFrame, clustered: DataFrame) -> DataFrame:
     return out.select("piece_id", "a", "b", "sim", (F.col("in_a").isNotNull() & F.col("in_b").isNotNull()).alias("inner"))
 
 
-def sweep_top(sims: DataFrame, segs: DataFrame, thresholds: Sequence[float], ious: Sequence[float], tops: Sequence[int]) -> DataFrame:
-    """Edges of each piece for every similarity, overlap bound and number of neighbours (0: all): (piece_id, similarity, iou, top_k, n_edges, n_segments)."""
-    grid = F.array(*(F.struct(F.lit(float(s)).alias("similarity"), F.lit(float(i)).alias("iou")) for s in thresholds for i in ious))
-    pairs = with_spans(sims, segs).select("piece_id", "a", "b", F.round("sim", 6).alias("sim"), time_iou(F.col("a0"), F.col("a1"), F.col("b0"), F.col("b1")).alias("span_iou"), F.explode(grid).alias("p"))
-    pairs = pairs.where((F.col("sim") >= F.col("p.similarity")) & (F.col("span_iou") < F.col("p.iou"))).select("piece_id", "p.similarity", "p.iou", "a", "b", "sim")
-    both = pairs.unionByName(pairs.select("piece_id", "similarity", "iou", F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
-    rank = F.row_number().over(Window.partitionBy("piece_id", "similarity", "iou", "a").orderBy(F.desc("sim"), "b"))
-    kept = both.withColumn("rank", rank).withColumn("top_k", F.explode(F.array(*map(F.lit, tops)))).where((F.col("top_k") == 0) | (F.col("rank") <= F.col("top_k")))
+def sweep_top(sims: DataFrame, segs: DataFrame, thresholds: Sequence[float], ious: Sequence[float], tops: Sequence[int], same_scale: bool = True) -> DataFrame:
+    """Edges of each piece for every similarity, overlap bound and number of neighbours (0: none): (piece_id, similarity, iou, top_k, n_edges,
+    n_segments). A pair counts if it is similar enough or ranks high enough, as in edges."""
+    grid = F.array(*(F.struct(F.lit(float(s)).alias("similarity"), F.lit(float(i)).alias("iou"), F.lit(k).alias("top_k")) for s in thresholds for i in ious for k in tops))
+    pairs = with_spans(neighbours(sims, segs, max(tops)), segs)
+    pairs = (pairs.where("a_scale = b_scale") if same_scale else pairs).select("piece_id", "a", "b", "sim", "rank", time_iou(F.col("a0"), F.col("a1"), F.col("b0"), F.col("b1")).alias("span_iou"), F.explode(grid).alias("p"))
+    kept = pairs.where(((F.col("sim") >= F.col("p.similarity")) | (F.col("rank") <= F.col("p.top_k"))) & (F.col("span_iou") < F.col("p.iou")))
     key = ["piece_id", "similarity", "iou", "top_k"]
-    n = kept.select(*key, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    n = kept.select("piece_id", "p.*", "a", "b")
     ends = n.select(*key, F.explode(F.array("a", "b")).alias("seg"))
     return n.groupBy(*key).agg(F.count(F.lit(1)).alias("n_edges")).join(ends.groupBy(*key).agg(F.count_distinct("seg").alias("n_segments")), key)

@@ -80,7 +80,8 @@ def piece_audit(spark: SparkSession, d: str) -> DataFrame:
 
 def audit_totals(spark: SparkSession, d: str) -> DataFrame:
     s = au.piece_summary(_motifs(spark, d), near=0.3, subset=0.5)
-    return _rounded(s.agg(F.count(F.lit(1)).alias("n_pieces"), F.sum("n_motifs").alias("n_motifs"), F.avg("mean_span").alias("mean_span"), F.sum("near_duplicates").alias("near_duplicates")))
+    means = [F.avg(c).alias(c) for c in ("n_motifs", "n_occurrences", "mean_jaccard", "mean_iou")]
+    return _rounded(s.agg(F.count(F.lit(1)).alias("n_pieces"), *means, *(F.sum(c).alias(c) for c in ("near_duplicates", "subset_pairs", "n_sparse"))))
 
 
 def best_motif_overlap(spark: SparkSession, d: str) -> DataFrame:
@@ -181,11 +182,15 @@ OVERLAPS = MOTIFS + """,
 k AS (SELECT x.piece_id, x.motif AS ma, x.occ AS oa, y.motif AS mb, y.occ AS ob, count(*) AS shared FROM mo x JOIN mo y ON x.piece_id = y.piece_id AND x.onset = y.onset AND x.pitch = y.pitch AND x.motif < y.motif GROUP BY 1, 2, 3, 4, 5),
 o AS (SELECT k.*, shared / (a.n + b.n - shared) AS jaccard, CASE WHEN greatest(a.t1, b.t1) > least(a.t0, b.t0) THEN greatest(0, least(a.t1, b.t1) - greatest(a.t0, b.t0)) / (greatest(a.t1, b.t1) - least(a.t0, b.t0)) ELSE 0 END AS iou
   FROM k JOIN sp a ON a.piece_id = k.piece_id AND a.motif = ma AND a.occ = oa JOIN sp b ON b.piece_id = k.piece_id AND b.motif = mb AND b.occ = ob),
-bo AS (SELECT piece_id, ma, mb, jaccard, iou FROM (SELECT *, row_number() OVER (PARTITION BY piece_id, ma, mb ORDER BY jaccard DESC, iou DESC) AS q FROM o) WHERE q = 1)"""
+bj AS (SELECT piece_id, ma, mb, jaccard, iou FROM (SELECT *, row_number() OVER (PARTITION BY piece_id, ma, mb ORDER BY jaccard DESC, iou DESC) AS q FROM o) WHERE q = 1),
+bt AS (SELECT a.piece_id, a.motif AS ma, b.motif AS mb, max((least(a.t1, b.t1) - greatest(a.t0, b.t0)) / (greatest(a.t1, b.t1) - least(a.t0, b.t0))) AS iou FROM sp a JOIN sp b ON a.piece_id = b.piece_id AND a.motif < b.motif AND least(a.t1, b.t1) > greatest(a.t0, b.t0) GROUP BY 1, 2, 3),
+bo AS (SELECT * FROM bj UNION ALL SELECT piece_id, ma, mb, 0, iou FROM bt WHERE NOT EXISTS (SELECT 1 FROM bj WHERE bj.piece_id = bt.piece_id AND bj.ma = bt.ma AND bj.mb = bt.mb))"""
 SUMMARY = OVERLAPS + """,
-su AS (SELECT s.*, coalesce(mean_overlap, 0) AS mean_overlap, coalesce(nd, 0) AS near_duplicates, coalesce(ni, 0) AS near_identical FROM
- (SELECT piece_id, count(DISTINCT motif) AS n_motifs, count(*) AS n_occurrences, min(span) AS min_span, avg(span) AS mean_span, max(span) AS max_span, min(n) AS min_notes, avg(n) AS mean_notes, max(n) AS max_notes, CAST(sum(CASE WHEN span / n > 4.0 THEN 1 ELSE 0 END) AS BIGINT) AS n_sparse FROM sp GROUP BY 1) s
- LEFT JOIN (SELECT piece_id, avg(jaccard) AS mean_overlap, CAST(sum(CASE WHEN jaccard >= 0.3 AND iou >= 0.3 THEN 1 ELSE 0 END) AS BIGINT) AS nd, CAST(sum(CASE WHEN jaccard >= 0.5 AND iou >= 0.5 THEN 1 ELSE 0 END) AS BIGINT) AS ni FROM bo GROUP BY 1) USING (piece_id))"""
+mm AS (SELECT piece_id, motif, count(*) AS k, min(span) AS s0, avg(span) AS s, max(span) AS s1, min(n) AS n0, avg(n) AS n, max(n) AS n1 FROM sp GROUP BY 1, 2),
+pm AS (SELECT piece_id, count(*) AS n_motifs, CAST(sum(k) AS BIGINT) AS n_occurrences, min(s0) AS min_span, avg(s) AS mean_span, max(s1) AS max_span, min(n0) AS min_notes, avg(n) AS mean_notes, max(n1) AS max_notes, count(*) FILTER (s1 / n >= 4.0) AS n_sparse FROM mm GROUP BY 1),
+ap AS (SELECT x.piece_id, coalesce(jaccard, 0) AS jaccard, coalesce(iou, 0) AS iou FROM mm x JOIN mm y ON x.piece_id = y.piece_id AND x.motif < y.motif LEFT JOIN bo ON bo.piece_id = x.piece_id AND ma = x.motif AND mb = y.motif),
+pa AS (SELECT piece_id, avg(jaccard) AS mj, avg(iou) AS mi, count(*) FILTER (jaccard >= 0.3 OR iou >= 0.3) AS nd, count(*) FILTER (jaccard >= 0.5 OR iou >= 0.5) AS ns FROM ap GROUP BY 1),
+su AS (SELECT pm.*, coalesce(mj, 0) AS mean_jaccard, coalesce(mi, 0) AS mean_iou, coalesce(nd, 0) AS near_duplicates, coalesce(ns, 0) AS subset_pairs FROM pm LEFT JOIN pa USING (piece_id))"""
 SCALE = "CASE WHEN {0} <= 4 THEN '4' WHEN {0} <= 8 THEN '8' WHEN {0} <= 16 THEN '16' WHEN {0} <= 24 THEN '24' ELSE '>24' END"
 
 ORACLE = {
@@ -209,8 +214,8 @@ r AS (SELECT piece_id, avg(CASE WHEN EXISTS (SELECT 1 FROM ef WHERE ef.piece_id
 p AS (SELECT piece_id, avg(CASE WHEN EXISTS (SELECT 1 FROM rf WHERE ef.piece_id = rf.piece_id AND ef.form = rf.form) THEN 1.0 ELSE 0 END) AS precision FROM ef GROUP BY 1)
 SELECT piece_id, round(recall, 6) AS recall, round(coalesce(precision, 0), 6) AS precision FROM r LEFT JOIN p USING (piece_id)""",
     "best_piece": f"WITH {SETS}{MATRIX}{LAYERS} SELECT piece_id, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM f ORDER BY round(f.f1, 9) DESC, piece_id LIMIT 1",
-    "piece_audit": f"WITH {SUMMARY} SELECT piece_id, n_motifs, n_occurrences, min_span, round(mean_span, 6) AS mean_span, max_span, min_notes, round(mean_notes, 6) AS mean_notes, max_notes, n_sparse, round(mean_overlap, 6) AS mean_overlap, near_duplicates, near_identical FROM su",
-    "audit_totals": f"WITH {SUMMARY} SELECT count(*) AS n_pieces, CAST(sum(n_motifs) AS BIGINT) AS n_motifs, round(avg(mean_span), 6) AS mean_span, CAST(sum(near_duplicates) AS BIGINT) AS near_duplicates FROM su",
+    "piece_audit": f"WITH {SUMMARY} SELECT piece_id, n_motifs, n_occurrences, min_span, round(mean_span, 6) AS mean_span, max_span, min_notes, round(mean_notes, 6) AS mean_notes, max_notes, n_sparse, round(mean_jaccard, 6) AS mean_jaccard, round(mean_iou, 6) AS mean_iou, near_duplicates, subset_pairs FROM su",
+    "audit_totals": f"WITH {SUMMARY} SELECT count(*) AS n_pieces, round(avg(n_motifs), 6) AS n_motifs, round(avg(n_occurrences), 6) AS n_occurrences, round(avg(mean_jaccard), 6) AS mean_jaccard, round(avg(mean_iou), 6) AS mean_iou, CAST(sum(near_duplicates) AS BIGINT) AS near_duplicates, CAST(sum(subset_pairs) AS BIGINT) AS subset_pairs, CAST(sum(n_sparse) AS BIGINT) AS n_sparse FROM su",
     "best_motif_overlap": f"WITH {OVERLAPS} SELECT piece_id, ma, mb, round(jaccard, 6) AS jaccard, round(iou, 6) AS iou FROM bo",
     "within_motif_overlap": f"""WITH {MOTIFS}, d AS (SELECT * FROM mo UNION ALL SELECT piece_id, motif, 100 + CAST(floor(onset / 20) AS BIGINT), onset, pitch FROM mo),
 n AS (SELECT *, row_number() OVER (PARTITION BY piece_id, motif ORDER BY n DESC, occ) AS q FROM (SELECT piece_id, motif, occ, count(*) AS n FROM d GROUP BY 1, 2, 3)),

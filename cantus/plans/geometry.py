@@ -137,6 +137,11 @@ inb AS (SELECT b.piece_id, b.d_onset, b.d_pitch, count(*) AS in_box FROM box b J
 m AS (SELECT t.*, coverage, coverage / (size + n_translators - 1) AS cr, size / in_box AS compactness, a1 - a0 AS width, (a1 - a0) * (b1 - b0) AS volume
   FROM tec t JOIN cov USING (piece_id, d_onset, d_pitch) JOIN box USING (piece_id, d_onset, d_pitch) JOIN inb USING (piece_id, d_onset, d_pitch)),
 best AS (SELECT *, row_number() OVER (PARTITION BY piece_id ORDER BY cr DESC, compactness DESC, coverage DESC, size DESC, width, volume, d_onset, d_pitch) AS rank FROM m)"""
+SALIENT = """si AS (SELECT *, row_number() OVER (PARTITION BY piece_id ORDER BY onset, pitch) AS idx FROM notes),
+pos AS (SELECT p.piece_id, p.d_onset, p.d_pitch, t.t_onset, t.t_pitch, max(si.idx) - min(si.idx) + 1 AS span, any_value(p.size) AS size FROM tp p JOIN trans t USING (piece_id, d_onset, d_pitch) JOIN si ON si.piece_id = p.piece_id AND si.onset = p.onset + t.t_onset AND si.pitch = p.pitch + t.t_pitch GROUP BY 1, 2, 3, 4, 5),
+mc AS (SELECT piece_id, d_onset, d_pitch, max(size / span) AS c FROM pos GROUP BY 1, 2, 3),
+sj AS (SELECT m.piece_id, m.d_onset, m.d_pitch, cr, c, min(cr) OVER w AS r0, max(cr) OVER w AS r1, min(c) OVER w AS c0, max(c) OVER w AS c1 FROM m JOIN mc USING (piece_id, d_onset, d_pitch) WINDOW w AS (PARTITION BY m.piece_id)),
+sal AS (SELECT piece_id, d_onset, d_pitch, c, (CASE WHEN r1 > r0 THEN (cr - r0) / (r1 - r0) ELSE 0 END) * (CASE WHEN c1 > c0 THEN (c - c0) / (c1 - c0) ELSE 0 END) AS salience FROM sj)"""
 FILTERED = f"WITH {MEASURES} SELECT piece_id, d_onset, d_pitch, coverage, round(cr, 6) AS cr FROM m WHERE cr >= {LEAST_CR}"
 
 ORACLE = {
@@ -160,11 +165,7 @@ SELECT piece_id, d_onset, d_pitch, size, string_agg((onset - po) || ':' || (pitc
     "tec_conjugates": f"""WITH {TECS}, f AS (SELECT piece_id, d_onset, d_pitch, min(onset) AS o0, arg_min(pitch, onset * 1000 + pitch) AS p0 FROM tp GROUP BY 1, 2, 3)
 SELECT t.piece_id, t.d_onset, t.d_pitch, string_agg((o0 + t_onset) || ':' || (p0 + t_pitch), ' ' ORDER BY t_onset, t_pitch) AS pattern, any_value(o.shape) AS translators
 FROM trans t JOIN f USING (piece_id, d_onset, d_pitch) JOIN one o USING (piece_id, d_onset, d_pitch) WHERE o.size >= 2 GROUP BY 1, 2, 3""",
-    "tec_salience": f"""WITH {MEASURES}, i AS (SELECT *, row_number() OVER (PARTITION BY piece_id ORDER BY onset, pitch) AS idx FROM notes),
-pos AS (SELECT p.piece_id, p.d_onset, p.d_pitch, t.t_onset, t.t_pitch, max(i.idx) - min(i.idx) + 1 AS span, any_value(p.size) AS size FROM tp p JOIN trans t USING (piece_id, d_onset, d_pitch) JOIN i ON i.piece_id = p.piece_id AND i.onset = p.onset + t.t_onset AND i.pitch = p.pitch + t.t_pitch GROUP BY 1, 2, 3, 4, 5),
-mc AS (SELECT piece_id, d_onset, d_pitch, max(size / span) AS c FROM pos GROUP BY 1, 2, 3),
-j AS (SELECT m.piece_id, m.d_onset, m.d_pitch, cr, c, min(cr) OVER w AS r0, max(cr) OVER w AS r1, min(c) OVER w AS c0, max(c) OVER w AS c1 FROM m JOIN mc USING (piece_id, d_onset, d_pitch) WINDOW w AS (PARTITION BY m.piece_id))
-SELECT piece_id, d_onset, d_pitch, round(c, 6) AS max_compactness, round((CASE WHEN r1 > r0 THEN (cr - r0) / (r1 - r0) ELSE 0 END) * (CASE WHEN c1 > c0 THEN (c - c0) / (c1 - c0) ELSE 0 END), 5) AS salience FROM j""",
+    "tec_salience": f"WITH {MEASURES}, {SALIENT} SELECT piece_id, d_onset, d_pitch, round(c, 6) AS max_compactness, round(salience, 5) AS salience FROM sal",
     "covered_sets": f"WITH {COVER}, s AS (SELECT piece_id, d_onset, d_pitch, string_agg(onset || ':' || pitch, ' ' ORDER BY onset, pitch) AS points FROM cover GROUP BY 1, 2, 3) SELECT piece_id, points, count(*) AS n_tecs FROM s GROUP BY 1, 2",
     "tec_membership": f"WITH {MEASURES} SELECT a.piece_id, round(avg(CASE WHEN EXISTS (SELECT 1 FROM m b WHERE b.cr >= {LEAST_CR} AND b.piece_id = a.piece_id AND b.size = a.size AND b.n_translators = a.n_translators AND b.coverage = a.coverage) THEN 1 ELSE 0 END), 6) AS share FROM m a GROUP BY 1",
     "occurrences": f"WITH {MEASURES} SELECT t.piece_id, t.t_onset, t.t_pitch, p.onset + t.t_onset AS onset, p.pitch + t.t_pitch AS pitch FROM best b JOIN tp p USING (piece_id, d_onset, d_pitch) JOIN trans t USING (piece_id, d_onset, d_pitch) WHERE b.rank = 1",

@@ -62,7 +62,27 @@ def top_duplicates(spark: SparkSession, d: str) -> DataFrame:
 
 def top_sparse(spark: SparkSession, d: str) -> DataFrame:
     out = audit.top_sparse(evaluation._motifs(spark, d), 10, 4.0)
-    return out.select(F.col("place").cast("long").alias("place"), "piece_id", "motif", "occ", F.round("ratio", 6).alias("ratio"))
+    return out.select(F.col("place").cast("long").alias("place"), "piece_id", "motif", F.round("ratio", 6).alias("ratio"))
+
+
+def top_explosions(spark: SparkSession, d: str) -> DataFrame:
+    """Pieces with most motifs: of onsets modulo 7 of the loudest half of pitches, so that pieces differ."""
+    m = evaluation._motifs(spark, d).where("pitch >= 72").withColumn("motif", F.col("motif") * 7 + F.col("onset") % 7)
+    return audit.top_explosions(m, 8).select(F.col("place").cast("long").alias("place"), "piece_id", "n_motifs")
+
+
+def _cases(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Motifs in windows of 28 steps, and as cases of every piece its motifs 1 and 11 together, and motif 2 alone."""
+    m = evaluation._motifs(spark, d)
+    p = m.select("piece_id").distinct()
+    pair = m.where("motif = 1").select("piece_id").distinct().join(m.where("motif = 11").select("piece_id").distinct(), "piece_id", "left_semi")
+    both = pair.select((2 * F.col("piece_id")).alias("case"), "piece_id", F.lit(1).cast("long").alias("ma"), F.lit(11).cast("long").alias("mb"))
+    alone = p.select((2 * F.col("piece_id") + 1).alias("case"), "piece_id", F.lit(2).cast("long").alias("ma"), F.lit(None).cast("long").alias("mb"))
+    return m, both.unionByName(alone)
+
+
+def audit_views(spark: SparkSession, d: str) -> DataFrame:
+    return audit.views(*_cases(spark, d), pad=1.0, context=3.0)
 
 
 def audit_case(spark: SparkSession, d: str) -> DataFrame:
@@ -94,7 +114,7 @@ def qualified_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def retrieval_sweep_top(spark: SparkSession, d: str) -> DataFrame:
-    sims, segs = retrieval._sims(spark, d)
+    sims, segs = retrieval._sims(spark, d, retrieval.TOP)
     out = r.sweep_top(sims, segs, (0.8, 0.9), (0.25, 0.5), (0, 1, 5))
     return out.select("piece_id", "similarity", "iou", F.col("top_k").cast("long").alias("top_k"), "n_edges", "n_segments")
 
@@ -120,7 +140,7 @@ def default_motifs(spark: SparkSession, d: str) -> DataFrame:
     return discover.discover(notes_view(spark, d), "LR_DEFAULT")
 
 
-QUERIES = {f.__name__: f for f in (velocity_bins, key_numbers, note_boundaries, logged_metrics, price_test, label_contrast, top_duplicates, top_sparse, audit_case, span_filled_motifs, aligned_labels, pitch_variants, qualified_pieces, retrieval_sweep_top, scored_melody, siatec_motifs, siatec_cs_motifs, default_motifs)}
+QUERIES = {f.__name__: f for f in (velocity_bins, key_numbers, note_boundaries, logged_metrics, price_test, label_contrast, top_duplicates, top_sparse, top_explosions, audit_views, audit_case, span_filled_motifs, aligned_labels, pitch_variants, qualified_pieces, retrieval_sweep_top, scored_melody, siatec_motifs, siatec_cs_motifs, default_motifs)}
 
 
 def _area(upto: str) -> str:
@@ -150,7 +170,17 @@ SELECT round(t, 5) AS t, round(CASE WHEN t >= 0 THEN 0.5 - h ELSE 0.5 + h END, 5
 p AS (SELECT a.label = b.label AS same, CASE WHEN a.n < 1e-9 OR b.n < 1e-9 THEN 0 ELSE list_dot_product(a.v, b.v) / (a.n * b.n) END AS c FROM e a JOIN e b ON a.vec_id < b.vec_id)
 SELECT count(*) FILTER (same) AS same_pairs, count(*) FILTER (NOT same) AS different_pairs, round(avg(c) FILTER (same), 5) AS same_mean, round(avg(c) FILTER (NOT same), 5) AS different_mean FROM p""",
     "top_duplicates": f"WITH {DUPLICATES} SELECT place, piece_id, ma, mb, round(jaccard, 6) AS jaccard, round(iou, 6) AS iou FROM td WHERE place <= 10",
-    "top_sparse": f"WITH {evaluation.MOTIFS}, x AS (SELECT piece_id, motif, occ, span / n AS ratio FROM sp WHERE span / n > 4.0) SELECT row_number() OVER (ORDER BY ratio DESC, piece_id, motif, occ) AS place, piece_id, motif, occ, round(ratio, 6) AS ratio FROM x QUALIFY place <= 10",
+    "top_sparse": f"WITH {evaluation.SUMMARY} SELECT row_number() OVER (ORDER BY s1 / n DESC, piece_id, motif) AS place, piece_id, motif, round(s1 / n, 6) AS ratio FROM mm WHERE s1 / n >= 4.0 QUALIFY place <= 10",
+    "top_explosions": f"WITH {evaluation.MOTIFS}, c AS (SELECT piece_id, count(DISTINCT motif * 7 + onset % 7) AS n_motifs FROM mo WHERE pitch >= 72 GROUP BY 1) SELECT row_number() OVER (ORDER BY n_motifs DESC, piece_id DESC) AS place, piece_id, n_motifs FROM c QUALIFY place <= 8",
+    "audit_views": f"""WITH RECURSIVE {evaluation.OVERLAPS},
+pr AS (SELECT a.piece_id, a.occ AS oa, b.occ AS ob, a.t0 AS a0, a.t1 AS a1, b.t0 AS b0, b.t1 AS b1, coalesce(o.jaccard, 0) AS j, CASE WHEN greatest(a.t1, b.t1) > least(a.t0, b.t0) THEN greatest(0, least(a.t1, b.t1) - greatest(a.t0, b.t0)) / (greatest(a.t1, b.t1) - least(a.t0, b.t0)) ELSE 0 END AS i
+  FROM sp a JOIN sp b ON a.piece_id = b.piece_id AND a.motif = 1 AND b.motif = 11 LEFT JOIN o ON o.piece_id = a.piece_id AND o.ma = 1 AND o.mb = 11 AND o.oa = a.occ AND o.ob = b.occ),
+fo AS (SELECT 2 * piece_id AS c, piece_id, least(a0, b0) - 1.0 AS lo, greatest(a1, b1) + 1.0 AS hi FROM pr QUALIFY row_number() OVER (PARTITION BY piece_id ORDER BY j DESC, i DESC, oa, ob) = 1
+  UNION ALL (SELECT 2 * piece_id + 1, piece_id, t0 - 1.0, t1 + 1.0 FROM sp WHERE motif = 2 QUALIFY row_number() OVER (PARTITION BY piece_id ORDER BY n DESC, span, occ) = 1)),
+s1 AS (SELECT fo.c, row_number() OVER (PARTITION BY fo.c ORDER BY sp.motif, sp.occ) AS k, count(*) OVER (PARTITION BY fo.c) AS n, t0, t1 FROM fo JOIN sp ON sp.piece_id = fo.piece_id AND (fo.c % 2 = 0 AND sp.motif IN (1, 11) OR fo.c % 2 = 1 AND sp.motif = 2)),
+st AS (SELECT c, piece_id, 0 AS nr, lo, hi FROM fo
+  UNION ALL SELECT st.c, st.piece_id, st.nr + 1, CASE WHEN t1 >= lo - 3.0 AND t0 <= hi + 3.0 THEN least(lo, t0 - 1.0) ELSE lo END, CASE WHEN t1 >= lo - 3.0 AND t0 <= hi + 3.0 THEN greatest(hi, t1 + 1.0) ELSE hi END FROM st JOIN s1 ON s1.c = st.c AND s1.k = st.nr % s1.n + 1 AND st.nr < 3 * s1.n)
+SELECT c AS "case", piece_id, lo::DOUBLE AS start, hi::DOUBLE AS "end" FROM st QUALIFY row_number() OVER (PARTITION BY c ORDER BY nr DESC) = 1""",
     "audit_case": f"WITH {DUPLICATES} SELECT m.piece_id, m.motif, m.occ, m.onset, m.pitch FROM mo m JOIN td ON td.piece_id = m.piece_id AND m.motif IN (td.ma, td.mb) WHERE place = 3",
     "span_filled_motifs": f"WITH {evaluation.MOTIFS} SELECT s.piece_id, s.motif, s.occ, count(*) AS n, sum(n.pitch)::BIGINT AS pitches FROM sp s JOIN (SELECT DISTINCT piece_id, onset, pitch FROM anno) n ON n.piece_id = s.piece_id AND n.onset BETWEEN s.t0 AND s.t1 GROUP BY 1, 2, 3",
     "aligned_labels": f"""WITH {music.WORDS}, c AS (SELECT w.piece_id, CAST(floor((w.w + 8) / 32) AS BIGINT) AS chunk, (w.w + 8) % 32 AS pos, CASE WHEN a.type = 'view' THEN 3 ELSE 1 END AS label FROM w JOIN anno a USING (piece_id, onset, pitch)),
@@ -159,12 +189,10 @@ p AS (SELECT DISTINCT piece_id, chunk, unnest(range(32)) AS pos FROM c) SELECT p
 SELECT piece_id, semitones, "offset", count(*) AS n, sum(CASE WHEN kind = '' THEN greatest(24, least(107, pitch + semitones)) ELSE pitch END)::BIGINT AS pitches FROM ty, v, o GROUP BY 1, 2, 3""",
     "qualified_pieces": f"""WITH {ANNOTATED_SQL}, s AS (SELECT piece_id, (3 + piece_id % 2)::BIGINT AS meter, avg((pitch % 4 = 0)::INT) AS major, avg((pitch % 3 = 0)::INT) AS minor FROM anno GROUP BY 1, 2)
 SELECT piece_id, meter, round(CASE WHEN meter = 4 THEN major ELSE minor END, 6) AS share, CASE WHEN meter = 4 THEN abs(0.25 - major) < 0.03 ELSE abs(0.33 - minor) < 0.03 END AS qualified FROM s""",
-    "retrieval_sweep_top": f"""WITH {retrieval.EDGES},
-g AS (SELECT q.piece_id, q.a, q.b, q.sim, t.similarity, i.iou FROM sp q, (SELECT unnest([0.8, 0.9])::DOUBLE AS similarity) t, (SELECT unnest([0.25, 0.5])::DOUBLE AS iou) i WHERE q.sim >= t.similarity AND q.iou < i.iou),
-bo AS (SELECT * FROM g UNION ALL SELECT piece_id, b, a, sim, similarity, iou FROM g), rk AS (SELECT *, row_number() OVER (PARTITION BY piece_id, similarity, iou, a ORDER BY sim DESC, b) AS rank FROM bo),
-kp AS (SELECT DISTINCT piece_id, similarity, iou, k.top_k, least(a, b) AS a, greatest(a, b) AS b FROM rk, (SELECT unnest([0, 1, 5])::BIGINT AS top_k) k WHERE k.top_k = 0 OR rank <= k.top_k),
-nd AS (SELECT piece_id, similarity, iou, top_k, count(DISTINCT x) AS n_segments FROM (SELECT piece_id, similarity, iou, top_k, unnest([a, b]) AS x FROM kp) GROUP BY 1, 2, 3, 4)
-SELECT piece_id, similarity, iou, top_k, count(*) AS n_edges, any_value(n_segments) AS n_segments FROM kp JOIN nd USING (piece_id, similarity, iou, top_k) GROUP BY 1, 2, 3, 4""",
+    "retrieval_sweep_top": f"""WITH {retrieval.RANKED},
+g AS (SELECT piece_id, a, b, similarity, t.iou, top_k FROM nb, (SELECT unnest([0.8, 0.9])::DOUBLE AS similarity), (SELECT unnest([0.25, 0.5])::DOUBLE AS iou) t, (SELECT unnest([0, 1, 5])::BIGINT AS top_k) WHERE (sim >= similarity OR rank <= top_k) AND nb.iou < t.iou AND same),
+nd AS (SELECT piece_id, similarity, iou, top_k, count(DISTINCT x) AS n_segments FROM (SELECT piece_id, similarity, iou, top_k, unnest([a, b]) AS x FROM g) GROUP BY 1, 2, 3, 4)
+SELECT piece_id, similarity, iou, top_k, count(*) AS n_edges, any_value(n_segments) AS n_segments FROM g JOIN nd USING (piece_id, similarity, iou, top_k) GROUP BY 1, 2, 3, 4""",
     "scored_melody": f"""WITH {ENCODED}, sc AS ({' UNION ALL '.join(f"SELECT piece_id, w, {n} AS run, CAST(floor(w / 32) AS BIGINT) AS chunk, " + ', '.join(f'{_score(s, k)} AS s{k}' for k in range(4)) + ' FROM tok' for n, s in enumerate(SCORERS))}),
 li AS (SELECT *, least(0, max(greatest(s1, s2) - greatest(s0, s3)) OVER (PARTITION BY piece_id, run, chunk)) AS lift FROM sc),
 su AS (SELECT piece_id, w, round(sum(s0), 6) AS s0, round(sum(s1 - lift), 6) AS s1, round(sum(s2 - lift), 6) AS s2, round(sum(s3), 6) AS s3 FROM li GROUP BY 1, 2),

@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import scalar as fn
 from ..operators import cotext, cover, prep, tokens
 from ..session import ANNOTATED_SQL, annotated_notes, notes_view, table
-from .geometry import MEASURES, PAIRS
+from .geometry import MEASURES, PAIRS, SALIENT
+
+#: New points that a class of a cover by gain must add: a third of the published 15, as pieces have some 60 points here.
+LEAST_NEW = 5
 
 
 def compress_cover(spark: SparkSession, d: str) -> DataFrame:
@@ -30,7 +33,7 @@ def cosiatec_cover(spark: SparkSession, d: str) -> DataFrame:
 
 
 def forth_cover(spark: SparkSession, d: str) -> DataFrame:
-    return cover.forth(notes_view(spark, d), least_gain=2)
+    return cover.forth(notes_view(spark, d), least_new=LEAST_NEW)
 
 
 def compact_parts(spark: SparkSession, d: str) -> DataFrame:
@@ -223,19 +226,37 @@ sn AS (SELECT piece_id, onset * 240 + pitch * 13 % 120 AS s, onset * 240 + pitch
 
 
 
+COVERS = MEASURES + """,
+ix AS (SELECT *, CAST(row_number() OVER (PARTITION BY piece_id ORDER BY onset, pitch) - 1 AS INTEGER) AS k FROM notes),
+cb AS (SELECT piece_id, d_onset, d_pitch, bitstring_agg(k, 0, 1023) AS bits FROM cover JOIN ix USING (piece_id, onset, pitch) GROUP BY 1, 2, 3),
+none AS (SELECT piece_id, bitstring_agg(k, 0, 1023) & ~bitstring_agg(k, 0, 1023) AS bits FROM ix GROUP BY 1)"""
+
+
 def _compress(less: int) -> str:
-    return f"""WITH RECURSIVE {MEASURES},
-cl AS (SELECT piece_id, d_onset, d_pitch, list(onset || ':' || pitch) AS pts FROM cover GROUP BY 1, 2, 3),
-b AS (SELECT piece_id, d_onset, d_pitch, rank, size + n_translators - {less} AS need, pts FROM best JOIN cl USING (piece_id, d_onset, d_pitch)),
-r AS (SELECT piece_id, count(*) AS n, 0::BIGINT AS rank, []::VARCHAR[] AS have, 0 AS step, 0::BIGINT AS d_onset, 0::BIGINT AS d_pitch, 0 AS new_points FROM notes GROUP BY 1
-UNION ALL SELECT piece_id, n, rank, CASE WHEN len(new) > need THEN list_concat(have, new) ELSE have END, CASE WHEN len(new) > need THEN step + 1 ELSE step END, d_onset, d_pitch, CASE WHEN len(new) > need THEN len(new)::INTEGER ELSE 0 END
-  FROM (SELECT r.piece_id, r.n, b.rank, r.have, r.step, b.d_onset, b.d_pitch, b.need, list_filter(b.pts, lambda p: NOT list_contains(r.have, p)) AS new FROM r JOIN b ON b.piece_id = r.piece_id AND b.rank = r.rank + 1 WHERE len(r.have) < r.n) x)
-SELECT piece_id, d_onset, d_pitch, false AS conjugate, step - 1 AS step, new_points FROM r WHERE new_points > 0"""
+    return f"""WITH RECURSIVE {COVERS},
+b AS (SELECT piece_id, d_onset, d_pitch, rank, size + n_translators - {less} AS need, bits FROM best JOIN cb USING (piece_id, d_onset, d_pitch) WHERE bit_count(bits) > size + n_translators - {less}),
+r AS (SELECT piece_id, -1 AS step, 0::BIGINT AS rank, bits AS have, 0::BIGINT AS new FROM none
+UNION ALL (SELECT r.piece_id, r.step + 1, b.rank, r.have | b.bits, bit_count(b.bits & ~r.have)::BIGINT FROM r JOIN b ON b.piece_id = r.piece_id AND b.rank > r.rank WHERE bit_count(b.bits & ~r.have) > b.need
+  QUALIFY row_number() OVER (PARTITION BY r.piece_id ORDER BY b.rank) = 1))
+SELECT piece_id, d_onset, d_pitch, false AS conjugate, step, new::INTEGER AS new_points FROM r JOIN b USING (piece_id, rank)"""
+
+
+def _forth(least: int, overlap: float) -> str:
+    return f"""WITH RECURSIVE {COVERS}, {SALIENT},
+b AS (SELECT piece_id, d_onset, d_pitch, salience, bits FROM sal JOIN cb USING (piece_id, d_onset, d_pitch) WHERE salience > 0),
+r AS (SELECT piece_id, -1 AS step, 0::BIGINT AS d_onset, 0::BIGINT AS d_pitch, bits AS have, 0::BIGINT AS new, bits AS own, []::BIT[] AS prim, []::INTEGER[] AS steps, -1 AS primary_step FROM none
+UNION ALL (SELECT piece_id, step + 1, d_onset, d_pitch, have | bits, new, bits, CASE WHEN near IS NULL THEN list_append(prim, bits) ELSE prim END, CASE WHEN near IS NULL THEN list_append(steps, step + 1) ELSE steps END, coalesce(near, step + 1)
+  FROM (SELECT r.piece_id, r.step, b.d_onset, b.d_pitch, r.have, b.bits, bit_count(b.bits & ~r.have)::BIGINT AS new, r.prim, r.steps,
+      list_filter(list_zip(r.prim, r.steps), lambda p: bit_count(p[1] & b.bits) / bit_count(p[1]) > {overlap})[1][2] AS near
+    FROM r JOIN b ON b.piece_id = r.piece_id WHERE bit_count(b.bits & ~r.have) >= {least}
+    QUALIFY row_number() OVER (PARTITION BY r.piece_id ORDER BY bit_count(b.bits & ~r.have) * b.salience DESC, b.d_onset, b.d_pitch) = 1)))
+SELECT piece_id, d_onset, d_pitch, step, new::INTEGER AS new_points, primary_step, primary_step <> step AS secondary FROM r WHERE step >= 0"""
 
 
 ORACLE = {
     "compress_cover": _compress(1),
     "compress_cover_strict": _compress(0),
+    "forth_cover": _forth(LEAST_NEW, 0.5),
     "compact_parts": f"""WITH RECURSIVE {PAIRS}, i AS (SELECT *, row_number() OVER (PARTITION BY piece_id ORDER BY onset, pitch) - 1 AS idx FROM notes),
 p AS (SELECT piece_id, d_onset, d_pitch, idx, row_number() OVER (PARTITION BY piece_id, d_onset, d_pitch ORDER BY idx) AS k, count(*) OVER (PARTITION BY piece_id, d_onset, d_pitch) AS size FROM pairs JOIN i USING (piece_id, onset, pitch)),
 r AS (SELECT piece_id, d_onset, d_pitch, k, size, idx AS first, 1 AS n, 0 AS part, 0 AS cut FROM p WHERE k = 1

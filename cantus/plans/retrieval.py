@@ -10,15 +10,16 @@ from ..operators.graph import written
 from ..session import NOTES_SQL, notes_view
 
 CFG = r.Config()
+TOP = r.Config(top_k=5, similarity=0.6)
 
 
 def _members(spark: SparkSession, d: str) -> DataFrame:
     return r.membership(notes_view(spark, d), CFG)
 
 
-def _sims(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _sims(spark: SparkSession, d: str, cfg: r.Config = CFG) -> tuple[DataFrame, DataFrame]:
     members = _members(spark, d)
-    return r.similarities(r.vectors(r.steps(members), CFG), CFG), r.segments(members)
+    return r.similarities(r.vectors(r.steps(members), cfg), cfg), r.segments(members)
 
 
 def segment_windows(spark: SparkSession, d: str) -> DataFrame:
@@ -43,9 +44,9 @@ def similarity_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def top_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    """How many edges a top-5 graph keeps of each piece, at a lower threshold."""
-    sims, segs = _sims(spark, d)
-    return r.edges(sims, segs, r.Config(top_k=5, similarity=0.6)).groupBy("piece_id").agg(F.count(F.lit(1)).alias("n_edges"))
+    """How many edges each piece has where similarity or a place among the five nearest makes one."""
+    sims, segs = _sims(spark, d, TOP)
+    return r.edges(sims, segs, TOP).groupBy("piece_id").agg(F.count(F.lit(1)).alias("n_edges"))
 
 
 def segment_components(spark: SparkSession, d: str) -> DataFrame:
@@ -114,6 +115,12 @@ sims AS (SELECT a.piece_id, a.seg AS a, b.seg AS b, sum(a.weight * b.weight) * e
 sp AS (SELECT s.piece_id, s.a, s.b, round(s.sim, 6) AS sim, greatest(0, least(x.start + x.scale, y.start + y.scale) - greatest(x.start, y.start)) / (greatest(x.start + x.scale, y.start + y.scale) - least(x.start, y.start)) AS iou
   FROM sims s JOIN kept x ON x.piece_id = s.piece_id AND x.seg = s.a JOIN kept y ON y.piece_id = s.piece_id AND y.seg = s.b),
 e AS (SELECT piece_id, a, b, sim FROM sp WHERE sim >= 0.9 AND iou < 0.25)"""
+RANKED = VECTORS + """,
+si AS (SELECT a.piece_id, a.seg AS a, b.seg AS b, round(sum(a.weight * b.weight) * exp(-1.0 * abs(any_value(a.g) - any_value(b.g))), 6) AS sim FROM v a JOIN v b ON a.piece_id = b.piece_id AND a.bucket = b.bucket AND a.seg <> b.seg GROUP BY 1, 2, 3),
+al AS (SELECT x.piece_id, x.seg AS a, y.seg AS b, coalesce(si.sim, 0) AS sim, x.scale = y.scale AS same, greatest(0, least(x.start + x.scale, y.start + y.scale) - greatest(x.start, y.start)) / (greatest(x.start + x.scale, y.start + y.scale) - least(x.start, y.start)) AS iou
+  FROM kept x JOIN kept y ON x.piece_id = y.piece_id AND x.seg <> y.seg LEFT JOIN si ON si.piece_id = x.piece_id AND si.a = x.seg AND si.b = y.seg),
+ra AS (SELECT *, row_number() OVER (PARTITION BY piece_id, a ORDER BY sim DESC, b) AS rank FROM al),
+nb AS (SELECT piece_id, least(a, b) AS a, greatest(a, b) AS b, max(sim) AS sim, any_value(same) AS same, any_value(iou) AS iou, min(rank) AS rank FROM ra GROUP BY 1, 2, 3)"""
 COMPONENTS = EDGES + """,
 u AS (SELECT piece_id, a AS x, b AS y FROM e UNION SELECT piece_id, b, a FROM e),
 reach AS (SELECT piece_id, x, x AS r FROM u UNION SELECT reach.piece_id, u.y, reach.r FROM reach JOIN u ON u.piece_id = reach.piece_id AND u.x = reach.x),
@@ -125,8 +132,7 @@ ORACLE = {
     "segment_steps": f"WITH {STEPS} SELECT piece_id, seg, i, d_pitch, d_time FROM st",
     "ngram_vectors": f"WITH {VECTORS} SELECT piece_id, seg, bucket, round(weight, 6) AS weight FROM v",
     "similarity_edges": f"WITH {EDGES} SELECT piece_id, a, b, round(sim, 4) AS sim FROM e",
-    "top_neighbours": f"""WITH {EDGES}, f AS (SELECT piece_id, a, b, sim FROM sp WHERE sim >= 0.6 AND iou < 0.25), bo AS (SELECT * FROM f UNION ALL SELECT piece_id, b, a, sim FROM f),
-t AS (SELECT *, row_number() OVER (PARTITION BY piece_id, a ORDER BY sim DESC, b) AS k FROM bo) SELECT piece_id, count(DISTINCT (least(a, b), greatest(a, b))) AS n_edges FROM t WHERE k <= 5 GROUP BY 1""",
+    "top_neighbours": f"""WITH {RANKED} SELECT piece_id, count(*) AS n_edges FROM nb WHERE (sim >= 0.6 OR rank <= 5) AND iou < 0.25 AND same GROUP BY 1""",
     "segment_components": f"WITH RECURSIVE {COMPONENTS} SELECT piece_id, seg, component FROM comp",
     "segment_centrality": f"""WITH RECURSIVE {COMPONENTS}, t AS (SELECT s.piece_id, s.a, s.b, s.sim FROM sims s JOIN comp x ON x.piece_id = s.piece_id AND x.seg = s.a JOIN comp y ON y.piece_id = s.piece_id AND y.seg = s.b WHERE x.component = y.component),
 w AS (SELECT piece_id, seg, sum(sim) AS total FROM (SELECT piece_id, a AS seg, sim FROM t UNION ALL SELECT piece_id, b, sim FROM t) GROUP BY 1, 2), n AS (SELECT piece_id, component, count(*) AS n FROM comp GROUP BY 1, 2)

@@ -101,7 +101,7 @@ def test_covers_reach_every_point(spark):
     assert have | rest == set(G2)
     rounds = cover.cosiatec(n).collect()
     assert {(r.onset, r.pitch) for r in rounds} == set(G2) and len(rounds) == len(G2)
-    assert cover.forth(n, least_gain=0.1).count() >= 1
+    assert cover.forth(n, least_new=1).count() >= 1
 
 
 def test_trawl_cuts_where_points_grow_sparse(spark):

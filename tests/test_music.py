@@ -85,7 +85,7 @@ def test_metrics(spark):
 def test_audit(spark):
     m = spark.createDataFrame([(0, 1, 0, 0, 60), (0, 1, 0, 4, 62), (0, 2, 0, 0, 60), (0, 2, 0, 4, 62), (0, 2, 1, 9, 60)], "piece_id long, motif long, occ long, onset long, pitch long")
     s = audit.piece_summary(m).first()
-    assert (s.n_motifs, s.n_occurrences, s.near_duplicates, s.near_identical, s.max_span) == (2, 3, 1, 1, 4)
+    assert (s.n_motifs, s.n_occurrences, s.near_duplicates, s.subset_pairs, s.max_span) == (2, 3, 1, 1, 4)
     assert audit.representative(m).where("motif = 2").first().occ == 0
 
 
