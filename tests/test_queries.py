@@ -6,10 +6,10 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from cantus.plans import evaluation, extra, geometry, more, music, retrieval, streams
+from cantus.plans import evaluation, extra, geometry, more, music, retrieval, streams, training
 
 DATA = Path("/root/testdata/sf0.001")
-PLANS = (geometry, retrieval, evaluation, music, extra, more, streams)
+PLANS = (geometry, retrieval, evaluation, music, extra, more, streams, training)
 QUERIES = {n: (p, q) for p in PLANS for n, q in p.QUERIES.items()}
 
 
