@@ -205,7 +205,7 @@ QUERIES = {f.__name__: f for f in (compress_cover, compress_cover_strict, compre
 
 CONTEXT = ANNOTATED_SQL + """,
 x AS (SELECT *, row_number() OVER (PARTITION BY piece_id ORDER BY onset, pitch) - 1 AS i FROM anno),
-c0 AS (SELECT a.piece_id, a.i, a.onset AS o, b.i AS j, b.onset AS bo, CASE WHEN b.onset - lag(b.onset) OVER (PARTITION BY a.piece_id, a.i ORDER BY b.i) > 2 THEN 1 ELSE 0 END AS gap FROM x a JOIN x b ON a.piece_id = b.piece_id AND a.staff = b.staff AND b.i > a.i AND b.onset < a.onset + 12),
+c0 AS (SELECT a.piece_id, a.i, a.onset AS o, b.i AS j, b.onset AS bo, CASE WHEN lead(b.onset) OVER (PARTITION BY a.piece_id, a.i ORDER BY b.i) - b.onset > 2 THEN 1 ELSE 0 END AS gap FROM x a JOIN x b ON a.piece_id = b.piece_id AND a.staff = b.staff AND b.i > a.i AND b.onset < a.onset + 12),
 c1 AS (SELECT *, max(gap) OVER (PARTITION BY piece_id, i ORDER BY j) AS cut FROM c0),
 ctx AS (SELECT piece_id, i, any_value(o) AS o, count(*) AS n, count(DISTINCT bo) = count(*) AS melodic FROM c1 WHERE cut = 0 GROUP BY 1, 2)"""
 BARS = ANNOTATED_SQL + """,
