@@ -8,8 +8,10 @@ long piece spreads over tasks.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,9 +62,50 @@ def differences(notes: DataFrame) -> DataFrame:
     )
 
 
+def gathered(pairs: DataFrame) -> DataFrame:
+    """(piece_id, d_onset, d_pitch, pattern, size): the points (onset, pitch) of each vector, in order. Rows come sorted, so that lists are cut from
+    whole columns; a vector's rows may go on in the next batch."""
+    key = ["piece_id", "d_onset", "d_pitch"]
+    columns = [*key, "onset", "pitch"]
+
+    def lists(t: pa.Table, begins: np.ndarray, rows: int) -> pa.RecordBatch:
+        points = pa.StructArray.from_arrays([t[c].slice(0, rows).combine_chunks() for c in ("onset", "pitch")], names=["onset", "pitch"])
+        first = pa.array(begins)
+        size = np.diff(np.append(begins, rows))
+        offsets = pa.array(np.append(begins, rows).astype(np.int32))
+        return pa.RecordBatch.from_arrays([*(t[c].take(first).combine_chunks() for c in key), pa.ListArray.from_arrays(offsets, points), pa.array(size.astype(np.int32))], names=[*key, "pattern", "size"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def table() -> tuple[pa.Table, np.ndarray]:
+            t = pa.Table.from_batches(held).combine_chunks()
+            new = np.zeros(t.num_rows, bool)
+            new[:1] = True
+            for c in key:
+                v = t[c].to_numpy(zero_copy_only=False)
+                new[1:] |= v[1:] != v[:-1]
+            return t, np.flatnonzero(new)
+
+        for b in batches:
+            held.append(b)
+            t, begins = table()
+            if len(begins) > 1:
+                yield lists(t, begins[:-1], int(begins[-1]))
+                held = t.slice(int(begins[-1])).to_batches()
+        if held:
+            t, begins = table()
+            if len(begins):
+                yield lists(t, begins, t.num_rows)
+
+    kinds = dict(pairs.dtypes)
+    ordered = pairs.select(*columns).repartition(*key).sortWithinPartitions(*columns)
+    return ordered.mapInArrow(cut, f"{', '.join(f'{c} {kinds[c]}' for c in key)}, pattern array<struct<onset:{kinds['onset']},pitch:{kinds['pitch']}>>, size int")
+
+
 def mtps(notes: DataFrame) -> DataFrame:
     """(piece_id, d_onset, d_pitch, pattern, size): the points of each difference vector, in order."""
-    return differences(notes).groupBy("piece_id", "d_onset", "d_pitch").agg(F.sort_array(F.collect_list(point())).alias("pattern")).withColumn("size", F.size("pattern"))
+    return gathered(differences(notes))
 
 
 def all_mtps(notes: DataFrame) -> DataFrame:
@@ -117,16 +160,20 @@ def shape(pattern: Column) -> Column:
 
 def patterns(found: DataFrame) -> DataFrame:
     """One MTP for each shape of a piece, that of the smallest vector: (piece_id, d_onset, d_pitch, pattern, size, shape)."""
-    keyed = found.withColumn("shape", shape(F.col("pattern")))
-    best = F.min(F.struct("d_onset", "d_pitch", "pattern", "size")).alias("m")
-    return keyed.groupBy("piece_id", "shape").agg(best).select("piece_id", "m.*", "shape")
+    own = Window.partitionBy("piece_id").orderBy("d_onset", "d_pitch")
+    one = found.where("size = 1").withColumn("_k", F.row_number().over(own)).where("_k = 1").drop("_k")
+    keyed = found.where("size > 1").withColumn("shape", shape(F.col("pattern"))).withColumn("_h", F.xxhash64("shape"))
+    first = keyed.withColumn("_k", F.row_number().over(Window.partitionBy("piece_id", "_h", "shape").orderBy("d_onset", "d_pitch"))).where("_k = 1")
+    columns = ["piece_id", "d_onset", "d_pitch", "pattern", "size", "shape"]
+    return one.withColumn("shape", shape(F.col("pattern"))).select(*columns).unionByName(first.select(*columns))
 
 
-def translators(tecs: DataFrame, notes: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+def translators(tecs: DataFrame, notes: DataFrame, pairs: DataFrame | None = None, often: DataFrame | None = None) -> DataFrame:
     """(piece_id, d_onset, d_pitch, t_onset, t_pitch): all vectors that map a whole pattern into the set (relational division).
 
-    A pattern of two points or more can only go where its first step occurs, so candidates come from the pairs with that
-    difference instead of from all points; what they leave is checked point by point, and a candidate stays if all fit.
+    A pattern of two points or more can only go where each of its steps occurs, so the rarest of them leads: candidates come from the pairs with that
+    difference. What a candidate leaves is checked point by point, with the pattern's name alone in each row, and a candidate stays if all fit. So a vector that is
+    very common in a piece leads no pattern that has a rarer step. often: (piece_id, d_onset, d_pitch, n), how many pairs have a vector, if that is known.
     """
     key = ["piece_id", "d_onset", "d_pitch"]
     pairs = differences(notes) if pairs is None else pairs
@@ -135,13 +182,23 @@ def translators(tecs: DataFrame, notes: DataFrame, pairs: DataFrame | None = Non
     own = F.pmod(F.xxhash64("d_onset", "d_pitch"), F.col("blocks")).cast("int")
     one = one.join(sizes, "piece_id").withColumn("j", own).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     one = one.join(in_blocks(notes, sizes, 0), ["piece_id", "i", "j"]).select(*key, (F.col("onset") - F.col("p.onset")).alias("t_onset"), (F.col("pitch") - F.col("p.pitch")).alias("t_pitch"))
-    p0, p1 = F.element_at("pattern", 1), F.get(F.col("pattern"), F.lit(1))
-    more = tecs.where("size > 1").select(*key, "pattern", "size", (p1["onset"] - p0["onset"]).alias("s_onset"), (p1["pitch"] - p0["pitch"]).alias("s_pitch"))
-    step = pairs.select("piece_id", F.col("d_onset").alias("s_onset"), F.col("d_pitch").alias("s_pitch"), "onset", "pitch")
-    candidates = more.join(step, ["piece_id", "s_onset", "s_pitch"]).select(*key, "pattern", "size", (F.col("onset") - p0["onset"]).alias("t_onset"), (F.col("pitch") - p0["pitch"]).alias("t_pitch"))
-    done = candidates.where("size = 2").select(*key, "t_onset", "t_pitch")
-    rest = candidates.where("size > 2").withColumn("q", F.explode(F.slice("pattern", 3, F.col("size") - 2)))
-    rest = rest.select(*key, "size", "t_onset", "t_pitch", (F.col("q.onset") + F.col("t_onset")).alias("onset"), (F.col("q.pitch") + F.col("t_pitch")).alias("pitch"))
+    at = pairs.select("piece_id", F.col("d_onset").alias("s_onset"), F.col("d_pitch").alias("s_pitch"), "onset", "pitch")
+    moved = (F.col("onset") - F.col("p_onset")).alias("t_onset"), (F.col("pitch") - F.col("p_pitch")).alias("t_pitch")
+    p0, p1 = F.col("pattern")[0], F.get(F.col("pattern"), F.lit(1))
+    two = tecs.where("size = 2").select(*key, p0["onset"].alias("p_onset"), p0["pitch"].alias("p_pitch"), (p1["onset"] - p0["onset"]).alias("s_onset"), (p1["pitch"] - p0["pitch"]).alias("s_pitch"))
+    done = two.join(at, ["piece_id", "s_onset", "s_pitch"]).select(*key, *moved)
+    more = tecs.where("size > 2").select(*key, "size", "pattern")
+    to = F.get(F.col("pattern"), F.col("k") + 1)
+    steps = more.select(*key, "size", "pattern", F.posexplode("pattern").alias("k", "p")).where("k < size - 1")
+    steps = steps.select(*key, "size", "k", F.col("p.onset").alias("p_onset"), F.col("p.pitch").alias("p_pitch"), (to["onset"] - F.col("p.onset")).alias("s_onset"), (to["pitch"] - F.col("p.pitch")).alias("s_pitch"))
+    often = pairs.groupBy("piece_id", "d_onset", "d_pitch").agg(F.count(F.lit(1)).alias("n")) if often is None else often
+    often = often.select("piece_id", F.col("d_onset").alias("s_onset"), F.col("d_pitch").alias("s_pitch"), "n")
+    led = steps.join(often, ["piece_id", "s_onset", "s_pitch"]).withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy("n", "k"))).where("_r = 1").drop("_r", "n")
+    led = written(led)
+    candidates = led.join(at, ["piece_id", "s_onset", "s_pitch"]).select(*key, "size", *moved)
+    others = more.join(led.select(*key, "k"), key).select(*key, "k", F.posexplode("pattern").alias("m", "q")).where("m <> k and m <> k + 1").select(*key, F.col("q.onset").alias("q_onset"), F.col("q.pitch").alias("q_pitch"))
+    rest = candidates.join(others, key)
+    rest = rest.select(*key, "size", "t_onset", "t_pitch", (F.col("q_onset") + F.col("t_onset")).alias("onset"), (F.col("q_pitch") + F.col("t_pitch")).alias("pitch"))
     rest = rest.join(notes, ["piece_id", "onset", "pitch"], "left_semi").groupBy(*key, "size", "t_onset", "t_pitch").count().where("count = size - 2")
     return one.unionByName(done).unionByName(rest.select(*key, "t_onset", "t_pitch"))
 
@@ -149,13 +206,13 @@ def translators(tecs: DataFrame, notes: DataFrame, pairs: DataFrame | None = Non
 def siatec(notes: DataFrame) -> DataFrame:
     """TECs: (piece_id, d_onset, d_pitch, pattern, size, translators, n_translators), one for each shape of an MTP."""
     pairs = written(differences(notes))
-    found = pairs.groupBy("piece_id", "d_onset", "d_pitch").agg(F.sort_array(F.collect_list(point())).alias("pattern")).withColumn("size", F.size("pattern"))
-    return with_translators(written(patterns(found)), notes, pairs)
+    found = written(gathered(pairs))
+    return with_translators(written(patterns(found)), notes, pairs, found.select(*KEY, F.col("size").alias("n")))
 
 
-def with_translators(tecs: DataFrame, notes: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+def with_translators(tecs: DataFrame, notes: DataFrame, pairs: DataFrame | None = None, often: DataFrame | None = None) -> DataFrame:
     key = ["piece_id", "d_onset", "d_pitch"]
-    t = translators(tecs, notes, pairs).groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(F.col("t_onset").alias("onset"), F.col("t_pitch").alias("pitch")))).alias("translators"))
+    t = translators(tecs, notes, pairs, often).groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(F.col("t_onset").alias("onset"), F.col("t_pitch").alias("pitch")))).alias("translators"))
     return tecs.join(t, key).withColumn("n_translators", F.size("translators"))
 
 
@@ -219,8 +276,7 @@ def siatechf(notes: DataFrame, least_cr: float) -> DataFrame:
     """The same TECs; patterns that can't reach the ratio go before the division. A first step that occurs b times bounds
     the translators by b."""
     pairs = written(differences(notes))
-    found = pairs.groupBy("piece_id", "d_onset", "d_pitch").agg(F.sort_array(F.collect_list(point())).alias("pattern")).withColumn("size", F.size("pattern"))
-    shapes = written(patterns(found))
+    shapes = written(patterns(written(gathered(pairs))))
     p0, p1 = F.element_at("pattern", 1), F.get(F.col("pattern"), F.lit(1))
     steps = pairs.groupBy("piece_id", F.col("d_onset").alias("s_onset"), F.col("d_pitch").alias("s_pitch")).agg(F.count(F.lit(1)).alias("b"))
     k, b = F.col("size"), F.col("b")
