@@ -19,6 +19,8 @@ from ._store import lean
 
 #: Labelled rows that the model is fitted on at most: those whose ids hash lowest.
 SAMPLE = 8000
+#: Different features of one labelled text that the fit takes at most.
+MOST = 4096
 BITS = 20
 #: Bytes of a word's beginning that are features besides the whole word.
 PREFIXES = (5, 6, 7, 8)
@@ -86,9 +88,29 @@ def telling(row: np.ndarray, col: np.ndarray, toxic: np.ndarray, of: np.ndarray
     return use, use & (z > 0)
 
 
-def fit(docs: DataFrame, grades: DataFrame, sample: int = SAMPLE, rounds: int = 400, shrink: float = 0.1) -> Model:
+def descend(row: np.ndarray, col: np.ndarray, y: np.ndarray, n: int, rounds: int, shrink: float) -> tuple[np.ndarray, np.ndarray]:
+    """(thresholds, weights of n features) after so many gradient steps of AdaGrad on the penalised likelihood of grades y; (row, col) are the
+    features that rows have. Grade 0 and the others weigh alike in sum."""
+    toxic = y > 0
+    t0, gaps, w = 0.0, np.full(max(int(y.max()) - 1, 0), 2.0), np.zeros(n)
+    weight = np.where(toxic, 0.5 / toxic.sum(), 0.5 / (~toxic).sum())
+    sums = [np.full_like(v, 1e-8, dtype=float) for v in (np.zeros(1), gaps, w)]
+    for _ in range(rounds):
+        _, grads = likelihood(t0, gaps, w, row, col, y, weight, shrink)
+        for total, g in zip(sums, grads):
+            total += g * g
+        t0 += 0.3 * (grads[0] / np.sqrt(sums[0]))[0]
+        gaps = gaps + 0.3 * grads[1] / np.sqrt(sums[1])
+        w = w + 0.3 * grads[2] / np.sqrt(sums[2])
+    return t0 + np.concatenate([[0], np.cumsum(np.exp(gaps))]), w
+
+
+def fit(docs: DataFrame, grades: DataFrame, sample: int = SAMPLE, rounds: int = 400, shrink: float = 0.1, most: int = MOST) -> Model:
     """docs (doc_id, text), grades (doc_id, grade from 0). Grades that repeat an id count as their maximum; null ones are not labels.
 
+    The fit takes at most `sample` labelled ids, one text of each (of several the one with the least hash), and of a text at most `most` different
+    features (those of the least hash), so what reaches the driver is bounded in rows and in bytes.
+
     Labels that only tell 0 from 1 are refined: rows of grade 1 with more distinct markers (features that are much more
     frequent in it) than its median get grade 2, so that severity is graded by how much of a text is toxic. Markers of one
     half of the rows grade the other half, so that no row is graded by features that it chose itself.
@@ -105,10 +127,13 @@ def fit(docs: DataFrame, grades: DataFrame, sample: int = SAMPLE, rounds: int =
                 doc, f = features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 key = np.unique((doc << BITS) | f)
                 cut = np.searchsorted(key, np.arange(j - i + 1) << BITS)
-                out += [(key[a:b] & ((1 << BITS) - 1)).astype(np.int32).tobytes() for a, b in zip(cut, cut[1:])]
+                own = [(key[a:b] & ((1 << BITS) - 1)).astype(np.int32) for a, b in zip(cut, cut[1:])]
+                out += [(f if len(f) <= most else f[np.sort(np.argsort(K.mix(f.astype(np.uint64)), kind="stable")[:most])]).tobytes() for f in own]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("grade"), pa.array(out, pa.binary())], names=["doc_id", "grade", "features"])
 
-    rows = sorted(docs.join(F.broadcast(chosen), "doc_id").mapInArrow(sparse, "doc_id long, grade int, features binary").collect(), key=lambda r: (r.doc_id, r.features))
+    text = F.coalesce("text", F.lit(""))
+    one = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "grade").agg(F.min_by(text, F.struct(F.xxhash64(text), F.length(text))).alias("text"))
+    rows = sorted(one.select("doc_id", "grade", "text").mapInArrow(sparse, "doc_id long, grade int, features binary").collect(), key=lambda r: (r.doc_id, r.features))
     y = np.array([r.grade for r in rows], np.int64)
     grown = int(y.max()) if len(y) else 0
     if len(np.unique(y)) < 2:  # nothing to tell apart
@@ -124,25 +149,14 @@ def fit(docs: DataFrame, grades: DataFrame, sample: int = SAMPLE, rounds: int =
             _, marker = telling(row, col, toxic, ~own)
             markers += np.where(own, np.bincount(row, marker[col], len(y)), 0)
         y = np.where(toxic, 1 + (markers > np.median(markers[toxic])), 0)
-        grown = int(y.max())
     ids = np.flatnonzero(use)
     keep = use[col]
     row, col = row[keep], np.searchsorted(ids, col[keep])
 
-    # Gradient steps of AdaGrad on the penalised likelihood; toxic and other rows weigh alike in sum.
-    t0, gaps, w = 0.0, np.full(max(grown - 1, 0), 2.0), np.zeros(len(ids))
-    weight = np.where(toxic, 0.5 / toxic.sum(), 0.5 / (~toxic).sum())
-    sums = [np.full_like(v, 1e-8, dtype=float) for v in (np.zeros(1), gaps, w)]
-    for _ in range(rounds):
-        _, grads = likelihood(t0, gaps, w, row, col, y, weight, shrink)
-        for total, g in zip(sums, grads):
-            total += g * g
-        t0 += 0.3 * (grads[0] / np.sqrt(sums[0]))[0]
-        gaps = gaps + 0.3 * grads[1] / np.sqrt(sums[1])
-        w = w + 0.3 * grads[2] / np.sqrt(sums[2])
+    thresholds, w = descend(row, col, y, len(ids), rounds, shrink)
     weights = np.zeros(1 << BITS, np.float32)
     weights[ids] = w
-    return Model(weights, t0 + np.concatenate([[0], np.cumsum(np.exp(gaps))]))
+    return Model(weights, thresholds)
 
 
 def severity(docs: DataFrame, model: Model, reject: float = 0.55, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

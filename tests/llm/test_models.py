@@ -254,6 +254,65 @@ def test_gradient_of_the_ordinal_likelihood():
             assert g[k] == pytest.approx((call(v + step)[0] - call(v - step)[0]) / (2 * e), abs=1e-6)
 
 
+def plain_likelihood(t, w, rows, y, weight, shrink):
+    above = lambda s, g: 1.0 if g == 0 else 0.0 if g > len(t) else 1 / (1 + math.exp(t[g - 1] - s))
+    total = 0.0
+    for x, k, c in zip(rows, y, weight):
+        s = sum(w[f] for f in x)
+        total += c * math.log(max(above(s, k) - above(s, k + 1), 1e-12))
+    return total - shrink / len(w) * sum(v * v for v in w) / 2
+
+
+def test_the_ordinal_fit_reaches_what_plain_ascent_reaches():
+    """Plain ascent by finite differences, on a likelihood written out from the model's definition."""
+    r = random.Random(3)
+    rows = [[f for f in range(3) if r.random() < 0.5] for _ in range(60)]
+    y = [min(2, max(0, len(x) - 1 + (r.random() < 0.2) - (r.random() < 0.2))) for x in rows]
+    weight = [0.5 / sum(v > 0 for v in y) if k else 0.5 / y.count(0) for k in y]
+    value = lambda p: plain_likelihood((p[0], p[0] + math.exp(p[1])), p[2:], rows, y, weight, 0.1)
+    p, step = [0.0, 0.0, 0.0, 0.0, 0.0], 1.0
+    best = value(p)
+    for _ in range(400):
+        g = [(value([v + 1e-5 * (i == k) for i, v in enumerate(p)]) - best) / 1e-5 for k in range(5)]
+        while step > 1e-9:
+            q = [v + step * d for v, d in zip(p, g)]
+            if value(q) > best:
+                p, best, step = q, value(q), step * 2
+                break
+            step /= 2
+        step = max(step, 1e-6)
+    row, col = np.array([(k, f) for k, x in enumerate(rows) for f in x]).T
+    thresholds, w = ordinal.descend(row, col, np.array(y), 3, 2000, 0.1)
+    assert plain_likelihood(thresholds, w, rows, y, weight, 0.1) > best - 1e-3
+    assert np.abs(w - p[2:]).max() < 0.1 and abs(thresholds[0] - p[0]) < 0.1
+
+
+def test_severity_is_the_sum_of_probabilities(spark):
+    r = np.random.default_rng(2)
+    model = ordinal.Model(r.normal(size=1 << ordinal.BITS).astype(np.float32), np.array([0.2, 0.9]))
+    texts = ["one two one", "Three, three-FOUR", "", None, "x" * 40, "é ünï "]
+    got = {x.doc_id: x for x in ordinal.severity(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model, reject=0.5).collect()}
+    for k, t in enumerate(texts):
+        raw = (t or "").encode()
+        _, f = ordinal.features(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        s = sum(float(model.weights[x]) for x in set(f.tolist()))
+        up = [1 / (1 + math.exp(v - s)) for v in model.thresholds]
+        assert got[k].severity == pytest.approx(sum(up), abs=1e-5) and got[k].p_toxic == pytest.approx(up[0], abs=1e-5) and got[k].toxic == (up[0] >= 0.5)
+
+
+def test_the_fit_takes_one_bounded_text_of_a_label(spark):
+    """A labelled id that repeats, with other texts and very long ones, weighs as one row."""
+    r = random.Random(1)
+    rows = [(k, " ".join([*(f"w{r.randrange(300)}" for _ in range(30)), *(["vilea"] * (k % 4 == 0))])) for k in range(200)]
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k, _ in rows], "doc_id long, grade int")
+    again = [(1, " ".join(f"z{j}" for j in range(20_000)))] * 5 + [(2, None)] * 50
+    one, other = (ordinal.fit(spark.createDataFrame(x, "doc_id long, text string"), labels, most=50) for x in (rows, [*rows, *again]))
+    probe = spark.createDataFrame([(0, "w1 vilea w2"), (1, "w1 w2 w3")], "doc_id long, text string")
+    for model in (one, other):
+        assert [x.toxic for x in ordinal.severity(probe, model).orderBy("doc_id").collect()] == [True, False]
+    assert np.abs(one.weights - other.weights).max() < 1.0
+
+
 @pytest.mark.parametrize("most", [16 << 20, 0])
 def test_string_tiling(spark, most, monkeypatch):
     """The benchmark broadcast, and joined by shuffles."""
