@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ._graph import components
 from ._kernels import mix
-from ._store import Store
+from ._store import Store, small
 
 #: Length of a neighbour list, and of one that was saturated, number of random-projection orders, rows that are compared at once in an order.
 K, LONGEST, ORDERS, RUN = 10, 40, 12, 256
@@ -94,7 +94,8 @@ def best(near: np.ndarray, sims: np.ndarray, k: int, over: float = 2.0, most: in
 def embedding_links(table: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", rounds: int = 5, seed: int = 7) -> DataFrame:
     """One row per vector: vec_id, n_links (other vectors of at least this cosine, in double precision), component_id (the
     smallest vec_id reachable by links, itself included), kept (it is that id), n_listed (how many of the links the
-    neighbour lists held, before the exact check) and audit_recall (for all rows the same: the share of audited links whose ends the lists joined).
+    neighbour lists held, before the exact check), audit_recall and list_recall (for all rows the same: of the audited links, the share whose ends the
+    lists joined into one component, and the share that the lists themselves held).
 
     Vectors that are null, empty, zero, hold null or non-finite components, or have another length than most, link with
     nothing. Equal vectors are one class throughout, so copies never make pairs. Rows with a null id give no row; rows
@@ -108,7 +109,7 @@ def embedding_links(table: DataFrame, threshold: float = 0.95, id_col: str = "ve
     rows = store.save(table.select("vec_id", F.when(sound, v).alias("v")).withColumn("c0", F.xxhash64("v")).withColumn("c1", F.xxhash64(F.lit(seed), "v")))
     usual = rows.where("v is not null").groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
     if usual is None:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"), F.lit(0).cast("long").alias("n_listed"), F.lit(1.0).alias("audit_recall"))
+        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"), F.lit(0).cast("long").alias("n_listed"), F.lit(1.0).alias("audit_recall"), F.lit(1.0).alias("list_recall"))
     dim = usual.d
     classes = rows.where(F.size("v") == dim).groupBy("c0", "c1").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v"))
 
@@ -123,6 +124,10 @@ def embedding_links(table: DataFrame, threshold: float = 0.95, id_col: str = "ve
     n = classes.count()
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
+    def side(df: DataFrame, row_bytes: int) -> DataFrame:
+        """A table of at most one row for each of the n classes, broadcast if they are few."""
+        return small(df, n, row_bytes)
+
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Places of the vectors in the orders; of components with more than THIN members also in thinned ones."""
         planes = np.random.default_rng(seed).standard_normal((dim, ORDERS * 30)).astype(np.float32)
@@ -212,11 +217,11 @@ def embedding_links(table: DataFrame, threshold: float = 0.95, id_col: str = "ve
         """graph, after vectors that share a neighbour in forward (a, b) have been compared; lists that are full of near
         enough neighbours may grow to `length`."""
         degree = forward.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / REVERSE).cast("int").alias("parts")).withColumnRenamed("b", "g")
-        ahead = forward.select(F.col("a").alias("g"), F.col("b").alias("m")).join(degree.hint("merge"), "g", "left")
+        ahead = forward.select(F.col("a").alias("g"), F.col("b").alias("m")).join(side(degree, 16), "g", "left")
         ahead = ahead.select("g", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"), "m")
-        back = forward.select(F.col("b").alias("g"), F.col("a").alias("m")).join(degree.hint("merge"), "g").select("g", F.pmod(F.xxhash64("m"), F.col("parts")).cast("int").alias("part"), "m")
+        back = forward.select(F.col("b").alias("g"), F.col("a").alias("m")).join(side(degree, 16), "g").select("g", F.pmod(F.xxhash64("m"), F.col("parts")).cast("int").alias("part"), "m")
         least = pairs(graph).groupBy("a").agg(F.when(F.count(F.lit(1)) >= length, F.min("sim")).when(F.count(F.lit(1)) >= K, F.least(F.min("sim"), F.lit(near_enough).cast("float"))).alias("least")).withColumnRenamed("a", "m")
-        members = ahead.unionByName(back).join(of.select(F.col("id").alias("m"), "comp", "q").hint("merge"), "m").join(least.hint("merge"), "m", "left")
+        members = ahead.unionByName(back).join(side(of.select(F.col("id").alias("m"), "comp", "q"), 2 * dim + 48), "m").join(side(least, 16), "m", "left")
         members = members.withColumn("least", F.coalesce("least", F.lit(-2.0).cast("float")))
         found = members.repartition(parts, "g", "part").sortWithinPartitions("g", "part", "m").mapInArrow(join_locally(length), LIST)
         return merged(found.unionByName(graph), length)
@@ -232,7 +237,7 @@ def embedding_links(table: DataFrame, threshold: float = 0.95, id_col: str = "ve
     def links(graph: DataFrame) -> DataFrame:
         near = pairs(graph).where(F.col("sim") >= near_enough)
         near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        return store.save(near.join(x.hint("merge"), "a").join(y.hint("merge"), "b").mapInArrow(confirm, "a long, b long"))
+        return store.save(near.join(side(x, 8 * dim + 40), "a").join(side(y, 8 * dim + 40), "b").mapInArrow(confirm, "a long, b long"))
 
     sample = classes.orderBy(F.xxhash64("id", F.lit(1)), "id").select("id", "x").limit(AUDIT).collect()
     asked = spark.sparkContext.broadcast((np.array([r.id for r in sample], np.int64), np.frombuffer(b"".join(r.x for r in sample), np.float64).reshape(len(sample), dim)))
@@ -250,7 +255,7 @@ def embedding_links(table: DataFrame, threshold: float = 0.95, id_col: str = "ve
 
     def hits(label: DataFrame) -> int:
         """Audited links whose ends are in one component, where all links are counted below."""
-        ends = truth.join(label.select(F.col("id").alias("a"), F.col("component").alias("ca")).hint("merge"), "a", "left").join(label.select(F.col("id").alias("b"), F.col("component").alias("cb")).hint("merge"), "b", "left")
+        ends = truth.join(side(label.select(F.col("id").alias("a"), F.col("component").alias("ca")), 24), "a", "left").join(side(label.select(F.col("id").alias("b"), F.col("component").alias("cb")), 24), "b", "left")
         return ends.where("ca = cb").count()
 
     thinned = False
@@ -263,41 +268,41 @@ def embedding_links(table: DataFrame, threshold: float = 0.95, id_col: str = "ve
         if before is not None and total - before <= 0.001 * before:
             break
     found = links(graph)
-    label = components(store, found)
+    label = components(store, found, n)
     while done < rounds and hits(label) < n_truth:
         graph, done = refine(pairs(graph), graph, single), done + 1
         found = links(graph)
-        label = components(store, found)
+        label = components(store, found, n)
 
     def full_lists(length: int) -> DataFrame:
         counts = pairs(graph).groupBy("a").agg(F.count(F.lit(1)).alias("k"), F.min("sim").alias("s"))
         return store.save(counts.where((F.col("k") >= length) & (F.col("s") >= near_enough)).select(F.col("a").alias("id")))
 
     def between(ids: DataFrame, graph: DataFrame) -> DataFrame:
-        ends = [ids.withColumnRenamed("id", c).hint("merge") for c in "ab"]
+        ends = [side(ids.withColumnRenamed("id", c), 16) for c in "ab"]
         return store.save(pairs(graph).join(ends[0], "a", "left_semi").join(ends[1], "b", "left_semi").select("a", "b"))
 
     def apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
         """Pairs (a, b) whose ends are in different components."""
         for c in "ab":
-            pairs = pairs.join(label.select(F.col("id").alias(c), F.col("component").alias(f"c{c}")).hint("merge"), c, "left")
+            pairs = pairs.join(side(label.select(F.col("id").alias(c), F.col("component").alias(f"c{c}")), 24), c, "left")
         return pairs.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
     # Saturated lists are made longer.
     full, short = full_lists(K), graph
     if full.take(1):
-        graph = merged(graph.unionByName(orders(single.join(full.hint("merge"), "id", "left_semi"), LONGEST)), LONGEST)
+        graph = merged(graph.unionByName(orders(single.join(side(full, 16), "id", "left_semi"), LONGEST)), LONGEST)
         graph = refine(between(full, short), graph, single, LONGEST)
         found = links(graph)
         if apart(found, label).take(1):
-            label = components(store, found)
+            label = components(store, found, n)
 
     # What was saturated: neighbours outside the own component, until none is a link.
     thinned = True
 
     def saturated() -> DataFrame:
-        of = full.join(label.hint("merge"), "id", "left").select("id", F.coalesce("component", "id").alias("comp")).join(classes.select("id", "q").hint("merge"), "id")
-        return store.save(of.join(full.join(label.hint("merge"), "id", "left").groupBy(F.coalesce("component", "id").alias("comp")).agg(F.count(F.lit(1)).alias("size")).hint("merge"), "comp"))
+        of = full.join(side(label, 24), "id", "left").select("id", F.coalesce("component", "id").alias("comp")).join(side(classes.select("id", "q"), 2 * dim + 40), "id")
+        return store.save(of.join(side(full.join(side(label, 24), "id", "left").groupBy(F.coalesce("component", "id").alias("comp")).agg(F.count(F.lit(1)).alias("size")), 24), "comp"))
 
     def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -318,9 +323,9 @@ def embedding_links(table: DataFrame, threshold: float = 0.95, id_col: str = "ve
                 continue
             idle = 0
             found = store.save(found.unionByName(new))
-            label = components(store, found)
+            label = components(store, found, n)
             of = saturated()
-            still = pairs(outer).join(of.select(F.col("id").alias("a"), F.col("comp").alias("ca")).hint("merge"), "a").join(of.select(F.col("id").alias("b"), F.col("comp").alias("cb")).hint("merge"), "b").where("ca <> cb")
+            still = pairs(outer).join(side(of.select(F.col("id").alias("a"), F.col("comp").alias("ca")), 24), "a").join(side(of.select(F.col("id").alias("b"), F.col("comp").alias("cb")), 24), "b").where("ca <> cb")
             outer = merged(orders(of).unionByName(still.select("a", "b", "sim").mapInArrow(alone, LIST)))
 
     listed = found.distinct()
@@ -338,18 +343,20 @@ def embedding_links(table: DataFrame, threshold: float = 0.95, id_col: str = "ve
 
     hit = hits(label)
     recall = hit / n_truth if n_truth else 1.0
+    held = truth.join(listed.select("a", "b"), ["a", "b"], "left_semi").count()
+    list_recall = held / n_truth if n_truth else 1.0
     if hit < n_truth:
         logging.getLogger(__name__).warning("NN-descent joined %d of %d audited links; components are compared exhaustively", hit, n_truth)
         blocks = -(-n // WIDE)
-        every = classes.select("id", "x").join(label.hint("merge"), "id", "left").select(F.coalesce("component", "id").alias("comp"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("own"), "x")
+        every = classes.select("id", "x").join(side(label, 24), "id", "left").select(F.coalesce("component", "id").alias("comp"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("own"), "x")
         every = every.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "comp", "x")
         found = store.save(found.unionByName(every.groupBy("i", "j").applyInArrow(compare, "a long, b long")))
-        label = components(store, found)
+        label = components(store, found, n)
 
     # Links of a class lie within its component; they are counted there exactly, in blocks of bounded size.
-    members = label.join(classes.select("id", "copies", "x").hint("merge"), "id")
+    members = label.join(side(classes.select("id", "copies", "x"), 8 * dim + 48), "id")
     sizes = label.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    members = members.join(sizes.hint("merge"), "component").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    members = members.join(side(sizes, 24), "component").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     bins = max(1, label.count() // (2 * BLOCK))
     large = members.where("blocks > 1").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     few = members.where("blocks = 1").select(F.pmod(F.xxhash64("component"), F.lit(bins)).alias("g"), F.lit(-1).alias("i"), F.lit(-1).alias("j"), "component", F.lit(0).alias("own"), "id", "copies", "x")
@@ -374,9 +381,9 @@ def embedding_links(table: DataFrame, threshold: float = 0.95, id_col: str = "ve
 
     counts = few.unionByName(many).groupBy("g", "i", "j").applyInArrow(count, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
     copies = classes.select(F.col("id").alias("b"), "copies")
-    listed = listed.unionByName(listed.select(F.col("b").alias("a"), F.col("a").alias("b"))).join(copies.hint("merge"), "b").groupBy(F.col("a").alias("id")).agg(F.sum("copies").alias("listed"))
-    judged = classes.select("c0", "c1", "id", "copies").join(label.hint("merge"), "id", "left").join(counts.hint("merge"), "id", "left").join(listed.hint("merge"), "id", "left")
+    listed = listed.unionByName(listed.select(F.col("b").alias("a"), F.col("a").alias("b"))).join(side(copies, 24), "b").groupBy(F.col("a").alias("id")).agg(F.sum("copies").alias("listed"))
+    judged = classes.select("c0", "c1", "id", "copies").join(side(label, 24), "id", "left").join(side(counts, 24), "id", "left").join(side(listed, 24), "id", "left")
     judged = judged.select("c0", "c1", F.coalesce("component", "id").alias("class"), *((F.coalesce(c, F.lit(0)) + F.col("copies") - 1).alias(c) for c in ("links", "listed")))
-    out = rows.select("vec_id", "c0", "c1").join(judged.hint("merge"), ["c0", "c1"], "left")
+    out = rows.select("vec_id", "c0", "c1").join(side(judged, 56), ["c0", "c1"], "left")
     out = out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("class", "vec_id").alias("component_id"), F.coalesce("listed", F.lit(0)).cast("long").alias("n_listed"))
-    return out.select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"), "n_listed", F.lit(recall).alias("audit_recall"))
+    return out.select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"), "n_listed", F.lit(recall).alias("audit_recall"), F.lit(list_recall).alias("list_recall"))
