@@ -75,4 +75,11 @@ def segment_vectors(stepped: DataFrame, weights: Weights, longest: int = 256) ->
                 out = encode(x, np.arange(x.shape[1])[None, :] < n[:, None], shared.value)
                 yield pd.DataFrame({"piece_id": part.piece_id.to_numpy(), "seg": part.seg.to_numpy(), "vector": list(out.astype(np.float32))})
 
-    return rows.mapInPandas(run, "piece_id long, seg int, vector array<float>")
+    kinds = dict(rows.dtypes)
+    return rows.mapInPandas(run, f"piece_id {kinds['piece_id']}, seg {kinds['seg']}, vector array<float>")
+
+
+def read_weights(path: str) -> Weights:
+    """Weights from a .npz file of the arrays that random_weights names."""
+    with np.load(path) as f:
+        return {k: f[k] for k in f.files}

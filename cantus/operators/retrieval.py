@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import bin_of, tempo_penalty, time_iou
 from .graph import components, written
+from .prep import note_beats
 
 
 @dataclass(frozen=True)
@@ -33,17 +34,17 @@ class Config:
     time_bins: Sequence[float] = field(default_factory=lambda: tuple(round(-2.5 + 0.2 * k, 6) for k in range(26)))
 
 
-def membership(notes: DataFrame, cfg: Config) -> DataFrame:
-    """(piece_id, seg, scale, start, end, onset, pitch): the notes of every kept window.
+def membership(notes: DataFrame, cfg: Config, time: str = "onset") -> DataFrame:
+    """(piece_id, seg, scale, start, end, onset, pitch): the notes of every kept window. Windows are of the column `time`, by default the onset.
 
     Windows of each scale start at the piece's first onset and every scale * hop from there, up to the last onset; they are half-open, and
     those with too few notes go. seg counts a piece's kept windows over all scales. A note makes its own window numbers,
     so there is no range join.
     """
     piece = Window.partitionBy("piece_id")
-    spread = notes.select("piece_id", "onset", "pitch", F.min("onset").over(piece).alias("first"), F.max("onset").over(piece).alias("last"))
-    spread = spread.select("*", F.explode(F.array(*(F.struct(F.lit(i).alias("scale_no"), F.lit(s).alias("scale"), F.lit(max(1, round(s * cfg.hop))).alias("step")) for i, s in enumerate(cfg.scales)))).alias("s")).select("piece_id", "onset", "pitch", "first", "last", "s.*")
-    at = F.col("onset") - F.col("first")
+    spread = notes.select("piece_id", "onset", "pitch", F.col(time).alias("at"), F.min(time).over(piece).alias("first"), F.max(time).over(piece).alias("last"))
+    spread = spread.select("*", F.explode(F.array(*(F.struct(F.lit(i).alias("scale_no"), F.lit(s).alias("scale"), F.lit(max(1, round(s * cfg.hop))).alias("step")) for i, s in enumerate(cfg.scales)))).alias("s")).select("piece_id", "onset", "pitch", "at", "first", "last", "s.*")
+    at = F.col("at") - F.col("first")
     low = F.greatest(F.lit(0), F.floor((at - F.col("scale")) / F.col("step")) + 1)
     spread = spread.select("*", F.explode(F.sequence(low.cast("long"), F.floor(at / F.col("step")).cast("long"))).alias("k"))
     spread = spread.withColumn("start", F.col("first") + F.col("k") * F.col("step")).where("start <= last")
@@ -52,6 +53,12 @@ def membership(notes: DataFrame, cfg: Config) -> DataFrame:
     return spread.join(w, ["piece_id", "scale_no", "k"]).select("piece_id", "seg", "scale", "start", (F.col("start") + F.col("scale")).alias("end"), "onset", "pitch")
 
 
+def beat_windows(notes: DataFrame, beats: DataFrame, cfg: Config) -> DataFrame:
+    """As membership, for notes whose onsets are seconds: windows are of beats, found between beat times (piece_id, beat, at) and drawn on beyond both ends."""
+    timed = note_beats(notes.withColumn("time", F.col("onset")), beats)
+    return membership(timed, cfg, "beat")
+
+
 def segments(members: DataFrame) -> DataFrame:
     return members.groupBy("piece_id", "seg", "scale", "start", "end").agg(F.count(F.lit(1)).alias("n_notes"))
 

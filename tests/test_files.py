@@ -125,3 +125,56 @@ def test_an_aborted_write_leaves_nothing_and_an_append_adds(spark, tmp_path):
     assert arrays.read_numpy(spark, str(tmp_path / "w")).count() == 20
     with pytest.raises(Exception, match="one array"):
         arrays.write_numpy(good.withColumn("y", F.lit(1)), str(tmp_path / "w"))
+
+
+def test_annotated_notes_have_sixteen_columns(spark, tmp_path):
+    from cantus.sources import notes
+
+    rows = spark.createDataFrame([("p1", 0.5, 60, 1.0, 0, 1, "C", "a"), ("p1", 1.0, 62, 0.5, 1, 1, None, "")], "piece_id string, onset double, pitch int, duration double, staff int, measure int, key string, type string")
+    notes.write_annotated(rows.coalesce(1), str(tmp_path / "n"))
+    (file,) = (tmp_path / "n/piece_id=p1").glob("*.csv")
+    lines = file.read_text().splitlines()
+    assert lines[0] == "onset,midi_note_number,morphetic_pitch_number,duration,staff_number,measure,localbeat,key,degree,quality,inversion,roman numeral notation,motif_type,boundary,hnote,lnote"
+    assert sorted(lines[1:]) == ["0.5,60,,1.0,0,1,,C,,,,,a,,,", "1.0,62,,0.5,1,1,,,,,,,,,,"]
+
+
+def test_windows_of_beats(spark):
+    from cantus.operators import retrieval
+
+    beats = spark.createDataFrame([("p", k, 0.5 * k) for k in range(4)] + [("p", k, 1.5 + (k - 3)) for k in range(4, 30)], "piece_id string, beat int, at double")
+    notes = spark.createDataFrame([("p", x, 60) for x in (0.0, 0.5, 1.0, 1.5, 2.5, 3.5, 10.0)], "piece_id string, onset double, pitch int")
+    cfg = retrieval.Config(scales=(4,), hop=0.5, min_notes=3)
+    got = {}
+    for r in retrieval.beat_windows(notes, beats, cfg).collect():
+        got.setdefault((r.start, r.end), []).append(r.onset)
+    assert {k: sorted(v) for k, v in got.items()} == {(0.0, 4.0): [0.0, 0.5, 1.0, 1.5], (2.0, 6.0): [1.0, 1.5, 2.5, 3.5]}
+
+
+def test_encoder_with_weights_of_a_file(spark, tmp_path):
+    """Vectors of a file's weights against attention written out step by step."""
+    from cantus.operators import encoder
+
+    w = encoder.random_weights(width=8, heads=2, layers=1, seed=3)
+    r = np.random.default_rng(1)
+    w = {k: (v if k in ("heads", "layers") else v + 0.1 * r.normal(size=v.shape)) for k, v in w.items()}
+    np.savez(tmp_path / "w.npz", **w)
+    steps = [("a", 0, i, int(r.integers(-5, 6)), float(r.normal())) for i in range(5)] + [("b", 1, i, int(r.integers(-5, 6)), float(r.normal())) for i in range(2)]
+    got = {(x.piece_id, x.seg): x.vector for x in encoder.segment_vectors(spark.createDataFrame(steps, "piece_id string, seg int, i int, d_pitch int, d_time double"), encoder.read_weights(str(tmp_path / "w.npz"))).collect()}
+
+    def norm(x, a, b):
+        return (x - sum(x) / 8) / (sum((x - sum(x) / 8) ** 2) / 8 + 1e-5) ** 0.5 * a + b
+
+    for piece, seg in (("a", 0), ("b", 1)):
+        x = [np.array(s[3:]) for s in steps if s[0] == piece]
+        h = [v @ w["in.w"] + w["in.b"] + np.array([f(t / 10000 ** (2 * (k // 2) / 8)) for k in range(8) for f in [(np.sin, np.cos)[k % 2]]]) for t, v in enumerate(x)]
+        line = lambda v, n: v @ w[f"0.{n}.w"] + w[f"0.{n}.b"]
+        out = []
+        for t, v in enumerate(h):
+            heads = []
+            for a in (slice(0, 4), slice(4, 8)):
+                e = np.exp([line(v, "q")[a] @ line(u, "k")[a] / 2 for u in h])
+                heads.append(sum(p * line(u, "v")[a] for p, u in zip(e / e.sum(), h)))
+            y = norm(v + line(np.concatenate(heads), "o"), w["0.n1.w"], w["0.n1.b"])
+            out.append(norm(y + line(np.maximum(line(y, "f1"), 0), "f2"), w["0.n2.w"], w["0.n2.b"]))
+        z = sum(out) / len(out) @ w["out.w"] + w["out.b"]
+        assert np.allclose(got[piece, seg], z / np.linalg.norm(z), atol=1e-5)
