@@ -239,6 +239,59 @@ def counts_below(notes: DataFrame) -> DataFrame:
     return grid.select("piece_id", "onset", "pitch", le.alias("le_le"), lt.alias("lt_le"), (le - F.col("up_to")).alias("le_lt"), (lt - F.col("up_to") + F.col("n")).alias("lt_lt"))
 
 
+#: Cells of a piece's grid for each of its points up to which counts come from the grid; for others halves are merged.
+GRID = 64
+
+
+def wide_pieces(notes: DataFrame) -> DataFrame:
+    """(piece_id) of pieces whose onsets and pitches make a grid of over GRID cells a point, as those of general points do."""
+    n = notes.groupBy("piece_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("onset").alias("a"), F.count_distinct("pitch").alias("b"))
+    return n.where(F.col("a") * F.col("b") > GRID * F.col("n")).select("piece_id")
+
+
+def merged_counts(corners: DataFrame, notes: DataFrame) -> DataFrame:
+    """corners (.., piece_id, onset, pitch, below_onset, below_pitch) with n, the piece's points up to a corner; points at its onset or pitch don't
+    count where below_onset or below_pitch is true.
+
+    Points are numbered by onset and a corner knows how many come up to it; that number's bits name the runs of 1, 2, 4, .. points
+    that make it up. Within each run points and corners are sorted by pitch and counted as they come. So every point is there once for each
+    length of runs and nothing grows with the range of onsets or pitches.
+    """
+    asked = written(corners.withColumn("_q", F.monotonically_increasing_id()))
+    side = [F.lit(1).alias("_side"), F.lit(None).cast("long").alias("_q")]
+    # Strict corners come before the points at their onset, others after them.
+    rows = notes.select("piece_id", "onset", "pitch", *side).unionByName(asked.select("piece_id", "onset", "pitch", F.when(F.col("below_onset"), 0).otherwise(2).alias("_side"), "_q"))
+    before = F.sum((F.col("_side") == 1).cast("long")).over(Window.partitionBy("piece_id").orderBy("onset", "_side").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("_r", before)
+    levels = F.sequence(F.lit(0), F.lit(40))
+    n = notes.groupBy("piece_id").agg(F.count(F.lit(1)).alias("_n"))
+    points = rows.where("_side = 1").join(n, "piece_id").withColumn("_r", F.col("_r") - 1).withColumn("_b", F.explode(F.filter(levels, lambda b: F.expr("1L") * F.pow(F.lit(2.0), b) <= F.col("_n"))))
+    run = F.floor(F.col("_r") / F.pow(F.lit(2.0), F.col("_b"))).cast("long")
+    points = points.select("piece_id", "pitch", "_b", run.alias("_run"), F.lit(1).alias("_side"), "_q").where("_run % 2 = 0")
+    wanted = rows.where("_side <> 1").withColumn("_b", F.explode(F.filter(levels, lambda b: F.floor(F.col("_r") / F.pow(F.lit(2.0), b)) % 2 == 1)))
+    wanted = wanted.join(asked.select("_q", "below_pitch"), "_q").select("piece_id", "pitch", "_b", (F.floor(F.col("_r") / F.pow(F.lit(2.0), F.col("_b"))) - 1).cast("long").alias("_run"), F.when(F.col("below_pitch"), 0).otherwise(2).alias("_side"), "_q")
+    within = Window.partitionBy("piece_id", "_b", "_run").orderBy("pitch", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    counted = points.unionByName(wanted).withColumn("_c", F.sum((F.col("_side") == 1).cast("long")).over(within)).where("_side <> 1")
+    found = counted.groupBy("_q").agg(F.sum("_c").alias("n"))
+    return asked.join(found, "_q", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long"))).drop("_q")
+
+
+def in_boxes(box: DataFrame, notes: DataFrame, key: Sequence[str]) -> DataFrame:
+    """(key, in_box): how many points of the piece each box holds, of (key, o0, o1, p0, p1) with its edges, from the counts at its four corners."""
+    corners = F.array(*(F.struct(F.col(o).alias("onset"), F.col(p).alias("pitch"), F.lit(k).alias("k"), F.lit(k in (1, 3)).alias("below_onset"), F.lit(k in (2, 3)).alias("below_pitch")) for k, (o, p) in enumerate((("o1", "p1"), ("o0", "p1"), ("o1", "p0"), ("o0", "p0")))))
+    at = box.select(*key, F.explode(corners).alias("c")).select(*key, "c.*")
+    sign = F.when(F.col("k").isin(0, 3), F.col("n")).otherwise(-F.col("n"))
+    n = F.when(F.col("k") == 0, F.col("le_le")).when(F.col("k") == 1, F.col("lt_le")).when(F.col("k") == 2, F.col("le_lt")).otherwise(F.col("lt_lt"))
+    wide = written(wide_pieces(notes))
+    if not wide.take(1):
+        found = at.join(counts_below(notes), ["piece_id", "onset", "pitch"]).withColumn("n", n).select(*key, "k", "n")
+    else:
+        grid = at.join(wide, "piece_id", "left_anti").join(counts_below(notes.join(wide, "piece_id", "left_anti")), ["piece_id", "onset", "pitch"]).withColumn("n", n)
+        runs = merged_counts(at.join(wide, "piece_id", "left_semi"), notes.join(wide, "piece_id", "left_semi"))
+        found = grid.select(*key, "k", "n").unionByName(runs.select(*key, "k", "n"))
+    return found.groupBy(*key).agg(F.sum(sign).alias("in_box"))
+
+
 def measured(tecs: DataFrame, notes: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
     """tecs with coverage, compression ratio cr, bounding-box compactness, width, volume.
 
@@ -250,10 +303,7 @@ def measured(tecs: DataFrame, notes: DataFrame, key: Sequence[str] = KEY) -> Dat
     cover = covered(tecs, key).groupBy(*key).agg(F.count(F.lit(1)).alias("coverage"))
     onsets, pitches = F.transform("pattern", lambda p: p["onset"]), F.transform("pattern", lambda p: p["pitch"])
     box = tecs.select("*", F.array_min(onsets).alias("o0"), F.array_max(onsets).alias("o1"), F.array_min(pitches).alias("p0"), F.array_max(pitches).alias("p1"))
-    corners = F.array(*(F.struct(F.col(o).alias("onset"), F.col(p).alias("pitch"), F.lit(k).alias("k")) for k, (o, p) in enumerate((("o1", "p1"), ("o0", "p1"), ("o1", "p0"), ("o0", "p0")))))
-    at = box.select(*key, F.explode(corners).alias("c")).select(*key, "c.*").join(counts_below(notes), ["piece_id", "onset", "pitch"])
-    n = F.when(F.col("k") == 0, F.col("le_le")).when(F.col("k") == 1, -F.col("lt_le")).when(F.col("k") == 2, -F.col("le_lt")).otherwise(F.col("lt_lt"))
-    inside = at.groupBy(*key).agg(F.sum(n).alias("in_box"))
+    inside = in_boxes(box, notes, key)
     out = box.join(cover, key).join(inside, key)
     cr = F.col("coverage") / (F.col("size") + F.col("n_translators") - 1)
     return out.select(*tecs.columns, "coverage", cr.alias("cr"), (F.col("size") / F.col("in_box")).alias("compactness"), (F.col("o1") - F.col("o0")).alias("width"), ((F.col("o1") - F.col("o0")) * (F.col("p1") - F.col("p0"))).alias("volume"))

@@ -177,3 +177,20 @@ def test_long_pieces_are_paired_in_blocks(spark, monkeypatch):
     whole = every()
     monkeypatch.setattr(g, "BLOCK", 16)
     assert every() == whole and len(whole[0]) == sum(k * (k - 1) // 2 for k in (n.where(f"piece_id = {p}").count() for p in (0, 1)))
+
+
+def test_points_in_boxes_by_merged_halves(spark, monkeypatch):
+    """The counts of wide pieces, of narrow ones by their grid, and all of both by either way."""
+    r = random.Random(6)
+    sets = [sorted({(r.randrange(5000), r.randrange(5000)) for _ in range(90)}), sorted({(r.randrange(8), r.randrange(5)) for _ in range(25)}), [(3, 3)], sorted({(r.randrange(9), 1000 * k) for k in range(64)})]
+    boxes = []
+    for k, s in enumerate(sets):
+        for _ in range(40):
+            (a, b), (c, d) = r.choice(s), r.choice(s)
+            boxes.append((k, len(boxes), min(a, c), max(a, c), min(b, d), max(b, d)))
+    want = {i: sum(a <= x <= b and c <= y <= d for x, y in sets[k]) for k, i, a, b, c, d in boxes}
+    df, n = spark.createDataFrame(boxes, "piece_id long, id long, o0 long, o1 long, p0 long, p1 long"), points(spark, *sets)
+    assert [x.piece_id for x in g.wide_pieces(n).collect()] == [0]
+    for grid in (64, 0, 10**9):
+        monkeypatch.setattr(g, "GRID", grid)
+        assert {x.id: x.in_box for x in g.in_boxes(df, n, ["piece_id", "id"]).collect()} == want
