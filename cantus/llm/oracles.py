@@ -24,6 +24,24 @@ w AS (SELECT n, x, min(conv_id) AS conv_id FROM p WHERE pos = n GROUP BY 1, 2)
 SELECT conv_id, n AS n_turns, x AS rendered FROM w WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.pos < p.n AND p.pos = w.n AND p.x = w.x)"""
 
 
+LINKS = """WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS x, sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))) AS n FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
+u AS (SELECT vec_id, list_transform(x, lambda y: y / n) AS x FROM v WHERE n > 0),
+e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) WHERE list_dot_product(a.x, b.x) >= 0.95),
+r AS (SELECT vec_id AS a, vec_id AS r FROM embeddings UNION SELECT e.b, r.r FROM r JOIN e ON e.a = r.a),
+c AS (SELECT a AS vec_id, min(r) AS component_id FROM r GROUP BY 1), k AS (SELECT a AS vec_id, count(*) AS n FROM e GROUP BY 1)
+SELECT c.vec_id, coalesce(k.n, 0) AS n_links, component_id, c.vec_id = component_id AS kept FROM c LEFT JOIN k USING (vec_id)"""
+
+REPEATS = """WITH w AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+g AS (SELECT doc_id, h, unnest(range(len(h) // 2 - 199)) AS i FROM w WHERE len(h) >= 400), k AS (SELECT doc_id, i, md5_number(substr(h, 2 * i + 1, 400)) AS x FROM g),
+d AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY x) AS n FROM k) WHERE n > 1),
+b AS (SELECT *, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 THEN 1 ELSE 0 END AS new FROM d),
+s AS (SELECT doc_id, min(i) AS s, max(i) + 200 AS e FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM b) GROUP BY doc_id, span),
+p AS (SELECT w.doc_id, w.h, coalesce(list(s.s ORDER BY s.s) FILTER (s.s IS NOT NULL), []) AS a, coalesce(list(s.e ORDER BY s.s) FILTER (s.s IS NOT NULL), []) AS z FROM w LEFT JOIN s USING (doc_id) GROUP BY 1, 2)
+SELECT doc_id, len(h) // 2 AS n_bytes, coalesce(list_sum(z), 0)::BIGINT - coalesce(list_sum(a), 0)::BIGINT AS n_removed, len(a)::BIGINT AS n_spans,
+  sha256(unhex(array_to_string(list_transform(range(len(a) + 1), lambda j: substr(h, 2 * CASE WHEN j = 0 THEN 0 ELSE z[j] END + 1, 2 * (CASE WHEN j = len(a) THEN len(h) // 2 ELSE a[j + 1] END - CASE WHEN j = 0 THEN 0 ELSE z[j] END))), ''))) AS kept_sha256 FROM p"""
+
+
 def _strength(n: str, bad: str) -> str:
     rate, count = f"(sum({bad}) / sum({n}))", "count(*)"
     within = f"({rate} * (1 - {rate}))"

@@ -18,7 +18,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .descent import embedding_links
 
-    return embedding_links(table(spark, sf_dir, "embeddings"), threshold=0.95)
+    return embedding_links(table(spark, sf_dir, "embeddings"), threshold=0.95).select("vec_id", "n_links", "component_id", "kept")
 
 
 def op2_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,6 +125,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_dual_tree_search": op13_dual_tree_search,
 }
 ORACLE: dict[str, str] = {
+    "op1_nn_descent": oracles.LINKS,
+    "op4_lpf_substring_dedup": oracles.REPEATS,
     "op3_minmax_near_dedup": oracles.MINHASH,
     "op5_snapshot_collapse": oracles.COLLAPSE,
     "op9_host_reputation": oracles.hosts(RULES, TWO_LABEL_SUFFIXES, WORSE),
