@@ -30,12 +30,17 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{folder(spark)}/cantus-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _file(spark, path, lambda fs, p: fs.deleteOnExit(p))
+    at_exit(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cantus_path = path
     return out
 
 
+def at_exit(spark: SparkSession, path: str) -> None:
+    """Deletes what is at path when the session ends."""
+    _file(spark, path, lambda fs, p: fs.deleteOnExit(p))
+
+
 def dropped(table: DataFrame) -> None:
     """Deletes a table that `written` made and nothing reads any more."""
     _file(table.sparkSession, table._cantus_path, lambda fs, p: fs.delete(p, True))

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.graph import folder
+from ..operators.graph import at_exit, folder
 from ..session import NOTES_SQL, ORIGIN, STEP, table
 from ..streaming import mtp
 
@@ -25,6 +25,7 @@ def streamed_mtp(spark: SparkSession, d: str) -> DataFrame:
     root = f"{folder(spark)}/cantus-{uuid.uuid4().hex}"
     q = increments.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/progress").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
+    at_exit(spark, root)
     return mtp.sizes(spark.read.schema(increments.schema).parquet(f"{root}/out"))
 
 
