@@ -17,6 +17,12 @@ def f1(p: Column, r: Column) -> Column:
     return F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(F.lit(0.0))
 
 
+def share(a: Column, b: Column) -> Column:
+    """a / b of two counts (below 10^10) to 28 places. Sums of such shares are the same in every order, those of doubles are not, and
+    a mean that lies halfway between two rounded figures would fall to either side by the order of its rows."""
+    return a.cast("decimal(27,17)") / b.cast("decimal(10,0)")
+
+
 def score_matrix(ref: DataFrame, est: DataFrame) -> DataFrame:
     """(piece_id, rp, ro, ep, eo, shared, nr, ne, score): every reference against every estimated occurrence of a piece; the
     score is the number of shared notes over the larger number."""
@@ -44,13 +50,16 @@ def occurrence(matrix: DataFrame, threshold: float = 0.75) -> DataFrame:
     the partners that are in any pair. Pieces without such a pair have zeros."""
     best = matrix.groupBy("piece_id", "rp", "ep").agg(F.max("score").alias("s"))
     pairs = best.where(F.col("s") >= threshold).select("piece_id", "rp", "ep")
-    col = matrix.groupBy("piece_id", "rp", "ep", "eo").agg(F.max("score").alias("m")).groupBy("piece_id", "rp", "ep").agg(F.avg("m").alias("p"))
-    row = matrix.groupBy("piece_id", "rp", "ep", "ro").agg(F.max("score").alias("m")).groupBy("piece_id", "rp", "ep").agg(F.avg("m").alias("r"))
+    shares = matrix.withColumn("exact", share(F.col("shared"), F.greatest("nr", "ne")))
+    col = shares.groupBy("piece_id", "rp", "ep", "eo").agg(F.max("exact").alias("m")).groupBy("piece_id", "rp", "ep").agg(F.avg("m").alias("p"))
+    row = shares.groupBy("piece_id", "rp", "ep", "ro").agg(F.max("exact").alias("m")).groupBy("piece_id", "rp", "ep").agg(F.avg("m").alias("r"))
     cells = pairs.join(col, ["piece_id", "rp", "ep"]).join(row, ["piece_id", "rp", "ep"])
-    by_e = cells.groupBy("piece_id", "ep").agg(F.max("p").alias("p"), F.count(F.lit(1)).alias("n"))
-    by_r = cells.groupBy("piece_id", "rp").agg(F.max("r").alias("r"), F.count(F.lit(1)).alias("n"))
-    p = by_e.groupBy("piece_id").agg((F.sum(F.col("p") * F.col("n")) / F.sum("n")).alias("precision"))
-    r = by_r.groupBy("piece_id").agg((F.sum(F.col("r") * F.col("n")) / F.sum("n")).alias("recall"))
+    by_e = cells.groupBy("piece_id", "ep").agg(F.max("p").alias("x"), F.count(F.lit(1)).alias("n"))
+    by_r = cells.groupBy("piece_id", "rp").agg(F.max("r").alias("x"), F.count(F.lit(1)).alias("n"))
+    total = F.sum(F.col("x").cast("decimal(27,26)") * F.col("n").cast("decimal(10,0)"))
+    mean = (total / F.sum("n").cast("decimal(10,0)")).cast("double")
+    p = by_e.groupBy("piece_id").agg(mean.alias("precision"))
+    r = by_r.groupBy("piece_id").agg(mean.alias("recall"))
     out = matrix.select("piece_id").distinct().join(p, "piece_id", "left").join(r, "piece_id", "left").fillna(0.0)
     return out.withColumn("f1", f1(F.col("precision"), F.col("recall")))
 

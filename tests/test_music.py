@@ -2,6 +2,8 @@
 
 import itertools
 import random
+from collections import defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -82,6 +84,43 @@ def test_metrics(spark):
     assert (c.tp, c.fp, c.fn, c.tn, c.accuracy, c.f1) == (1, 1, 1, 1, 0.5, 0.5)
 
 
+def test_means_halfway_between_two_figures_are_rounded_up(spark):
+    tune = [(t, 60 + t) for t in range(20)]
+    found = ((7, 6), (7, 14), (14, 3))  # notes of the tune in 31 occurrences and in the last; sums of such doubles are too small in any order
+    ref = sets(spark, [(k, "a", 0, o, p) for k in range(len(found)) for o, p in tune])
+    est = sets(spark, [(k, "z", i, o, p) for k, (n, last) in enumerate(found) for i in range(32) for o, p in tune[: last if i == 31 else n]])
+    got = evaluate.occurrence(evaluate.score_matrix(ref, est), 0.1)
+    assert [tuple(r) for r in got.select("precision", "recall").orderBy("piece_id").collect()] == [((31 * n + last) / 640, max(n, last) / 20) for n, last in found]
+    assert [r.x for r in got.orderBy("piece_id").select(F.round("precision", 6).alias("x")).collect()] == [0.348438, 0.360938, 0.682813]
+
+
+def exact_occurrence(matrix, threshold):
+    """(precision, recall) of a piece in fractions."""
+    best, col, row = defaultdict(Fraction), defaultdict(lambda: defaultdict(Fraction)), defaultdict(lambda: defaultdict(Fraction))
+    for rp, ro, ep, eo, shared, nr, ne in matrix:
+        x = Fraction(shared, max(nr, ne))
+        best[rp, ep] = max(best[rp, ep], x)
+        col[rp, ep][eo], row[rp, ep][ro] = max(col[rp, ep][eo], x), max(row[rp, ep][ro], x)
+    cells = [c for c, x in best.items() if x >= threshold]
+    mean = lambda xs: sum(xs, Fraction(0)) / max(len(xs), 1)
+    p = [max(mean(list(col[c].values())) for c in cells if c[1] == ep) for _, ep in cells]
+    r = [max(mean(list(row[c].values())) for c in cells if c[0] == rp) for rp, _ in cells]
+    return float(mean(p)), float(mean(r))
+
+
+def test_occurrence_metric_is_the_nearest_double_in_any_order(spark):
+    r, rows = random.Random(3), []
+    for piece in range(12):
+        ref, est = ([(p, o, r.randrange(1, 13)) for p in range(3) for o in range(r.randrange(1, 8))] for _ in range(2))
+        rows += [(piece, rp, ro, ep, eo, r.randrange(min(nr, ne) + 1), nr, ne) for rp, ro, nr in ref for ep, eo, ne in est]
+    want = [exact_occurrence([x[1:] for x in rows if x[0] == piece], Fraction(1, 2)) for piece in range(12)]
+    for parts in (1, 5):
+        r.shuffle(rows)
+        m = spark.createDataFrame(rows, "piece_id long, rp long, ro long, ep long, eo long, shared long, nr long, ne long").repartition(parts)
+        got = evaluate.occurrence(m.withColumn("score", F.col("shared") / F.greatest("nr", "ne")), 0.5)
+        assert [tuple(x) for x in got.orderBy("piece_id").select("precision", "recall").collect()] == want
+
+
 def test_audit(spark):
     m = spark.createDataFrame([(0, 1, 0, 0, 60), (0, 1, 0, 4, 62), (0, 2, 0, 0, 60), (0, 2, 0, 4, 62), (0, 2, 1, 9, 60)], "piece_id long, motif long, occ long, onset long, pitch long")
     s = audit.piece_summary(m).first()
