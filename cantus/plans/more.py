@@ -9,6 +9,7 @@ from ..functions import scalar
 from ..functions.scalar import unit
 from ..operators import audit, discover, evaluate, prep, scorer, tokens
 from ..operators import retrieval as r
+from ..operators.graph import in_parts
 from ..session import ANNOTATED_SQL, annotated_notes, notes_view, table
 from . import evaluation, geometry, music, retrieval
 
@@ -114,9 +115,12 @@ def qualified_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def retrieval_sweep_top(spark: SparkSession, d: str) -> DataFrame:
-    sims, segs = retrieval._sims(spark, d, retrieval.TOP)
-    out = r.sweep_top(sims, segs, (0.8, 0.9), (0.25, 0.5), (0, 1, 5))
-    return out.select("piece_id", "similarity", "iou", F.col("top_k").cast("long").alias("top_k"), "n_edges", "n_segments")
+
+    def of(notes: DataFrame) -> DataFrame:
+        _, segs, sims = r.compared(notes, retrieval.TOP)
+        return r.sweep_top(sims, segs, (0.8, 0.9), (0.25, 0.5), (0, 1, 5))
+
+    return in_parts(notes_view(spark, d), of).select("piece_id", "similarity", "iou", F.col("top_k").cast("long").alias("top_k"), "n_edges", "n_segments")
 
 
 def scored_melody(spark: SparkSession, d: str) -> DataFrame:
