@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import retrieval as r
-from ..operators.graph import written
+from ..operators.graph import in_parts, written
 from ..session import NOTES_SQL, notes_view
 
 CFG = r.Config()
@@ -45,8 +45,12 @@ def similarity_edges(spark: SparkSession, d: str) -> DataFrame:
 
 def top_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """How many edges each piece has where similarity or a place among the five nearest makes one."""
-    sims, segs = _sims(spark, d, TOP)
-    return r.edges(sims, segs, TOP).groupBy("piece_id").agg(F.count(F.lit(1)).alias("n_edges"))
+
+    def of(notes: DataFrame) -> DataFrame:
+        _, segs, sims = r.compared(notes, TOP)
+        return r.edges(sims, segs, TOP).groupBy("piece_id").agg(F.count(F.lit(1)).alias("n_edges"))
+
+    return in_parts(notes_view(spark, d), of)
 
 
 def segment_components(spark: SparkSession, d: str) -> DataFrame:
